@@ -9,6 +9,7 @@ Results equal the sentencepiece library's for models of type BPE with identity n
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from functools import lru_cache
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from .shared import small_batches
 from .textnp import column, gather, owner, piece_hash, slabs
 
-SLAB = 4 << 20
+SLAB = 8 << 20
 KEEP_UNITS = 300_000
 NONE = np.iinfo(np.int32).max
 MARK = "▁"
@@ -157,7 +158,10 @@ class Codec:
             moved = np.cumsum(keep) - 1
             sym, unit, tag, pair = sym[keep], unit[keep], tag[keep], pair[keep]
             p = moved[at]
-            redo = np.unique(np.concatenate([p, p[p > 0] - 1]))
+            touched = np.zeros(len(sym), bool)
+            touched[p] = True
+            touched[p[p > 0] - 1] = True
+            redo = np.flatnonzero(touched)
             pair[redo] = self._pairs(sym, unit, redo)
         if not done_s:
             return sym, unit
@@ -172,8 +176,8 @@ class Codec:
         out[(unit[nxt] != unit[at]) | (at + 1 >= len(sym))] = len(self.keys) - 1
         return out
 
-    def encode_units(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[list[int]]:
-        """The ids of each unit, given as UTF-8 bytes with spaces."""
+    def encode_units(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[int], list[int]]:
+        """The ids of all units end to end and where each unit's begin; units are UTF-8 bytes with spaces."""
         flat, first, _ = gather(data, starts, ends)
         cp = np.frombuffer(flat.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.int64)
         chars = np.add.reduceat(((flat & 0xC0) != 0x80).astype(np.int64), first)
@@ -184,12 +188,12 @@ class Codec:
         sym = np.where(odd, -1 - cp, sym).astype(np.int64)
         s, u = self.merge(sym, unit)
         bound = np.searchsorted(u, np.arange(len(starts) + 1))
-        plain = not odd.any()
-        s, bound = s.tolist(), bound.tolist()
-        res = [s[i:j] for i, j in zip(bound, bound[1:])]
-        if not plain:
-            res = [[y for x in r for y in ((x,) if x >= 0 else [self.byte[b] for b in chr(-1 - x).encode()])] if r and min(r) < 0 else r for r in res]
-        return res
+        if odd.any():
+            spelt = [[b for b in chr(-1 - x).encode()] if x < 0 else (x,) for x in s.tolist()]
+            more = np.concatenate([[0], np.cumsum([len(x) for x in spelt])])
+            flat_ids = [self.byte[y] if x < 0 else y for x, ys in zip(s.tolist(), spelt) for y in ys]
+            return flat_ids, more[bound].tolist()
+        return s.tolist(), bound.tolist()
 
     def units(self, a: pa.Array):
         """(ids as text, decoded bytes, number of ids) of each known unit, the units of all rows, and where each row's begin."""
@@ -221,12 +225,12 @@ class Codec:
         place = np.array([get(x, -1) for x in uniq.tolist()], np.int64)
         miss = np.flatnonzero(place < 0)
         if len(miss):
-            got = self.encode_units(new, starts[at[miss]], ends[at[miss]])
+            got, bound = self.encode_units(new, starts[at[miss]], ends[at[miss]])
             base = len(self.ids)
-            num, txt = self.number, self.text
-            self.ids += [",".join([num[i] for i in r]) for r in got]
-            self.out += [b"".join([txt[i] for i in r]) for r in got]
-            self.count += map(len, got)
+            num, txt = [self.number[i] for i in got], [self.text[i] for i in got]
+            self.ids += [",".join(num[i:j]) for i, j in zip(bound, bound[1:])]
+            self.out += [b"".join(txt[i:j]) for i, j in zip(bound, bound[1:])]
+            self.count += [j - i for i, j in zip(bound, bound[1:])]
             place[miss] = np.arange(base, base + len(miss))
             self.seen.update(zip(uniq[miss].tolist(), range(base, base + len(miss))))
         rows = np.concatenate([[0], np.cumsum(np.bincount(owner(off2, starts), minlength=len(off) - 1))])
@@ -261,6 +265,7 @@ class Codec:
 
 @lru_cache(maxsize=2)
 def codec(model: str) -> Codec:
+    gc.disable()  # the many small strings hold no cycles
     return Codec(model)
 
 
@@ -270,7 +275,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", model: str | Non
     A null or empty text has no ids. Repeated rows stay; `out` replaces a column of that name.
     """
     model = model or default_model()
-    small_batches(df.sparkSession)
+    small_batches(df.sparkSession, 2048)
     base = df.drop(out)
 
     def run(batches):
@@ -305,7 +310,7 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text: str = "text", model:
     Null and empty texts have no tokens and the digests of nothing. Repeated rows give repeated results; other columns are not read.
     """
     model = model or default_model()
-    small_batches(df.sparkSession)
+    small_batches(df.sparkSession, 2048)
 
     def run(batches):
         c = codec(model)
