@@ -4,18 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sentencepiece_bpe
+from . import decontamination, language_id, sentencepiece_bpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
-SQL: dict[str, str] = {}
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL: dict[str, str] = {"op8_decontamination": decontamination.SQL}
 
 
 def queries() -> dict:
