@@ -47,7 +47,7 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the size, from file sizes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def parts_for(df: DataFrame, mb: int = 8) -> int:
