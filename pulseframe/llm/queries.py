@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, sentencepiece_bpe, sharding
+from . import decontamination, embedding_dedup, language_id, sentencepiece_bpe, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +27,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-SQL: dict[str, str] = {"op8_decontamination": decontamination.SQL}
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
+
+
+SQL: dict[str, str] = {"op8_decontamination": decontamination.SQL, "op10_embedding_dedup": embedding_dedup.SQL}
 
 
 def queries() -> dict:

@@ -10,9 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulseframe.session import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (spark.checkpoint.dir); one of our own only where none is set."""
+    ship(spark)
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
@@ -42,6 +45,7 @@ def drop_cut(df: DataFrame) -> None:
 
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Arrow batches that stay small though some texts are long."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
