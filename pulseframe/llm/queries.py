@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_dedup, language_id, sentencepiece_bpe, sharding
+from . import decontamination, embedding_dedup, jaccard_join, language_id, sentencepiece_bpe, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 40, "bytes")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_documents(table(spark, sf_dir, "documents"), 4, 85, 100)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
 
 
-SQL: dict[str, str] = {"op8_decontamination": decontamination.SQL, "op10_embedding_dedup": embedding_dedup.SQL}
+SQL: dict[str, str] = {"op2_jaccard_join": jaccard_join.SQL, "op8_decontamination": decontamination.SQL, "op10_embedding_dedup": embedding_dedup.SQL}
 
 
 def queries() -> dict:
