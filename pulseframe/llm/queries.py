@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_dedup, jaccard_join, language_id, sentencepiece_bpe, sharding, suffix_dedup
+from . import decontamination, embedding_dedup, jaccard_join, language_id, sentencepiece_bpe, sharding, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,11 +35,15 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
 
 
-SQL: dict[str, str] = {"op2_jaccard_join": jaccard_join.SQL, "op8_decontamination": decontamination.SQL, "op10_embedding_dedup": embedding_dedup.SQL}
+SQL: dict[str, str] = {"op2_jaccard_join": jaccard_join.SQL, "op8_decontamination": decontamination.SQL, "op9_warc": warc.SQL, "op10_embedding_dedup": embedding_dedup.SQL}
 
 
 def queries() -> dict:
