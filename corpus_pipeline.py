@@ -1,20 +1,57 @@
-"""A corpus pipeline: each stage reads the documents that the one before it kept."""
+"""A corpus pipeline: each stage reads the documents that the one before it kept.
+
+Every stage but the last returns the columns of `documents`; each is written as Parquet in the shared folder and read
+again as the next one's input, so that a lost executor costs at most the stage that is running.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pulseframe.llm import sentencepiece_bpe
+from pulseframe.llm import decontamination, jaccard_join, language_id, sentencepiece_bpe, suffix_dedup
 from pulseframe.llm.shared import cut
 
+#: Bytes that must repeat to be removed: less than any passage of 50 words, more than a stock sentence.
+REPEAT_BYTES = 100
+
+
+def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language can be identified; those without letters go. lang stays as it was given."""
+    model = language_id.fit(docs.where(~F.coalesce(language_id.held_out(), F.lit(False))).select("doc_id", "text", "lang"))
+    return language_id.predict(docs, model).where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by five-word shingles at 0.8 the document with the smallest id."""
+    return jaccard_join.keep_one(docs, 5, 80, 100)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document holds are cut out; n_chars follows the text."""
+    out = suffix_dedup.remove_repeats(docs, REPEAT_BYTES)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else out
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth of the words or more lie in benchmark windows go."""
+    return decontamination.remove_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each kept text encoded and decoded."""
+    """Each kept text encoded and decoded: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     return sentencepiece_bpe.round_trip(docs)
 
 
-STAGES = [("sentencepiece", encode_tokens)]
+STAGES = [
+    ("language_id", identify_languages),
+    ("jaccard_join", drop_near_duplicates),
+    ("suffix_dedup", cut_repeats),
+    ("decontamination", drop_contaminated),
+    ("sentencepiece", encode_tokens),
+]
 
+#: The first stage's network can't be written in SQL; tests/llm compares the stages with plain Python.
 ORACLE_SQL = None
 
 
