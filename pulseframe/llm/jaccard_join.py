@@ -2,7 +2,7 @@
 
 1. Every whole text is read twice. The first pass gives each document its number of shingles and a bitmap signature
    (one bit a shingle, at least twice as many bits as shingles), and counts all shingles of all documents in a table
-   of fixed size; shingles whose counter stands out are ordered last, by how far.
+   of fixed size; shingles are ordered by their counter, so that frequent ones come last.
 2. In that common order two sets above the threshold share a shingle among their first n - ceil(t n) + 1. The second
    pass sends those, packed by hash range; each shingle's documents form a group, and the group's smallest id names
    the block its members belong to. Pairs that share any such shingle are thus members of one block.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .shared import components, cut, drop_cut, forest, parts_for, small_batches
 from .textnp import column, mix, shingles, slabs
 
-COUNTERS = 1 << 20
+COUNTERS = 1 << 22
 CHUNKS = 16
 SALTS = 8
 SLAB = 2 << 20
@@ -101,7 +101,7 @@ def _add_tables(batches):
 
 
 def _classes(first: DataFrame) -> np.ndarray:
-    """How far each counter stands out, 0 for not: a table of fixed size."""
+    """How full each counter is, in quarters of the deviation that chance alone gives: a table of fixed size."""
     t = first.where("chunk is not null").select("sig", "chunk", "salt")
     kind = "sig binary, chunk int, salt int"
     t = t.repartition(CHUNKS * SALTS, "chunk", "salt").mapInArrow(_add_tables, kind).withColumn("salt", F.lit(0))
@@ -110,9 +110,9 @@ def _classes(first: DataFrame) -> np.ndarray:
     for r in t.collect():
         count[r["chunk"]] = np.frombuffer(zlib.decompress(r["sig"]), np.uint32)
     c = count.ravel()
-    mean = c.mean()
-    over = c - mean
-    return np.where(over > 6 * np.sqrt(mean) + 8, np.log2(np.maximum(over, 1)).astype(np.int64) + 1, 0).astype(np.uint8)
+    mean, step = c.mean(), max(1.0, np.sqrt(c.mean()) / 4)
+    low = np.maximum((c - mean) / step + 16, 0)
+    return np.where(low < 64, low, np.minimum(64 + 8 * np.log2(np.maximum(low / 64, 1)), 255)).astype(np.uint8)
 
 
 def _second_pass(k, num, den, classes, buckets):
