@@ -21,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, parts_for, small_batches
+from .shared import cut, parts_for, release, small_batches
 from .textnp import BYTE_CODE, _BASE, column, mix, owner, powers, runs, slabs, within
 
 K = 20
 SLAB = 1 << 20
 FLUSH = 1_000_000
+NO_ID = -(1 << 63)  # stands for a null id
 _UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _unpower = np.ones(1, np.uint64)
 
@@ -316,6 +317,11 @@ def _windows(least):
     return run
 
 
+def _ids(a: pa.Array) -> pa.Array:
+    v = a.to_numpy()
+    return pa.array(v, mask=v == NO_ID)
+
+
 def _cover(size: int, blobs) -> np.ndarray:
     v = np.frombuffer(b"".join(b for b in blobs if b), np.int64).reshape(-1, 2)
     step = np.zeros(size + 1, np.int32)
@@ -330,15 +336,17 @@ def _spans(df: DataFrame, least: int, doc_id: str, text: str, others: list[str])
         raise ValueError(f"at least {K} bytes")
     spark = df.sparkSession
     small_batches(spark, 2048)
-    docs = df.select(F.col(doc_id).cast("long").alias("id"), F.hash(text).alias("h"), F.col(text).alias("text"), *others)
+    # never null, so that both joins on it need the same exchange of the texts, which is then made once
+    docs = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.hash(text).alias("h"), F.col(text).alias("text"), *others)
     n = parts_for(df)
     buckets = min(65_536, n)
-    known = docs.select("id", "h", "text").where(F.col("id").isNotNull() & (F.octet_length("text") >= least))
+    known = docs.select("id", "h", "text").where((F.col("id") != NO_ID) & (F.octet_length("text") >= least))
     first = known.mapInArrow(_first_pass(least, K, buckets), FIRST)
     found = first.repartition(buckets, "bucket").mapInArrow(_decide(least), FOUND)
     per = cut(found.groupBy("id", "h").agg(F.collect_list("spans").alias("spans"), F.collect_list("open").alias("open")), "runs")
+    release(spark)
     dealt = docs.repartition(n, "id", "h")
-    todo = dealt.select("id", "h", "text", *others).join(per.where(F.size("open") > 0).select("id", "h", "open"), ["id", "h"]).select("id", "h", "text", "open")
+    todo = dealt.select("id", "h", "text", *others).join(per.where(F.size("open") > 0).select("id", "h", "open"), ["id", "h"]).select("id", "h", "text", *others, "open")
     late = todo.mapInArrow(_bytes_pass(least, buckets), "bucket int, blob binary").repartition(buckets, "bucket").mapInArrow(_windows(least), "id long, h int, spans binary")
     late = late.groupBy("id", "h").agg(F.collect_list("spans").alias("late"))
     done = per.where(F.size("spans") > 0).select("id", "h", "spans").join(late, ["id", "h"], "full")
@@ -367,7 +375,7 @@ def digests(df: DataFrame, least: int = 50, doc_id: str = "doc_id", text: str =
                     removed[i], spans[i] = c.sum(), (c[1:] & ~c[:-1]).sum() + c[:1].sum()
                     t = t[~c]
                 sha.append(hashlib.sha256(t).hexdigest())
-            yield pa.RecordBatch.from_arrays([b["id"], pa.array(np.diff(off)), pa.array(removed), pa.array(spans), pa.array(sha, pa.string())], [doc_id, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([_ids(b["id"]), pa.array(np.diff(off)), pa.array(removed), pa.array(spans), pa.array(sha, pa.string())], [doc_id, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return _spans(df, least, doc_id, text, []).select("id", "text", "all").mapInArrow(run, f"`{doc_id}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
@@ -397,10 +405,11 @@ def remove_repeats(df: DataFrame, least: int = 50, doc_id: str = "doc_id", text:
                     c = np.repeat(np.maximum.reduceat(c, lead), size)
                     t = t[~c]
                 out.append(None if null[i] else t.tobytes().decode("utf-8"))
-            cols = dict(zip(b.schema.names, b.columns)) | {"text": pa.array(out, pa.string())}
+            cols = dict(zip(b.schema.names, b.columns)) | {"id": _ids(b["id"]), "text": pa.array(out, pa.string())}
             names_ = [x for x in b.schema.names if x != "all"]
             yield pa.RecordBatch.from_arrays([cols[x] for x in names_], names_)
 
-    got = got.mapInArrow(run, got.drop("all").schema)
+    kept = got.drop("all")
+    got = got.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in kept.dtypes))
     back = {doc_id: "id", text: "text"} | {c: f"o_{i}" for i, c in enumerate(others)}
     return got.select(*[F.col(back[c]).cast(df.schema[c].dataType).alias(c) for c in df.columns])
