@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .shared import shared_dir, small_batches
 
+PIECE = 1 << 14
 ROLL = 16 << 20  # bytes of an archive before the next begins
 MAGIC, VERSION, END = b"\x1f\x8b\x08", b"WARC/1.", b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -72,14 +73,17 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, bytes, int]:
 
 
 def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    z = zlib.decompressobj(31)
+    z, out, view = zlib.decompressobj(31), [], memoryview(data)
     try:
-        out = z.decompress(data[at:])
+        while not z.eof and at < len(data):
+            piece = view[at : at + PIECE]
+            out.append(z.decompress(piece))
+            at += len(piece)
     except zlib.error as e:
         raise ValueError(f"gzip: {e}") from None
     if not z.eof:
         raise ValueError("gzip: cut short")
-    return out, len(data) - len(z.unused_data)
+    return b"".join(out), at - len(z.unused_data)
 
 
 def salvage(data: bytes):
