@@ -307,7 +307,8 @@ def fit_time(n) -> Column:
 
 def completion(done, target) -> Column:
     """PRJ-40: a goal's share done, 0 to 1."""
-    return F.least(F.greatest(F.try_divide(_c(done), _c(target)), F.lit(0.0)), F.lit(1.0))
+    share = F.try_divide(_c(done), _c(target))
+    return F.when(share.isNotNull(), F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)))
 
 
 def alert_chips(flags, anomalies) -> Column:

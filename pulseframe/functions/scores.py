@@ -14,7 +14,7 @@ AWAKE_ZERO = 0.15
 
 
 def _clamp(x: Column) -> Column:
-    return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
 
 
 def duration_component(hours, need) -> Column:

@@ -27,8 +27,12 @@ def _n() -> Column:
 def baselines(long: DataFrame, windows=BASELINE_WINDOWS, least: int = 2) -> DataFrame:
     """WIN-06: of every user, metric and day the mean and sample deviation of the days before, by window."""
     base = Window.partitionBy("user_id", "metric").orderBy(_n())
-    stats = [F.struct(F.lit(w).alias("window_days"), F.avg("value").over(o := base.rangeBetween(-w, -1)).alias("mean_value"), F.stddev_samp("value").over(o).alias("stdev_value"), F.count("value").over(o).alias("sample_n")) for w in windows]
-    return long.select("user_id", F.col("d").alias("metric_date"), "metric", F.inline(F.array(*stats))).where(F.col("sample_n") >= least)
+    cols = {}
+    for w in windows:
+        over = base.rangeBetween(-w, -1)
+        cols |= {f"m{w}": F.avg("value").over(over), f"s{w}": F.stddev_samp("value").over(over), f"n{w}": F.count("value").over(over)}
+    each = [F.struct(F.lit(w).alias("window_days"), F.col(f"m{w}").alias("mean_value"), F.col(f"s{w}").alias("stdev_value"), F.col(f"n{w}").alias("sample_n")) for w in windows]
+    return long.withColumns(cols).select("user_id", F.col("d").alias("metric_date"), "metric", F.inline(F.array(*each))).where(F.col("sample_n") >= least)
 
 
 def z_scores(long: DataFrame, least: int = MIN_DAYS, limit: float = Z_LIMIT) -> DataFrame:
