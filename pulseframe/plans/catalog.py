@@ -22,6 +22,7 @@ _queries: dict[str, Callable] = {}
 _sql: dict[str, str] = {}
 AS_OF = "2024-01-24"
 LIFT_DAY = "1998-03-11"
+TIE = 1.3e-9  # exact halves of the last place go up on both sides
 
 
 def query(sql: str | None = None, doubles: str = "", ctes: tuple[str, ...] = ()):
@@ -32,12 +33,12 @@ def query(sql: str | None = None, doubles: str = "", ctes: tuple[str, ...] = ())
 
         def run(spark: SparkSession, sf: str) -> DataFrame:
             df = f(spark, sf)
-            return df.withColumns({c: F.round(F.col(c).cast("double"), 6) + F.lit(0.0) for c in cols}) if cols else df
+            return df.withColumns({c: F.round(F.col(c).cast("double") + F.lit(TIE), 6) + F.lit(0.0) for c in cols}) if cols else df
 
         _queries[f.__name__] = run
         if sql:
             with_ = f"WITH RECURSIVE {', '.join(ctes)} " if ctes else ""
-            rep = " REPLACE (" + ", ".join(f"round(CAST({c} AS DOUBLE), 6) + 0.0 AS {c}" for c in cols) + ")" if cols else ""
+            rep = " REPLACE (" + ", ".join(f"round(CAST({c} AS DOUBLE) + {TIE}, 6) + 0.0 AS {c}" for c in cols) + ")" if cols else ""
             _sql[f.__name__] = f"{with_}SELECT *{rep} FROM ({sql})"
         return f
 
