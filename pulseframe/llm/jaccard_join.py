@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import components, cut, drop_cut, forest, parts_for, small_batches
-from .textnp import column, mix, shingles, slabs
+from .textnp import column, mix, shingles, slabs, tidy
 
 COUNTERS = 1 << 22
 CHUNKS = 16
 SALTS = 8
 SLAB = 2 << 20
-FLUSH = 2_000_000  # postings held by a task before they are packed
+FLUSH = 1_000_000  # postings held by a task before they are packed
 BLOCK = 4096
 LEAF, FAN = 32, 8
 FILTER_BITS = 1 << 23
@@ -71,13 +71,14 @@ def signatures(v: np.ndarray, o: np.ndarray) -> list[bytes]:
 
 
 def _first_pass(k):
+    @tidy
     def run(batches):
-        table, any_ = np.zeros(COUNTERS, np.int64), False
+        table, any_ = np.zeros(COUNTERS, np.uint32), False
         for b in batches:
             n, fp, sig = [], [], []
             for _, v, o in _sets(b.column(1), k):
                 any_ = True
-                table += np.bincount((v & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                np.add.at(table, (v & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
                 n.append(np.diff(o))
                 fp.append((_sum(mix(v), o) ^ mix(np.diff(o).astype(np.uint64))).view(np.int64))
                 sig += signatures(v, o)
@@ -85,7 +86,7 @@ def _first_pass(k):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(fp), pa.array(sig, pa.binary()), pa.nulls(len(b), pa.int32()), pa.nulls(len(b), pa.int32())], ["id", "n", "fp", "sig", "chunk", "salt"])
         if any_:
             parts = table.reshape(CHUNKS, -1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, pa.int64())] * 3 + [pa.array([zlib.compress(x.astype(np.uint32).tobytes(), 1) for x in parts], pa.binary()), pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array(np.full(CHUNKS, int(table[:997].sum()) % SALTS, np.int32))], ["id", "n", "fp", "sig", "chunk", "salt"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, pa.int64())] * 3 + [pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary()), pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array(np.full(CHUNKS, int(table[:997].sum()) % SALTS, np.int32))], ["id", "n", "fp", "sig", "chunk", "salt"])
 
     return run
 
@@ -116,6 +117,7 @@ def _classes(first: DataFrame) -> np.ndarray:
 
 
 def _second_pass(k, num, den, classes, buckets):
+    @tidy
     def run(batches):
         cls = np.frombuffer(zlib.decompress(classes), np.uint8)
         tok, ids, size, held = [], [], [], 0
@@ -171,6 +173,7 @@ def _blob(*arrays: np.ndarray) -> bytes:
 def _groups(num, den):
     """Of a partition's postings: (block, member) rows, and the links of copies."""
 
+    @tidy
     def run(batches):
         t, d, n = [], [], []
         for b in batches:
@@ -343,6 +346,7 @@ def _tree_pass(num, den):
         if left is not None and left.num_rows:
             yield left
 
+    @tidy
     def run(batches):
         out_a, out_b, held = [], [], 0
         for t in blocks(batches):
@@ -368,6 +372,7 @@ def _tree_pass(num, den):
 
 
 def _prune_pass(num, den):
+    @tidy
     def run(batches):
         for b in batches:
             ok = pair_possible(b["na"].to_numpy(), b["nb"].to_numpy(), b["sa"].to_pylist(), b["sb"].to_pylist(), num, den)
@@ -388,6 +393,7 @@ def _verify_pass(k, num, den):
             got += [v[x:y] for x, y in zip(o[:-1].tolist(), o[1:].tolist())]
         return [got[i] for i in same.tolist()]
 
+    @tidy
     def run(batches):
         for b in batches:
             if not len(b):
@@ -409,6 +415,7 @@ def _verify_pass(k, num, den):
 def _filter_table(ids: DataFrame) -> np.ndarray:
     """A bit table of fixed size of the ids; false hits only cost time."""
 
+    @tidy
     def run(batches):
         t = np.zeros(FILTER_BITS, bool)
         for b in batches:
@@ -459,7 +466,7 @@ def link_documents(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc
     with a null id link with nothing and have a null component. Other columns are not read.
     """
     spark = df.sparkSession
-    small_batches(spark, 2048)
+    small_batches(spark, 1024)
     docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     first = cut(docs.mapInArrow(_first_pass(k), "id long, n long, fp long, sig binary, chunk int, salt int"), "sets")
     classes = zlib.compress(_classes(first).tobytes(), 1)

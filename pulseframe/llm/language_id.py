@@ -9,7 +9,6 @@ Training is backpropagation through time in numpy on the driver, on a bounded sa
 
 from __future__ import annotations
 
-import gc
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import small_batches
-from .textnp import LOWER, column, gather, owner, piece_hash, runs, slabs, within
+from .textnp import LOWER, column, gather, owner, piece_hash, runs, slabs, tidy, within
 
 SAMPLE_ROWS = 1200
 SAMPLE_BYTES = 1500
@@ -27,7 +26,7 @@ STEPS = 350
 BATCH = 384
 PIECE = 24  # longer words are read in pieces of so many bytes
 SLAB = 8 << 20
-KEEP_WORDS = 400_000
+KEEP_WORDS = 250_000
 UNKNOWN = "und"
 
 LETTER = np.zeros(256, bool)
@@ -250,8 +249,8 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang_out: str = "la
     base = df.drop(lang_out, score_out)
     names = base.columns
 
+    @tidy
     def run(batches):
-        gc.disable()
         reader = Reader(model)
         for b in batches:
             langs, scores = reader.predict(b.column(names.index(text)))

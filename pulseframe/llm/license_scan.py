@@ -11,7 +11,6 @@ paragraphs of all whole texts are scanned.
 
 from __future__ import annotations
 
-import gc
 import re
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import small_batches
-from .textnp import LOWER, column, mix, owner, piece_hash, runs, slabs
+from .textnp import LOWER, column, mix, owner, piece_hash, runs, slabs, tidy
 
 SAMPLE_ROWS = 300
 SAMPLE_BYTES = 2000
@@ -211,8 +210,8 @@ def scan(df: DataFrame, scanner: Scanner, doc_id: str = "doc_id", text: str = "t
     small_batches(df.sparkSession, 2048)
     kind = df.schema[doc_id].dataType.simpleString()
 
+    @tidy
     def run(batches):
-        gc.disable()
         blank = np.ones(256, bool)
         blank[[0x20, *range(0x09, 0x0E)]] = False
         for b in batches:

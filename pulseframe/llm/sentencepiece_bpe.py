@@ -9,7 +9,6 @@ Results equal the sentencepiece library's for models of type BPE with identity n
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from functools import lru_cache
 
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import small_batches
-from .textnp import column, gather, owner, piece_hash, slabs
+from .textnp import column, gather, owner, piece_hash, slabs, tidy
 
 SLAB = 8 << 20
 KEEP_UNITS = 300_000
@@ -265,7 +264,6 @@ class Codec:
 
 @lru_cache(maxsize=2)
 def codec(model: str) -> Codec:
-    gc.disable()  # the many small strings hold no cycles
     return Codec(model)
 
 
@@ -278,11 +276,14 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", model: str | Non
     small_batches(df.sparkSession, 2048)
     base = df.drop(out)
 
+    @tidy
     def run(batches):
         c = codec(model)
+        c._clear()
         for b in batches:
             ids = c.encode(b.column(names.index(text)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], [*b.schema.names, out])
+        c._clear()
 
     names = base.columns
     schema = base.select("*", F.lit(None).cast("array<int>").alias(out)).schema
@@ -312,11 +313,14 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text: str = "text", model:
     model = model or default_model()
     small_batches(df.sparkSession, 2048)
 
+    @tidy
     def run(batches):
         c = codec(model)
+        c._clear()
         for b in batches:
             n, ids, dec = c.digests(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(dec, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        c._clear()
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -12,7 +12,6 @@ many documents hold reaches a task once for each share, not once for each docume
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import struct
 
@@ -22,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut, parts_for, release, small_batches
-from .textnp import BYTE_CODE, _BASE, column, mix, owner, powers, runs, slabs, within
+from .textnp import BYTE_CODE, _BASE, column, mix, owner, powers, runs, slabs, tidy, within
 
 K = 20
 SLAB = 1 << 20
-FLUSH = 1_000_000
+FLUSH = 600_000
 NO_ID = -(1 << 63)  # stands for a null id
 _UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _unpower = np.ones(1, np.uint64)
@@ -146,8 +145,8 @@ FOUND = "id long, h int, spans binary, open binary"
 
 
 def _first_pass(least, k, buckets):
+    @tidy
     def run(batches):
-        gc.disable()
         held, count = [], 0
 
         def flush():
@@ -192,6 +191,7 @@ def _first_pass(least, k, buckets):
 def _decide(least):
     """Of a partition's runs: decided spans, and the runs that need their windows compared."""
 
+    @tidy
     def run(batches):
         got = []
         for b in batches:
@@ -235,8 +235,8 @@ def _decide(least):
 def _bytes_pass(least, buckets):
     """Rows (id, h, text, open) -> the open runs with their bytes, packed by bucket."""
 
+    @tidy
     def run(batches):
-        gc.disable()
         held, size = [], 0
 
         def flush():
@@ -274,6 +274,7 @@ def _bytes_pass(least, buckets):
 def _windows(least):
     """Packed open runs of a partition -> spans whose windows occur in a smaller document."""
 
+    @tidy
     def run(batches):
         got = []
         for b in batches:
@@ -335,7 +336,7 @@ def _spans(df: DataFrame, least: int, doc_id: str, text: str, others: list[str])
     if least < K:
         raise ValueError(f"at least {K} bytes")
     spark = df.sparkSession
-    small_batches(spark, 2048)
+    small_batches(spark, 1024)
     # never null, so that both joins on it need the same exchange of the texts, which is then made once
     docs = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.hash(text).alias("h"), F.col(text).alias("text"), *others)
     n = parts_for(df)
@@ -363,8 +364,8 @@ def digests(df: DataFrame, least: int = 50, doc_id: str = "doc_id", text: str =
     with a null id neither remove nor lose anything. Other columns are not read.
     """
 
+    @tidy
     def run(batches):
-        gc.disable()
         for b in batches:
             data, off = column(b["text"])
             removed, spans, sha = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64), []
@@ -390,8 +391,8 @@ def remove_repeats(df: DataFrame, least: int = 50, doc_id: str = "doc_id", text:
     base = df.select(doc_id, text, *named)
     got = _spans(base, least, doc_id, text, [f"o_{i}" for i in range(len(others))]).drop("h")
 
+    @tidy
     def run(batches):
-        gc.disable()
         for b in batches:
             data, off = column(b["text"])
             out = []

@@ -11,7 +11,6 @@ tokens counts.
 
 from __future__ import annotations
 
-import gc
 from functools import lru_cache
 
 import numpy as np
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .sentencepiece_bpe import MARK, default_model
 from .shared import small_batches
-from .textnp import SPACE, column, gather, mix, owner, piece_hash, runs, slabs
+from .textnp import SPACE, column, gather, mix, owner, piece_hash, runs, slabs, tidy
 
 SLAB = 8 << 20
 KEEP_WORDS = 500_000
@@ -153,7 +152,6 @@ def zipf_pieces(model: str) -> dict[str, float]:
 
 @lru_cache(maxsize=2)
 def unigram(model: str) -> Unigram:
-    gc.disable()
     return Unigram(zipf_pieces(model))
 
 
@@ -167,10 +165,13 @@ def count_tokens(df: DataFrame, text: str = "text", model: str | None = None, to
     base = df.drop(tokens, pre_tokens)
     names = base.columns
 
+    @tidy
     def run(batches):
         m = unigram(model)
+        m.clear()
         for b in batches:
             n, p = m.counts(b.column(names.index(text)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(p, pa.int64())], [*b.schema.names, tokens, pre_tokens])
+        m.clear()
 
     return base.mapInArrow(run, base.select("*", F.lit(0).cast("long").alias(tokens), F.lit(0).cast("long").alias(pre_tokens)).schema)

@@ -10,7 +10,6 @@ between as quarantined.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import re
 import uuid
@@ -143,7 +142,6 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
     def run(batches):
         from pyspark import TaskContext
 
-        gc.disable()
         fs, base = _filesystem(folder)
         part, tried = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         out, size, count, seq = [], 0, 0, 0
@@ -195,7 +193,6 @@ def read(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
         return int(m[1]) if m else None
 
     def run(batches):
-        gc.disable()
         for b in batches:
             for path, data in zip(b["path"].to_pylist(), b["content"]):
                 cols: dict[str, list] = {k.split()[0]: [] for k in READ.split(", ")}
