@@ -27,7 +27,7 @@ def first_match(pairs, otherwise=None) -> Column:
 
 def as_date(x) -> Column:
     """PRJ-01, PRJ-04: the calendar date at the start of an ISO text; any offset is left aside."""
-    return F.try_to_date(F.substring(_c(x).cast("string"), 1, 10), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(F.substring(_c(x).cast("string"), 1, 10), "yyyy-MM-dd")
 
 
 def number(x) -> Column:

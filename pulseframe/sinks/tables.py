@@ -25,10 +25,10 @@ class Store:
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def _pointer(self, table: str) -> str | None:
-        p, fs = self._fs(f"{self.root}/{table}/_current")
+        p, fs = self._fs(f"{self.root}/{table}/current.txt")
         if not fs.exists(p):
             return None
-        return self.spark.read.text(f"{self.root}/{table}/_current").first()[0]
+        return self.spark.read.text(f"{self.root}/{table}/current.txt").first()[0]
 
     def read(self, table: str) -> DataFrame:
         """The current rows; an absent table is empty."""
@@ -40,11 +40,11 @@ class Store:
         """The rows of df become the table."""
         at = f"v-{uuid.uuid4().hex}"
         schemas.conform(df, table).write.parquet(f"{self.root}/{table}/{at}")
-        p, fs = self._fs(f"{self.root}/{table}/_current.tmp-{at}")
+        p, fs = self._fs(f"{self.root}/{table}/current.tmp-{at}")
         out = fs.create(p, True)
         out.write(bytearray(at.encode()))
         out.close()
-        to, _ = self._fs(f"{self.root}/{table}/_current")
+        to, _ = self._fs(f"{self.root}/{table}/current.txt")
         if fs.exists(to):
             fs.delete(to, False)
         fs.rename(p, to)

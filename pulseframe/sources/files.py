@@ -12,7 +12,7 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,24 +150,19 @@ def newest(files: DataFrame, days: int = 45, most: int = 80) -> DataFrame:
 def track_points(files: DataFrame) -> DataFrame:
     """SRC-15 to 18: rows of POINT from path and content; files that can't be read give a row with `i` null."""
     ship(files.sparkSession)
-    names = [c.split()[0] for c in POINT.split(", ")]
+    kind = pa.schema([("path", pa.string()), ("i", pa.int32()), ("ts", pa.timestamp("us", "UTC")), ("watts", pa.float64()), ("hr", pa.float64()), ("distance_m", pa.float64()), ("altitude", pa.float64()), ("sport", pa.string())])
 
     def run(batches):
         for b in batches:
-            for path, data in zip(b["path"], b["content"]):
+            for path, data in zip(b["path"].to_pylist(), b["content"]):
                 try:
-                    rows = parse_activity(bytes(data), path)
+                    rows = [r | {"path": path, "i": i} for i, r in enumerate(parse_activity(data.as_py(), path))]
                 except (ValueError, IndexError, struct.error, ET.ParseError, OSError, EOFError):
-                    rows = None
-                p = pd.DataFrame(rows if rows is not None else [{}], columns=names[2:]).assign(path=path)
-                p["i"] = range(len(p)) if rows is not None else None
-                p["ts"] = pd.to_datetime(p["ts"], utc=True).dt.tz_localize(None)
-                for c in ("watts", "hr", "distance_m", "altitude"):
-                    p[c] = p[c].astype(float)
-                p["i"] = p["i"].astype("Int32")
-                yield p[names]
+                    rows = [{"path": path}]
+                rows = [{n: (float(r[n]) if n in ("watts", "hr") and r.get(n) is not None else r.get(n)) for n in kind.names} for r in rows]
+                yield pa.RecordBatch.from_pylist(rows, kind)
 
-    return files.select("path", "content").mapInPandas(run, POINT)
+    return files.select("path", "content").mapInArrow(run, POINT)
 
 
 def session_rows(points: DataFrame, user_id: str, source: str = "wahoo_fit") -> DataFrame:
@@ -239,7 +234,7 @@ def decode_webhook(headers: dict, body: str | bytes | None, is_base64: bool = Fa
 
 def transcripts(spark: SparkSession, root: str) -> DataFrame:
     """SRC-29: path, title, author, date, text of the Markdown and text files under root, but for any readme, by path."""
-    t = spark.read.option("wholetext", True).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{md,txt,markdown}").text(root).withColumn("path", F.col("_metadata.file_path"))
+    t = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{md,txt,markdown}").withColumn("path", F.col("_metadata.file_path"))
     t = t.where(~F.lower(F.regexp_extract("path", r"([^/]+)$", 1)).startswith("readme"))
     body = F.regexp_replace("value", r"(?s)\A---\s*\n.*?\n---\s*\n?", "")
     return t.select("path", *[S.front_matter("value", k).alias(k) for k in ("title", "author", "date")], S.truncate(body).alias("text"))

@@ -11,7 +11,7 @@ from ..operators import features
 _SET = "struct<index:int,type:string,weight_kg:double,reps:int,distance_meters:double,duration_seconds:int,rpe:double>"
 STRENGTH_PAGE = f"page int, page_count int, workouts array<struct<id:string,title:string,start_time:string,end_time:string,exercises:array<struct<index:int,title:string,notes:string,superset_id:string,sets:array<{_SET}>>>>>"
 CARDIO = "array<struct<id:string,name:string,distance:double,moving_time:double,total_elevation_gain:double,type:string,sport_type:string,start_date:string,start_date_local:string,average_heartrate:double,max_heartrate:double,calories:double,kilojoules:double,average_watts:double,max_watts:double,device_watts:boolean>>"
-_SAMPLE = "struct<qty:double,Qty:double,value:double,date:string,units:string,totalSleep:double,asleep:double,deep:double,rem:double,Avg:double>"
+_SAMPLE = "struct<qty:double,value:double,date:string,units:string,totalSleep:double,asleep:double,deep:double,rem:double,Avg:double>"
 METRICS = f"data struct<metrics:array<struct<name:string,units:string,data:array<{_SAMPLE}>>>>"
 _Q = "struct<qty:double,units:string>"
 _QS = "array<struct<qty:double,units:string,date:string,source:string>>"
@@ -65,8 +65,9 @@ def cardio_sessions(pages: DataFrame, raw: str = "raw") -> DataFrame:
 
 def health_samples(raw: DataFrame, col: str = "raw") -> DataFrame:
     """SRC-06, SRC-08: export payloads to samples (user_id, source, event_date, metric, value, unit, seq)."""
-    m = raw.select("user_id", F.explode(F.from_json(col, METRICS)["data"]["metrics"]).alias("m")).select("user_id", canonical_metric("m.name").alias("metric"), F.col("m.units").alias("unit"), F.posexplode("m.data").alias("seq", "s"))
-    qty = F.coalesce("s.qty", "s.Qty", "s.value", "s.Avg")
+    text = F.regexp_replace(col, r'"Qty"\s*:', '"qty":')  # both spellings occur
+    m = raw.select("user_id", F.explode(F.from_json(text, METRICS)["data"]["metrics"]).alias("m")).select("user_id", canonical_metric("m.name").alias("metric"), F.col("m.units").alias("unit"), F.posexplode("m.data").alias("seq", "s"))
+    qty = F.coalesce("s.qty", "s.value", "s.Avg")
     out = lambda name, v, u: F.struct(name.alias("metric"), v.cast("double").alias("value"), u.alias("unit"))
     mass = F.col("metric").isin("body_weight_lbs", "muscle_mass_lbs")
     unit = F.coalesce("unit", "s.units")
