@@ -331,6 +331,13 @@ def _cover(size: int, blobs) -> np.ndarray:
     return np.cumsum(step)[:size] > 0
 
 
+def _runs(docs: DataFrame, least: int, buckets: int) -> DataFrame:
+    """(id, h, spans, open) of documents with repeats, written; nothing refers to the runs' shuffle afterwards."""
+    known = docs.where((F.col("id") != NO_ID) & (F.octet_length("text") >= least))
+    found = known.mapInArrow(_first_pass(least, K, buckets), FIRST).repartition(buckets, "bucket").mapInArrow(_decide(least), FOUND)
+    return cut(found.groupBy("id", "h").agg(F.collect_list("spans").alias("spans"), F.collect_list("open").alias("open")), "runs")
+
+
 def _spans(df: DataFrame, least: int, doc_id: str, text: str, others: list[str]) -> DataFrame:
     """id, h, text, others and `all`, the removed spans' bytes by row (null: none)."""
     if least < K:
@@ -341,10 +348,7 @@ def _spans(df: DataFrame, least: int, doc_id: str, text: str, others: list[str])
     docs = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.hash(text).alias("h"), F.col(text).alias("text"), *others)
     n = parts_for(df)
     buckets = min(65_536, n)
-    known = docs.select("id", "h", "text").where((F.col("id") != NO_ID) & (F.octet_length("text") >= least))
-    first = known.mapInArrow(_first_pass(least, K, buckets), FIRST)
-    found = first.repartition(buckets, "bucket").mapInArrow(_decide(least), FOUND)
-    per = cut(found.groupBy("id", "h").agg(F.collect_list("spans").alias("spans"), F.collect_list("open").alias("open")), "runs")
+    per = _runs(docs.select("id", "h", "text"), least, buckets)
     release(spark)
     dealt = docs.repartition(n, "id", "h")
     todo = dealt.select("id", "h", "text", *others).join(per.where(F.size("open") > 0).select("id", "h", "open"), ["id", "h"]).select("id", "h", "text", *others, "open")
