@@ -64,7 +64,9 @@ def input_bytes(df: DataFrame) -> int:
 def parts_for(df: DataFrame, mb: int = 8) -> int:
     """How many partitions of about mb MB of the input; never fewer than the session's shuffle partitions."""
     few = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(few, min(1_000_000, input_bytes(df) // (mb << 20)))
+    size = input_bytes(df)
+    # rows that don't come from files have no estimate, which Spark gives as a number near 2^63
+    return few if size >= 1 << 60 else max(few, min(1_000_000, size // (mb << 20)))
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
