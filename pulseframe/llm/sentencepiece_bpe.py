@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .shared import small_batches
 from .textnp import column, gather, owner, piece_hash, slabs, tidy
 
-SLAB = 8 << 20
-KEEP_UNITS = 300_000
+SLAB = 2 << 20
+KEEP_UNITS = 150_000
 NONE = np.iinfo(np.int32).max
 MARK = "▁"
 
@@ -273,7 +273,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", model: str | Non
     A null or empty text has no ids. Repeated rows stay; `out` replaces a column of that name.
     """
     model = model or default_model()
-    small_batches(df.sparkSession, 2048)
+    small_batches(df.sparkSession, 1024)
     base = df.drop(out)
 
     @tidy
@@ -311,7 +311,7 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text: str = "text", model:
     Null and empty texts have no tokens and the digests of nothing. Repeated rows give repeated results; other columns are not read.
     """
     model = model or default_model()
-    small_batches(df.sparkSession, 2048)
+    small_batches(df.sparkSession, 1024)
 
     @tidy
     def run(batches):
