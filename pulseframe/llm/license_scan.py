@@ -1,6 +1,6 @@
 """Licence notices in documents, by a trained paragraph classifier confirmed by templates.
 
-A paragraph (a line of the text) is described by its word 1- to 3-grams, lower-cased; a multinomial logistic
+A paragraph (a line of the text, or a run of adjacent lines that holds a hard-wrapped notice) is described by its word 1- to 3-grams, lower-cased; a multinomial logistic
 regression over those n-grams, trained in numpy on variations of the templates, on notices of invented licences
 (class `unknown`) and on ordinary paragraphs (class `none`), gives its class. Probabilities are calibrated by a
 temperature on variations held back from training. A family counts only if the paragraph also holds enough of one
@@ -11,6 +11,7 @@ paragraphs of all whole texts are scanned.
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import small_batches
-from .textnp import LOWER, column, mix, owner, piece_hash, runs, slabs, tidy
+from .textnp import LOWER, column, gather, mix, owner, piece_hash, runs, slabs, tidy
 
 SAMPLE_ROWS = 300
 SAMPLE_BYTES = 2000
@@ -33,9 +34,9 @@ TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0"],
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "Licensed under the MIT license.", "SPDX-License-Identifier: MIT"],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "SPDX-License-Identifier: GPL-3.0"],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0"],
-    "LGPL": ["This library is licensed under the GNU Lesser General Public License.", "SPDX-License-Identifier: LGPL-3.0"],
-    "AGPL": ["This work is licensed under the GNU Affero General Public License.", "SPDX-License-Identifier: AGPL-3.0"],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "SPDX-License-Identifier: GPL-2.0"],
+    "LGPL": ["This library is licensed under the GNU Lesser General Public License.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License", "SPDX-License-Identifier: LGPL-3.0"],
+    "AGPL": ["This work is licensed under the GNU Affero General Public License.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License", "SPDX-License-Identifier: AGPL-3.0"],
     "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD License.", "SPDX-License-Identifier: BSD-3-Clause"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
@@ -190,6 +191,92 @@ class Scanner:
         hit = np.flatnonzero((best > 0) & ((final > 1) | evident))
         return ids[hit], final[hit], 1 - prob[hit, 0]
 
+    def scan_wrapped(self, data: np.ndarray, off: np.ndarray, row: np.ndarray):
+        """scan() of lines, with the notices that run over several adjacent lines of a row; these count at their first line."""
+        p, c, prob = self.scan(data, off)
+        low = LOWER[data]
+        s, e = runs(WORD[low], off)
+        if len(s) < 2:
+            return p, c, prob
+        h, line = piece_hash(low, s, e), owner(off, s)
+        near = (np.diff(line) <= 1) & (row[line[1:]] == row[line[:-1]])  # the next word is in the same run of lines
+        block = np.concatenate([[0], np.cumsum(~near)])
+        pair = mix(h[:-1] * np.uint64(31) + h[1:])
+        spans = self._spans(pair, near, block, line)
+        if spans:
+            a, b = np.array(spans).T
+            flat, first, _ = gather(data, s[a], e[b])
+            i, fam, sure = self.scan(flat, np.append(first, len(flat)))
+            i, fam, sure = i[fam > 1], fam[fam > 1], sure[fam > 1]
+            top, end = line[a[i]], line[b[i]]
+        else:
+            top = end = fam = np.zeros(0, np.int64)
+            sure = np.zeros(0)
+        # lines that are only parts of these notices don't count again
+        whole = np.ones(len(p), bool)
+        busy = np.zeros(len(off), bool)
+        busy[p] = True
+        for x, y, f in zip(top.tolist(), end.tolist(), fam.tolist()):
+            u, v = np.searchsorted(p, [x, y + 1])
+            whole[u:v] &= (c[u:v] != 1) & (c[u:v] != f)
+            busy[x : y + 1] = True
+        # other lines that known n-grams join are seen as one
+        k = np.flatnonzero(near & (line[1:] != line[:-1]))
+        k = k[~busy[line[k]] & ~busy[line[k + 1]]]
+        three = lambda q: mix(pair[q] * np.uint64(31) + h[q + 2])
+        linked = self._is_known(pair[k])
+        left = np.flatnonzero((k > 0) & near[np.maximum(k - 1, 0)])
+        linked[left] |= self._is_known(three(k[left] - 1))
+        right = np.flatnonzero(k + 2 < len(s))
+        right = right[near[k[right] + 1]]
+        linked[right] |= self._is_known(three(k[right]))
+        join = np.unique(line[k[linked]])  # lines that go on in the next
+        if len(join):
+            cut = np.flatnonzero(np.diff(join) > 1)
+            x, y = join[np.concatenate([[0], cut + 1])], join[np.append(cut, len(join) - 1)] + 1
+            flat, first, _ = gather(data, off[x], off[y + 1])
+            i, f, q = self.scan(flat, np.append(first, len(flat)))
+            top, fam, sure = np.concatenate([top, x[i]]), np.concatenate([fam, f]), np.concatenate([sure, q])
+        return np.concatenate([p[whole], top]), np.concatenate([c[whole], fam]), np.concatenate([prob[whole], sure])
+
+    def _is_known(self, v: np.ndarray) -> np.ndarray:
+        return self.known[np.minimum(np.searchsorted(self.known, v), len(self.known) - 1)] == v
+
+    def _spans(self, pair, near, block, line) -> list[tuple[int, int]]:
+        """Spans of words (first, last) over several lines that hold enough of a template's pairs; of overlapping ones the best."""
+        every = np.unique(np.concatenate([x for _, x in self.pairs]))
+        code = np.minimum(np.searchsorted(every, pair), len(every) - 1)
+        at = np.flatnonzero(near & (every[code] == pair))
+        code = code[at]
+        found = []
+        for _, pairs in self.pairs:
+            n = len(pairs)
+            member = np.zeros(len(every), bool)
+            member[np.searchsorted(every, pairs)] = True
+            k = member[code]
+            pos, which = at[k], code[k]
+            if not len(pos):
+                continue
+            # words between count as far as the notice stays within twice the template's length
+            to = np.minimum(np.searchsorted(pos, pos + 2 * (n + 1)), np.searchsorted(block[pos], block[pos], "right"))
+            begin = np.flatnonzero((to - np.arange(len(pos)) >= CONFIRM * n) & (line[pos[to - 1] + 1] > line[pos]))
+            for i in begin.tolist():
+                seen: set = set()
+                last = i
+                for j, x in enumerate(which[i : to[i]].tolist(), i):
+                    if x not in seen:
+                        seen.add(x)
+                        last = j
+                a, b = int(pos[i]), int(pos[last]) + 1
+                if len(seen) >= CONFIRM * n and line[b] > line[a]:
+                    found.append((-len(seen) / n, b - a, -n, a, b))
+        out: list[tuple[int, int]] = []
+        for *_, a, b in sorted(found):
+            k = bisect.bisect(out, (a, b))
+            if (k == 0 or out[k - 1][1] < a) and (k == len(out) or b < out[k][0]):
+                out.insert(k, (a, b))
+        return out
+
 
 def train(df: DataFrame, text: str = "text", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> Scanner:
     r = F.xxhash64(F.col(key).cast("string"))
@@ -202,8 +289,8 @@ def train(df: DataFrame, text: str = "text", key: str = "doc_id", rows: int = SA
 def scan(df: DataFrame, scanner: Scanner, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_paragraphs, n_notices, n_unknown, families, score of every row.
 
-    Paragraphs are the lines that aren't blank. families: the confirmed families, sorted, joined by commas, empty for
-    none; n_notices counts paragraphs with a notice, n_unknown those of no confirmed family; score is the highest
+    Paragraphs are the lines that aren't blank; a notice wrapped over several lines counts once. families: the confirmed families, sorted, joined by commas, empty for
+    none; n_notices counts lines and runs of lines with a notice, n_unknown those of no confirmed family; score is the highest
     calibrated probability of a notice, 0 for none. Null and empty texts have no paragraphs. Repeated rows stay;
     other columns are not read.
     """
@@ -228,7 +315,7 @@ def scan(df: DataFrame, scanner: Scanner, doc_id: str = "doc_id", text: str = "t
                 row = i + owner(o, ends[:-1])
                 full = np.logical_or.reduceat(blank[d], ends[:-1])
                 paras[i:j] += np.bincount(row - i, full, minlength=j - i).astype(np.int64)
-                p, c, s = scanner.scan(d, ends)
+                p, c, s = scanner.scan_wrapped(d, ends, row)
                 for r, x, y in zip(row[p].tolist(), c.tolist(), s.tolist()):
                     notices[r] += 1
                     score[r] = max(score[r], y)

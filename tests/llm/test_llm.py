@@ -231,6 +231,28 @@ def test_license_scan(spark):
     assert r[3].families == "" and r[3].n_unknown == 1 and r[4].n_notices == 0 and r[5].n_paragraphs == r[6].n_paragraphs == 0 and r[7].n_paragraphs == 51
 
 
+WRAPPED = {
+    "GPL-3.0": ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."],
+    "GPL-2.0": ["This program is free software; you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation; either version 2 of the License, or", "(at your option) any later version."],
+    "BSD": ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions", "are met:"],
+    "MIT": ["Permission is hereby granted, free of charge, to any person obtaining a copy", "of this software and associated documentation files (the \"Software\"), to deal", "in the Software without restriction"],
+    "AGPL": ["This work is", "licensed under", "the GNU Affero", "General Public", "License."],
+}
+
+
+def test_license_scan_of_wrapped_notices(spark):
+    s = license_scan.Scanner(["Plain words about nothing.\nThe house is old."] * 20)
+    rows, want = [], {}
+    for k, (family, lines) in enumerate(WRAPPED.items()):
+        for j, (mark, end) in enumerate([("", "\n"), (" * ", "\r\n"), ("# ", "\n")]):
+            rows.append((10 * k + j, end.join(["The house is old.", *(mark + x for x in lines), mark, "Plain words."])))
+            want[10 * k + j] = (len(lines) + 2 + bool(mark.strip()), 1, 0, family)
+    rows += [(100, "\n".join([*WRAPPED["MIT"], "", *WRAPPED["BSD"]])), (101, "\n\n".join(WRAPPED["AGPL"])), (102, "Released under the MIT\nLicense.\nLicensed under CC\nBY-NC 4.0."), (103, "the public\nroad was released\nunder the bridge of the\nGNU and its license")]
+    r = {x.doc_id: x for x in license_scan.scan(docs(spark, rows), s).collect()}
+    assert {i: (r[i].n_paragraphs, r[i].n_notices, r[i].n_unknown, r[i].families) for i in want} == want
+    assert r[100].families == "BSD,MIT" and r[101].families == "" and r[102].families == "CC-BY-NC,MIT" and r[102].n_notices == 2 and r[103].families == ""
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a", "same"), (2, "http://b c", "same"), (3, None, None), (4, "http://d", ""), (5, "http://e", "é" * 9000), (6, "x", "WARC/1.1\r\n\r\n\r\n\r\n"), (7, "y", "same")]
     p = spark.createDataFrame(rows, "page_id long, url string, html string")
