@@ -4,16 +4,17 @@ The network reads each word (a run of ASCII letters, lower-cased, and bytes from
 gives every byte position a distribution over the languages; a document's probabilities are the mean over all
 its positions. Since a word's positions depend on the word alone, each distinct word of a slab is read once.
 Training is backpropagation through time in numpy on the driver, on a bounded sample of labelled rows
-(SAMPLE_ROWS documents of at most SAMPLE_BYTES bytes each); prediction reads every byte of every text.
+(SAMPLE_ROWS documents of at most SAMPLE_BYTES bytes each, shared equally by the languages); prediction reads every byte of every text.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import small_batches
@@ -226,13 +227,34 @@ class Reader:
 
 
 def training_rows(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> tuple[list[str], list[str]]:
-    """A bounded sample of labelled rows: of each language the first by a hash of the key."""
+    """A sample of labelled rows: of each language the first by a hash of the key, equally many as far as it has them.
+
+    At most `rows` in all, but one of each language at least.
+    """
     r = F.xxhash64(F.col(key).cast("string"))
-    some = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    n = max(1, some.count())
-    # a little more than needed, so that no sort of all rows is made; the limit is exact
-    part = some.where(F.pmod(r, F.lit(1 << 30)) < int((1 << 30) * min(1.0, 2.0 * rows / n + 20 / n)))
-    got = part.select(r.alias("r"), F.substring(text, 1, SAMPLE_BYTES).alias("t"), F.col(lang).alias("l")).orderBy("r", "t", "l").limit(rows).collect()
+    some = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(r.alias("r"), F.substring(text, 1, SAMPLE_BYTES).alias("t"), F.col(lang).alias("l"))
+    sizes = {g.l: g["n"] for g in some.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    # what languages with few rows leave is shared by the others
+    left, each = rows, {}
+    for k, x in enumerate(sorted(sizes, key=lambda x: (sizes[x], x))):
+        each[x] = max(1, min(sizes[x], left // (len(sizes) - k)))
+        left -= each[x]
+
+    def first(part: DataFrame, langs) -> list:
+        top = part.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("r", "t"))).where(F.col("k") <= max(each.values()))
+        return [g for g in top.collect() if g.l in langs and g["k"] <= each[g.l]]
+
+    if not sizes:
+        return [], []
+    # a little more than needed, so that no sort of all rows is made; the row numbers are exact
+    bars = df.sparkSession.createDataFrame([(x, int((1 << 30) * min(1.0, (2.0 * each[x] + 20) / n))) for x, n in sizes.items()], "l string, bar long")
+    got = first(some.join(F.broadcast(bars), "l").where(F.pmod("r", F.lit(1 << 30)) < F.col("bar")), sizes)
+    # where many rows share a key, its hash can leave out too many
+    n = Counter(g.l for g in got)
+    short = [x for x in sizes if n[x] < each[x]]
+    if short:
+        got = [g for g in got if g.l not in set(short)] + first(some.where(F.col("l").isin(short)), set(short))
+    got.sort(key=lambda g: (g.r, g.t, g.l))
     return [g.t for g in got], [g.l for g in got]
 
 

@@ -195,6 +195,15 @@ def test_language_id():
     assert language_id.train([], []).langs == ["und"]
 
 
+def test_language_sample_has_every_language(spark):
+    rows = [(i, f"text {i}", "en" if i % 3 else "de") for i in range(3000)] + [(3000 + i, "rare", "fi") for i in range(3)] + [(9000, f"same {i}", "sv") for i in range(400)] + [(9001, None, "xx"), (9002, "x", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    texts, langs = language_id.training_rows(d, rows=63)
+    assert Counter(langs) == {"en": 20, "de": 20, "sv": 20, "fi": 3} and texts.count("rare") == 3
+    assert set(language_id.training_rows(d, rows=2)[1]) == {"en", "de", "sv", "fi"}
+    assert language_id.training_rows(d.limit(0)) == ([], [])
+
+
 def test_language_gradients():
     rng = np.random.default_rng(0)
     k, n_l = 3, 2
