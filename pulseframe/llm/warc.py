@@ -4,12 +4,14 @@ The writer makes gzip archives of one member a record (or plain ones) in a folde
 systems both reach; a file is written under a hidden name and renamed when complete, so that a task that runs again
 replaces its own files. The reader checks each record (version line, header, lengths, block digest, gzip checksum);
 after a failed check it searches for the next valid member or version line, goes on there, and logs the bytes
-between as quarantined.
+between as quarantined. A damaged member's valid records are kept, and the next version line is searched for in what
+could be decompressed of it.
 """
 
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import re
 import uuid
@@ -19,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_dir, small_batches
+from .shared import cut, shared_dir, small_batches
 
 PIECE = 1 << 14
+NEAR = 1 << 16  # bytes in which most headers end
 ROLL = 16 << 20  # bytes of an archive before the next begins
 MAGIC, VERSION, END = b"\x1f\x8b\x08", b"WARC/1.", b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -50,8 +53,11 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, bytes, int]:
     """The record that begins at `at`: header, block, end. ValueError says which check failed."""
     if not data.startswith(VERSION, at):
         raise ValueError("no version line")
-    stop = data.find(END, at)
-    if stop < 0 or stop - at > 1 << 16:
+    stop = data.find(END, at, at + NEAR)
+    if stop < 0:  # a longer header ends before the next version line
+        after = data.find(b"\n" + VERSION, at + 1)
+        stop = data.find(END, at, len(data) if after < 0 else after + 1)
+    if stop < 0:
         raise ValueError("no end of the header")
     head = {}
     for line in data[at:stop].split(b"\r\n")[1:]:
@@ -71,48 +77,77 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, bytes, int]:
     return head, block, end + 4
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    z, out, view = zlib.decompressobj(31), [], memoryview(data)
+def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the gzip member that begins at `at` holds, as far as it can be decompressed; its end, and its fault or ''."""
+    z, out, view, p = zlib.decompressobj(31), [], memoryview(data), at
     try:
-        while not z.eof and at < len(data):
-            piece = view[at : at + PIECE]
-            out.append(z.decompress(piece))
-            at += len(piece)
+        while not z.eof and p < len(data):
+            out.append(z.decompress(view[p : p + PIECE]))
+            p = min(p + PIECE, len(data))
     except zlib.error as e:
-        raise ValueError(f"gzip: {e}") from None
+        # the piece that failed once more by single bytes, for what comes before the fault
+        z = zlib.decompressobj(31)
+        for k in range(at, p, PIECE):
+            z.decompress(view[k : k + PIECE])
+        with contextlib.suppress(zlib.error):
+            while p < len(data):
+                out.append(z.decompress(view[p : p + 1]))
+                p += 1
+        return b"".join(out), p, f"gzip: {e}"
     if not z.eof:
-        raise ValueError("gzip: cut short")
-    return b"".join(out), at - len(z.unused_data)
+        return b"".join(out), len(data), "gzip: cut short"
+    return b"".join(out), p - len(z.unused_data), ""
 
 
-def salvage(data: bytes):
-    """Yields ("record", start, end, header, block) and ("gap", start, end, reason, None) over all bytes of an archive."""
-    packed = data.startswith(MAGIC) or (not data.startswith(VERSION) and 0 <= data.find(MAGIC) < (data.find(VERSION) if VERSION in data else len(data)))
-    mark, at, bad, why = (MAGIC if packed else VERSION), 0, None, ""
+def _plain(data: bytes, digests: bool = False):
+    """salvage() of bytes that aren't packed; with `digests` records without a block digest don't count."""
+    at, bad, why = 0, None, ""
     while at < len(data):
         try:
-            if packed:
-                if not data.startswith(MAGIC, at):
-                    raise ValueError("no gzip member")
-                text, end = _member(data, at)
-                got, p = [], 0
-                while p < len(text):
-                    head, block, p = parse(text, p)
-                    got.append((head, block))
-            else:
-                head, block, end = parse(data, at)
-                got = [(head, block)]
+            head, block, end = parse(data, at)
+            if digests and "warc-block-digest" not in head:
+                raise ValueError("no block digest in a damaged member")
         except ValueError as e:
             if bad is None:
                 bad, why = at, str(e)
-            at = data.find(mark, at + 1)
+            at = data.find(VERSION, at + 1)
             at = len(data) if at < 0 else at
             continue
         if bad is not None:
             yield "gap", bad, at, why, None
             bad = None
-        for head, block in got:
-            yield "record", at, end, head, block
+        yield "record", at, end, head, block
+        at = end
+    if bad is not None:
+        yield "gap", bad, len(data), why, None
+
+
+def salvage(data: bytes):
+    """Yields ("record", start, end, header, block) and ("gap", start, end, reason, None) over all bytes of an archive.
+
+    In a gzip archive start and end are those of the member; of a member with a fault the valid records count and a
+    gap follows, from its start to the next valid member if it can't be decompressed to its end.
+    """
+    packed = data.startswith(MAGIC) or (not data.startswith(VERSION) and 0 <= data.find(MAGIC) < (data.find(VERSION) if VERSION in data else len(data)))
+    if not packed:
+        yield from _plain(data)
+        return
+    at, bad, why = 0, None, ""
+    while at < len(data):
+        text, end, fault = _member(data, at) if data.startswith(MAGIC, at) else (b"", at, "no gzip member")
+        # a failed checksum says nothing about where; what was cut short is right up to there
+        got = list(_plain(text, fault not in ("", "gzip: cut short")))
+        kept = [x for x in got if x[0] == "record"]
+        if bad is not None and (kept or not (got or fault)):
+            yield "gap", bad, at, why, None
+            bad = None
+        for kind, _, _, head, block in got if kept and not fault else kept:
+            yield kind, at, end, head, block
+        if (fault or (got and not kept)) and bad is None:
+            bad, why = at, fault or got[0][3]
+        if fault:
+            end = data.find(MAGIC, at + 1)
+            end = len(data) if end < 0 else end
         at = end
     if bad is not None:
         yield "gap", bad, len(data), why, None
@@ -232,15 +267,22 @@ def read(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, least: int = 0) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to as read back from the archives of all rows."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to as read back from the archives of all rows.
+
+    Fails if other than the records written are read, or anything is quarantined. A given folder must be empty before.
+    """
     spark = pages.sparkSession
     folder = folder or f"{shared_dir(spark)}/pulseframe/warc-{uuid.uuid4().hex}"
     if "://" not in folder:
         folder = f"file://{folder}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
-    write(pages, folder, least=least).agg(F.sum("records"), F.sum("bytes")).collect()
-    return read(spark, folder).where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    written = write(pages, folder, least=least).agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    back = cut(read(spark, folder).select("kind", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "records")
+    records, gaps = back.agg(F.count_if(F.col("kind") == "record"), F.count_if(F.col("kind") == "gap")).first()
+    if records != written or gaps:
+        raise RuntimeError(f"{written} records written to {folder}, {records} and {gaps} gaps read back")
+    return back.drop("kind")
 
 
 SQL = """

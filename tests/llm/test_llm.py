@@ -291,6 +291,42 @@ def test_warc_salvage(packed):
     assert list(warc.salvage(b"")) == [] and [x[0] for x in warc.salvage(b"junk")] == ["gap"]
 
 
+def test_warc_long_urls(spark, tmp_path):
+    rows = [(1, "http://a/" + "é" * 50_000, "x"), (2, "http://b/" + " " * 40_000, "y"), (3, "http://c", "y")]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(p, str(tmp_path / "w")).collect()}
+    assert got == {1: (1, "response", None), 2: (1, "revisit", 3), 3: (1, "response", None)}
+    long = warc.record(1, rows[0][1], b"x", "D")
+    broken = long.replace(warc.END, b"\r\n", 1)  # ends nowhere before the next record
+    assert [x[0] for x in warc.salvage(broken + long)] == ["gap", "record"]
+
+
+def test_warc_salvage_within_a_member():
+    def ids(data):
+        return [int(re.search(r"\d+", x[3]["warc-record-id"])[0]) for x in warc.salvage(data) if x[0] == "record"]
+
+    def gaps(data):
+        return [(x[1], x[2]) for x in warc.salvage(data) if x[0] == "gap"]
+
+    def pack(data):
+        z = zlib.compressobj(1, zlib.DEFLATED, 31)
+        return z.compress(data) + z.flush()
+
+    recs = [warc.record(i, f"http://x/{i}", os.urandom(5000), "D") for i in range(10)]
+    spoilt = recs[4][:2000] + b"#" * 20 + recs[4][2020:]
+    one = pack(b"".join([*recs[:4], spoilt, *recs[5:]]))
+    last = pack(warc.record(77, "http://x", b"z", "D"))
+    assert ids(one + last) == [0, 1, 2, 3, 5, 6, 7, 8, 9, 77] and gaps(one + last) == [(0, len(one))]
+    whole = pack(b"".join(recs))
+    short = whole[: len(whole) * 3 // 4]
+    assert ids(short) == list(range(7)) and gaps(short) == [(0, len(short))]
+    wrong_sum = whole[:-8] + b"####" + whole[-4:]
+    assert ids(wrong_sum + last) == [*range(10), 77] and gaps(wrong_sum + last) == [(0, len(whole))]
+    bare = re.sub(rb"WARC-Block-Digest[^\r]*\r\n", b"", recs[0])
+    unsure = pack(bare)[:-8] + b"####" + pack(bare)[-4:]
+    assert ids(pack(bare)) == [0] and ids(unsure + last) == [77]
+
+
 def test_embeddings_against_all_pairs(spark):
     rng = np.random.default_rng(2)
     c = rng.standard_normal((6, 16))
