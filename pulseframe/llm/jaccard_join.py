@@ -502,8 +502,17 @@ def link_documents(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc
 def keep_one(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df that are their component's smallest id, with all columns; rows with a null id stay. Of repeated rows of one id the smallest text stays."""
     comp = link_documents(df, k, num, den, doc_id, text)
-    gone = comp.where(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias("__gone")).distinct()
-    return df.join(gone, df[doc_id] == gone["__gone"], "left_anti")
+    marks = comp.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.bool_or(F.col(doc_id) != F.col("component_id")).alias("gone"), F.count("*").alias("n"))
+    marks = cut(marks.where("gone or n > 1"), "marks")
+    again = marks.where("not gone").select("__id")
+    if again.isEmpty():
+        return df.join(marks, df[doc_id] == marks["__id"], "left_anti")
+    ones = df.join(marks, df[doc_id] == marks["__id"], "left_anti")
+    rows = df.join(again, df[doc_id] == again["__id"], "left_semi")
+    # a minimum, not a window, so that one id's rows are reduced before they are shuffled
+    rest = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()]
+    least = F.struct(F.col(text).isNull(), F.col(text), F.xxhash64(*rest))
+    return ones.union(rows.groupBy(doc_id).agg(F.min_by(F.struct("*"), least).alias("__row")).select("__row.*"))
 
 
 SQL = r"""

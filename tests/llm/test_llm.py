@@ -71,6 +71,14 @@ def test_jaccard_against_all_pairs(spark, k=4, num=85):
     assert got == {i: (len(s[i]), want[i]) for i in s} and len(links) > 10
 
 
+def test_keep_one_of_repeated_rows(spark):
+    a, b = "a b c d e f g h " * 3, "p q r s t u v w " * 3
+    rows = [(1, a), (1, a), (1, a), (2, a), (3, b + "z"), (3, b), (3, None), (4, "x"), (None, a), (None, a), (5, None), (5, None)]
+    kept = jaccard_join.keep_one(docs(spark, rows))
+    assert kept.columns == docs(spark, []).columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, a), (3, b), (4, "x"), (None, a), (None, a), (5, None)], key=repr)
+
+
 def test_signature_tree_loses_no_pair():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 62, 400).astype(np.uint64)
