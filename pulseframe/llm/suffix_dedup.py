@@ -1,10 +1,10 @@
-"""Removal of byte strings that already occur in an earlier document, by distributed prefix doubling.
+"""Removal of byte strings that already occur in an earlier document, by prefix doubling within tasks and a hash shuffle.
 
 Ranks are names: the 64-bit name of a position's prefix of 2h bytes is made of the names of its h-byte prefixes at
 offsets 0 and h, so that no global renumbering is needed between doublings. Within a task names are doubled up to
 K bytes. Of every window of `least` bytes only the position with the smallest K-name in it is kept (equal windows
 keep equal positions), so each run of windows that share that position is one row of (K-name, name of the run's
-whole span). Spark sorts these; a K-name held by one document is unique and leaves. Runs whose whole span occurs in
+whole span). One shuffle by a hash of the K-name groups these, in place of rounds of Spark sorts; a K-name held by one document is unique and leaves. Runs whose whole span occurs in
 a smaller document are decided; of the others, the first document of each span goes on, with its bytes, to the last
 rank, that of the windows themselves, at the threshold. Copies within a task's share are decided there, so that what
 many documents hold reaches a task once for each share, not once for each document.
