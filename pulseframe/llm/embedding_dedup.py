@@ -1,9 +1,9 @@
 """Near-duplicate embeddings by an inverted multi-index.
 
 Each half of the unit vectors has a codebook of its own; the two form a product grid of cells, in which every
-vector is filed. A query's cells are taken in the order of a lower bound on the distance to anything in them (the
-sum over the halves of the squared distance to the cell's border), and the traversal ends where that bound exceeds
-the largest distance a pair above the threshold can have: at a recall of 1, as tests check against brute force.
+vector is filed. A query visits every cell whose lower bound on the distance to anything in it (the sum over the halves of
+the squared distance to the cell's border) is at most the largest distance a pair above the threshold can have; this
+exact filter replaces the multi-sequence traversal, since all such cells must be visited in whatever order: at a recall of 1, as tests check against brute force.
 What lies in the visited cells is verified in double precision. Exact copies are filed once, with their number, and
 a task gives counts and a spanning forest of the links it found, so that dense groups don't become pairs of rows.
 The codebooks are fitted on at most SAMPLE vectors; every vector is indexed.
