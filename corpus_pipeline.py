@@ -17,7 +17,10 @@ REPEAT_BYTES = 100
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language can be identified; those without letters go. lang stays as it was given."""
+    """Documents in which a language can be identified; those without letters go. lang stays as it was given.
+
+    `und` comes from a rule on letters, so the network runs but decides nothing about which documents stay.
+    """
     model = language_id.fit(docs.where(~F.coalesce(language_id.held_out(), F.lit(False))).select("doc_id", "text", "lang"))
     return language_id.predict(docs, model).where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
 
