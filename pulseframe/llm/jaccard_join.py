@@ -466,7 +466,7 @@ def link_documents(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc
     with a null id link with nothing and have a null component. Other columns are not read.
     """
     spark = df.sparkSession
-    small_batches(spark, 1024)
+    small_batches(spark)
     docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     first = cut(docs.mapInArrow(_first_pass(k), "id long, n long, fp long, sig binary, chunk int, salt int"), "sets")
     classes = zlib.compress(_classes(first).tobytes(), 1)

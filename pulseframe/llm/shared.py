@@ -13,14 +13,21 @@ from pyspark.sql import functions as F
 
 from pulseframe.session import ship
 
+BATCH_BYTES = 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one of our own only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Where none is set, a local session gets one of its own; on a cluster that would lose data, so it is an error.
+    """
     ship(spark)
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="pulseframe-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='pulseframe-')}"
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -50,10 +57,12 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Arrow batches that stay small though some texts are long."""
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, once a session and the same for all operators, so that long texts don't make huge ones."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    conf = spark._jsparkSession.sessionState().conf()
+    if conf.arrowMaxBytesPerBatch() > BATCH_BYTES or conf.arrowMaxBytesPerBatch() <= 0:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def input_bytes(df: DataFrame) -> int:

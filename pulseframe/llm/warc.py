@@ -171,7 +171,7 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
     top = ship_to.where("id is not null").groupBy("d", "n").agg(F.max("id").alias("top"), F.count("*").alias("c")).where(f"c > 1 and n >= {least}").select(F.col("d").alias("d_"), F.col("n").alias("n_"), "top")
     rows = ship_to.join(top, (F.col("d") == F.col("d_")) & (F.col("n") == F.col("n_")), "left")
     rows = rows.select("id", "url", F.when((F.col("id") < F.col("top")) & F.col("id").isNotNull(), F.lit(None)).otherwise(F.col("html")).alias("html"), "d", "n", F.when(F.col("id") < F.col("top"), F.col("top")).alias("to"))
-    small_batches(pages.sparkSession, 512)
+    small_batches(pages.sparkSession)
     run_id = uuid.uuid4().hex[:12]
 
     def run(batches):
@@ -219,7 +219,7 @@ def read(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
     A response's length and digest come from its payload; a revisit's from its headers. With `payloads` a column
     `payload` holds the responses' bytes. An empty folder gives no rows.
     """
-    small_batches(spark, 4)
+    small_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder).select("path", "content")
     urn = re.compile(r"<urn:page:(-?\d+)>")
 
