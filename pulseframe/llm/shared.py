@@ -65,6 +65,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it as long as df has such a column (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the size, from file sizes."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

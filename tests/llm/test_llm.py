@@ -195,12 +195,51 @@ def test_language_id():
         pytest.skip("no test tables")
     t = pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pandas()
     held = t.doc_id.map(lambda d: zlib.crc32(str(d).encode()) % 3 == 1)
-    m = language_id.train([x[:1500] for x in t[~held].text[:500]], list(t[~held].lang[:500]))
-    r = language_id.Reader(m)
-    lang, score = r.predict(pa.array(t[held].text))
+    m = language_id.train(list(t[~held].text[:500]), list(t[~held].lang[:500]))
+    lang, score = language_id.read(m, pa.array(t[held].text))
     assert np.mean(np.array(lang) == t[held].lang.values) > 0.97 and score.min() >= 0 and score.max() <= 1
-    assert r.predict(pa.array([None, "", "12 !", "—", "日本"]))[0][:4] == ["und"] * 4 and r.predict(pa.array(["日本"]))[0][0] != "und"
+    assert language_id.read(m, pa.array([None, "", "12 !", "—", "日本"]))[0][:4] == ["und"] * 4 and language_id.read(m, pa.array(["日本"]))[0][0] != "und"
     assert language_id.train([], []).langs == ["und"]
+    # neither the neighbours nor the place in a batch have a say; what stands before and after a place does
+    some = list(t[held].text[:50])
+    alone = np.concatenate([language_id.read(m, pa.array([x]))[1] for x in some])
+    assert np.allclose(alone, language_id.read(m, pa.array(some))[1], atol=1e-5)
+
+
+def plain_network(m, text):
+    """The mean probabilities of a text, one number at a time."""
+    b, k, n_l = bytes(text.encode()).lower(), m.u.shape[1], len(m.langs)
+    soft = lambda v: v / (1 + abs(v))
+
+    def go(d, ids):
+        h, out = [0.0] * k, []
+        for c in ids:
+            a = [float(v) for v in m.x[d][c]]
+            hu = [sum(h[i] * float(m.u[d][i][j]) for i in range(k)) for j in range(3 * k)]
+            z = [(1 + soft(a[j] + hu[j])) / 2 for j in range(k)]
+            r = [(1 + soft(a[k + j] + hu[k + j])) / 2 for j in range(k)]
+            c_ = [soft(a[2 * k + j] + r[j] * hu[2 * k + j]) for j in range(k)]
+            h = [h[j] + z[j] * (c_[j] - h[j]) for j in range(k)]
+            out.append(h)
+        return out
+
+    total = np.zeros(n_l)
+    for s in range(0, len(b), language_id.STRETCH):
+        e = min(len(b), s + language_id.STRETCH)
+        lead, tail = max(0, s - language_id.LEAD), min(len(b), s + language_id.STRETCH + language_id.LEAD)
+        f, g = go(0, b[lead:e])[s - lead :], go(1, b[s:tail][::-1])[::-1][: e - s]
+        for x, y in zip(f, g):
+            total += language_id._softmax(np.array(x + y) @ m.out.astype(float) + m.bias)
+    return total / max(1, len(b))
+
+
+def test_language_network_against_plain_python():
+    m = language_id.blank_model(["a", "b", "c"], hidden=3)
+    m.bias[:] = [0.1, -0.2, 0.3]
+    texts = ["x", "Ab 12, é", "q" * 64, "word by word " * 5, "".join(map(chr, range(33, 127))) * 3, "end " * 41]
+    data, off = language_id.column(pa.array(texts))
+    got = language_id.position_sums(m, language_id.LOWER[data], off) / np.diff(off)[:, None]
+    assert np.allclose(got, [plain_network(m, t) for t in texts], atol=1e-5)
 
 
 def test_language_sample_has_every_language(spark):
@@ -213,30 +252,30 @@ def test_language_sample_has_every_language(spark):
 
 
 def test_language_gradients():
-    rng = np.random.default_rng(0)
-    k, n_l = 3, 2
-    m = language_id.Model(["a", "b"], rng.standard_normal((2, 256, 3 * k)), rng.standard_normal((2, k, 3 * k)), rng.standard_normal((2 * k, n_l)), np.zeros(n_l))
-    ids, mask = rng.integers(0, 4, (5, 4)), np.array([[1, 1, 1, 1], [1, 0, 0, 0], [1, 1, 0, 0], [1, 1, 1, 0], [1, 1, 1, 1]], float)
-    y = np.array([0, 1, 0, 1, 1])
-
-    def loss():
-        p = language_id._softmax(language_id._states(m, ids, mask)[0].astype(float) @ m.out)
-        return -(np.log(p[:, np.arange(5), y]) * mask.T).sum()
-
-    st, kf, _ = language_id._states(m, ids, mask)
-    d = language_id._softmax(st @ m.out)
-    d[:, np.arange(5), y] -= 1
-    d *= mask.T[:, :, None]
-    gx, gu = np.zeros_like(m.x), np.zeros_like(m.u)
-    language_id._back(m.u[0], ids, mask, kf, (d @ m.out.T)[:, :, :k], gx[0], gu[0])
-    for at in [(0, 0, 1), (0, 1, 4), (0, 2, 8)]:
-        e = 1e-3
-        m.u[at] += e
-        hi = loss()
-        m.u[at] -= 2 * e
-        lo = loss()
-        m.u[at] += e
-        assert abs((hi - lo) / (2 * e) - gu[at]) < 2e-2 * max(1, abs(gu[at]))
+    m = language_id.blank_model(["a", "b"], hidden=3, kind=np.float64)
+    texts, y = ["ab", "c" * 64 + "abc", "abcabd " * 11, "a b"], np.array([0, 1, 1, 0, 1, 0])
+    data, off = language_id.column(pa.array(texts))
+    row, start, end = language_id.lanes(off)
+    at = language_id._grid(language_id.LOWER[data], start), start == off[row], end - start, y
+    loss, grads = language_id.gradients(m, *at)
+    rng, e = np.random.default_rng(0), 1e-5
+    for p, g in zip((m.x, m.u, m.out, m.bias), grads):
+        for k in [np.unravel_index(i, p.shape) for i in (rng.choice(np.flatnonzero(np.abs(g) > 1e-6), 12) if p.size > 12 else range(p.size))]:
+            p[k] += e
+            hi = language_id.gradients(m, *at)[0]
+            p[k] -= 2 * e
+            lo = language_id.gradients(m, *at)[0]
+            p[k] += e
+            assert abs((hi - lo) / (2 * e) - g[k]) < 1e-4 * max(1e-2, abs(g[k])), (p.shape, k)
+    assert np.abs(grads[0][1]).sum() > 0 and np.abs(grads[1][1]).sum() > 0
+
+
+def test_language_id_clashing_names(spark):
+    m = language_id.train(["ab cd ef"] * 4, ["x", "y"] * 2)
+    d = spark.createDataFrame([(1, "ab", 0.77)], "doc_id long, text string, Score double")
+    with pytest.raises(ValueError):
+        language_id.predict(d, m)
+    assert language_id.predict(d, m, score_out="s2").first().Score == 0.77
 
 
 def test_license_scan(spark):
