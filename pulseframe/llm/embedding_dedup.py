@@ -1,12 +1,17 @@
 """Near-duplicate embeddings by an inverted multi-index.
 
-Each half of the unit vectors has a codebook of its own; the two form a product grid of cells, in which every
-vector is filed. A query visits every cell whose lower bound on the distance to anything in it (the sum over the halves of
-the squared distance to the cell's border) is at most the largest distance a pair above the threshold can have; this
-exact filter replaces the multi-sequence traversal, since all such cells must be visited in whatever order: at a recall of 1, as tests check against brute force.
-What lies in the visited cells is verified in double precision. Exact copies are filed once, with their number, and
-a task gives counts and a spanning forest of the links it found, so that dense groups don't become pairs of rows.
-The codebooks are fitted on at most SAMPLE vectors; every vector is indexed.
+Each half of the unit vectors has a codebook of its own; the two form a product grid of cells, in which every vector is
+filed once. A query takes the cells in the order of a lower bound on its distance to anything in them (the sum over the
+halves of the squared distance to the cell's border) by a multi-sequence traversal of its two sorted lists of borders,
+and stops when the bound passes the largest distance that a pair above the threshold can have: its recall is then 1, as
+tests check against brute force. Of two cells only the one with the smaller number queries the other. What lies in the
+visited cells is verified in double precision.
+
+A query travels once for each group of cells that it visits (GROUP vectors or so of one label), with the list of these
+cells. Groups of more than CAP vectors are split, and their queries go to each part; a task holds one part's vectors and
+streams the queries past them. Exact copies are filed once, with their number, and a task gives counts and a spanning
+forest of the links it found, so that dense groups don't become pairs of rows. The codebooks are fitted on at most
+SAMPLE vectors; every vector is indexed.
 """
 
 from __future__ import annotations
@@ -15,14 +20,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, cut, forest
-from .textnp import mix
+from .shared import components, cut, drop_cut, forest, small_batches
+from .textnp import tidy
 
 SAMPLE = 16_384
-TARGETS, QUERIES = 4096, 16_384  # of one task's group, about
+GROUP, CAP = 4096, 8192
 SLACK = 1e-9
 
 
@@ -71,29 +77,60 @@ def _halves(v):
     return v[:, :h], v[:, h:]
 
 
-def search(qi, q, ti, t, low_i, books, reach, least):
-    """Links between queries and the targets of one first-half cell: yields (query rows, target rows).
+def traverse(low_a: np.ndarray, low_b: np.ndarray, reach: float):
+    """The product cells of each query, nearest bound first, until the bound passes reach: (query, first cell, second cell), visit by visit.
 
-    low_i: the queries' squared bounds to that cell. Targets in the queries' own cell link only to smaller ids.
+    A multi-sequence traversal of all queries at once: each first-half cell has a head in the sorted list of second-half
+    cells; the smallest sum of all heads is taken and its head moves on.
     """
-    _, low_j = bounds(_halves(q)[1], books[1])
-    cell_j, _ = bounds(_halves(t)[1], books[1])
-    order = np.argsort(cell_j, kind="stable")
-    cuts = np.searchsorted(cell_j[order], np.arange(low_j.shape[1] + 1))
-    for j in range(low_j.shape[1]):
-        mine = order[cuts[j] : cuts[j + 1]]
-        if not len(mine):
+    n = len(low_a)
+    ra, rb = max(1, int((low_a <= reach).sum(1).max(initial=0))), max(1, int((low_b <= reach).sum(1).max(initial=0)))
+    oa, ob = np.argsort(low_a, 1, kind="stable")[:, :ra], np.argsort(low_b, 1, kind="stable")[:, :rb]
+    a = np.take_along_axis(low_a, oa, 1)
+    b = np.concatenate([np.take_along_axis(low_b, ob, 1), np.full((n, 1), np.inf)], 1)
+    head = np.zeros((n, ra), np.int64)
+    key = a + b[:, :1]
+    live, got = np.arange(n), []
+    while len(live):
+        r = key[live].argmin(1)
+        go = key[live, r] <= reach
+        live, r = live[go], r[go]
+        h = head[live, r]
+        got.append((live, oa[live, r], ob[live, h]))
+        head[live, r] = h + 1
+        key[live, r] = a[live, r] + b[live, h + 1]
+    z = np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*got)) if got else (z, z, z)
+
+
+def verify(q: np.ndarray, t: np.ndarray, least: float):
+    """Pairs (row of q, row of t) whose cosine is at least `least`, in blocks; near the threshold by an exact sum."""
+    for k in range(0, len(q), 4096):
+        some = q[k : k + 4096]
+        for m in range(0, len(t), 1024):
+            part = t[m : m + 1024]
+            cos = some @ part.T
+            for x, y in zip(*np.nonzero(np.abs(cos - least) < 1e-12)):
+                cos[x, y] = math.fsum((some[x] * part[y]).tolist())
+            x, y = np.nonzero(cos >= least)
+            yield k + x, m + y
+
+
+def _grouped(batches, key: list[str]):
+    """Arrow batches sorted by the key -> (is it the group's first piece, piece) in order."""
+    last = None
+    for b in batches:
+        if not len(b):
             continue
-        near = np.flatnonzero(low_i + low_j[:, j] <= reach)
-        for k in range(0, len(near), 4096):
-            some = near[k : k + 4096]
-            for m in range(0, len(mine), 1024):
-                part = mine[m : m + 1024]
-                cos = q[some] @ t[part].T
-                for x, y in zip(*np.nonzero(np.abs(cos - least) < 1e-12)):
-                    cos[x, y] = math.fsum((q[some[x]] * t[part[y]]).tolist())
-                x, y = np.nonzero(cos >= least)
-                yield some[x], part[y]
+        cols = [b[c] for c in key]
+        new = np.zeros(len(b), bool)
+        for c in cols:
+            new[1:] |= pa.compute.not_equal(c.slice(1), c.slice(0, len(b) - 1)).to_numpy(zero_copy_only=False)
+        at = [0, *np.flatnonzero(new).tolist(), len(b)]
+        for i, j in zip(at, at[1:]):
+            this = tuple(c[i].as_py() for c in cols)
+            yield this != last, b.slice(i, j - i)
+            last = this
 
 
 def near_duplicates(df: DataFrame, least: float = 0.98, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
@@ -105,6 +142,7 @@ def near_duplicates(df: DataFrame, least: float = 0.98, vec_id: str = "vec_id",
     result. Rows with a null id come back with null component and no links. Other columns are not read.
     """
     spark = df.sparkSession
+    small_batches(spark)
     reach = 2 - 2 * least + SLACK
     base = df.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<float>" if "float" in df.schema[embedding].dataType.simpleString() else "array<double>").alias("e"), F.col(label).alias("l"))
     good = F.col("l").isNotNull() & F.col("id").isNotNull() & (F.size("e") > 0) & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("e", lambda x: x != 0)
@@ -113,70 +151,107 @@ def near_duplicates(df: DataFrame, least: float = 0.98, vec_id: str = "vec_id",
     dims = [r[0] for r in one.select(F.size("e").alias("d")).groupBy("d").count().orderBy(F.desc("count")).limit(64).collect()]
     total = one.count()
     top = one.groupBy("l").count().agg(F.max("count")).first()[0] or 1
-    k = int(min(64, max(4, 2 ** round(math.log2(max(total, 1) ** (1 / 3) / 2)))))
+    k = int(min(256, max(4, 2 ** round(math.log2(top) / 3))))
     books = {}
     for d in dims:
         got = one.where(F.size("e") == d).where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int(1 << 20) * min(1.0, 1.5 * SAMPLE / max(total, 1) + 1e-4)).select("e").limit(SAMPLE).toArrow()["e"]
         v = _unit(got) if len(got) else np.zeros((0, d))
-        books[d] = tuple(fit_half(x, k) if x.shape[1] else x for x in _halves(v))
+        books[d] = tuple(fit_half(x, k) if x.shape[1] else x[:1] for x in _halves(v))
     none = (np.zeros((0, 0)), np.zeros((0, 0)))
-    t_salts, q_salts = max(1, round(top / k / TARGETS)), max(1, round(top / QUERIES))
+    # second-half cells that share a group
+    wide = max(1, k // max(1, round(top / k / GROUP)))
 
+    @tidy
     def file(batches):
         for b in batches:
-            n = np.asarray(pa.compute.list_value_length(b["e"]))
-            for d in np.unique(n).tolist():
-                rows = np.flatnonzero(n == d)
-                part = b.take(pa.array(rows))
-                v = _unit(part["e"])
+            size = np.asarray(pa.compute.list_value_length(b["e"]))
+            for d in np.unique(size).tolist():
+                part = b.take(pa.array(np.flatnonzero(size == d)))
                 book = books.get(d, none)
-                own, low = bounds(_halves(v)[0], book[0])
-                salt = mix(np.asarray(part["rep"]).astype(np.uint64))
-                ts, qs = (salt % np.uint64(t_salts)).astype(np.int64), ((salt >> np.uint64(20)) % np.uint64(q_salts)).astype(np.int64)
-                at, cell = np.nonzero((low <= reach) & (np.arange(low.shape[1]) >= own[:, None]))
-                who = [np.repeat(np.arange(len(rows)), q_salts), np.repeat(at, t_salts)]
-                i = [np.repeat(own, q_salts), np.repeat(cell, t_salts)]
-                t = [np.repeat(ts, q_salts), np.tile(np.arange(t_salts), len(at))]
-                q = [np.tile(np.arange(q_salts), len(rows)), np.repeat(qs[at], t_salts)]
-                role = np.repeat([0, 1], [len(who[0]), len(who[1])]).astype(np.int8)
-                who = np.concatenate(who)
-                out = part.take(pa.array(who))
-                key = (np.concatenate(i) * t_salts + np.concatenate(t)) * q_salts + np.concatenate(q)
-                for z in range(0, len(who), 20_000):
-                    c = slice(z, z + 20_000)
-                    o = out.slice(z, 20_000)
-                    yield pa.RecordBatch.from_arrays([o["l"], o["e"], o["rep"], o["n"], pa.array(key[c]), pa.array(role[c]), pa.array(np.full(len(o), d, np.int32))], ["l", "e", "rep", "n", "cell", "role", "d"])
-
-    def link(key, t):
-        d, cell = key[1].as_py(), key[2].as_py()
-        i = cell // (t_salts * q_salts)
-        role = t["role"].to_numpy()
-        side = [t.filter(pa.array(role == x)) for x in (1, 0)]
-        ids, cnt, vec = [[f(s) for s in side] for f in (lambda s: s["rep"].to_numpy(), lambda s: s["n"].to_numpy(), lambda s: _unit(s["e"]) if len(s) else np.zeros((0, d)))]
-        book = books.get(d, none)
-        u, v, links = [], [], [np.zeros(len(ids[0]), np.int64), np.zeros(len(ids[1]), np.int64)]
-        if len(ids[0]) and len(ids[1]):
-            own, low = bounds(_halves(vec[0])[0], book[0])
-            for x, y in search(ids[0], vec[0], ids[1], vec[1], low[:, i], book, reach, least):
-                good = (own[x] != i) | (ids[0][x] < ids[1][y])
-                x, y = x[good], y[good]
-                np.add.at(links[0], x, cnt[1][y])
-                np.add.at(links[1], y, cnt[0][x])
+                for z in range(0, len(part), 1024):
+                    some = part.slice(z, 1024)
+                    h1, h2 = _halves(_unit(some["e"]))
+                    own_a, low_a = bounds(h1, book[0])
+                    own_b, low_b = bounds(h2, book[1])
+                    q, i, j = traverse(low_a, low_b, reach)
+                    keep = i * k + j >= (own_a * k + own_b)[q]
+                    q, i, j = q[keep], i[keep], j[keep]
+                    g = i * k + j // wide
+                    o = np.lexsort((j, g, q))
+                    q, j, g = q[o], j[o], g[o]
+                    head = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (g[1:] != g[:-1])])) if len(q) else np.zeros(0, np.int64)
+                    lists = [j[x:y].astype(np.uint16).tobytes() for x, y in zip(head.tolist(), [*head[1:].tolist(), len(j)])]
+                    who = np.concatenate([np.arange(len(some)), q[head]])
+                    group = np.concatenate([own_a * k + own_b // wide, g[head]])
+                    role = np.repeat(np.array([0, 1], np.int8), [len(some), len(head)])
+                    lists = [x.tobytes() for x in own_b.astype(np.uint16)] + lists
+                    own = own_a * k + own_b
+                    out = some.take(pa.array(who))
+                    yield pa.RecordBatch.from_arrays([out["l"], out["e"], out["rep"], out["n"], pa.array(np.full(len(who), d, np.int32)), pa.array(group), pa.array(role), pa.array(own[who]), pa.array(lists, pa.binary())], ["l", "e", "rep", "n", "d", "cell", "role", "own", "cells"])
+
+    def links_of(t, q):
+        """Links of a piece of queries with the held targets: a forest and both sides' counts."""
+        tv, tid, tn, town, torder, tcut = t
+        qid, qn, qown, qv = q["rep"].to_numpy(), q["n"].to_numpy(), q["own"].to_numpy(), _unit(q["e"])
+        lists = q["cells"].to_pylist()
+        lens = np.array([len(x) // 2 for x in lists])
+        j = np.frombuffer(b"".join(lists), np.uint16).astype(np.int64)
+        row = np.repeat(np.arange(len(q)), lens)
+        o = np.argsort(j, kind="stable")
+        edge = np.searchsorted(j[o], np.arange(k + 1))
+        us, vs, cq, ct = [], [], np.zeros(len(q), np.int64), np.zeros(len(tid), np.int64)
+        for c in np.unique(j).tolist():
+            mine, near = torder[tcut[c] : tcut[c + 1]], row[o[edge[c] : edge[c + 1]]]
+            if not len(mine):
+                continue
+            for x, y in verify(qv[near], tv[mine], least):
+                x, y = near[x], mine[y]
+                keep = (qown[x] != town[y]) | (qid[x] < tid[y])
+                x, y = x[keep], y[keep]
                 if len(x):
-                    a, b = forest(ids[0][x], ids[1][y])
-                    u.append(a)
-                    v.append(b)
-        if u:
-            a, b = forest(np.concatenate(u), np.concatenate(v))
-        else:
-            a = b = np.zeros(0, np.int64)
-        some = [np.flatnonzero(x) for x in links]
-        ids_, num = np.concatenate([ids[0][some[0]], ids[1][some[1]]]), np.concatenate([links[0][some[0]], links[1][some[1]]])
-        return pa.table({"kind": pa.array([0] * len(a) + [1] * len(ids_), pa.int32()), "u": pa.array(np.concatenate([a, ids_]).astype(np.int64)), "v": pa.array(np.concatenate([b, num]).astype(np.int64))})
+                    np.add.at(cq, x, tn[y])
+                    np.add.at(ct, y, qn[x])
+                    a, b = forest(qid[x], tid[y])
+                    us.append(a)
+                    vs.append(b)
+        if not us:
+            return None
+        a, b = forest(np.concatenate(us), np.concatenate(vs))
+        x, y = np.flatnonzero(cq), np.flatnonzero(ct)
+        ids, num = np.concatenate([qid[x], tid[y]]), np.concatenate([cq[x], ct[y]])
+        return pa.RecordBatch.from_arrays([pa.array([0] * len(a) + [1] * len(ids), pa.int32()), pa.array(np.concatenate([a, ids]).astype(np.int64)), pa.array(np.concatenate([b, num]).astype(np.int64))], ["kind", "u", "v"])
+
+    @tidy
+    def link(batches):
+        held, ready = [], None
+        for first, piece in _grouped(batches, ["l", "d", "cell", "chunk"]):
+            if first:
+                held, ready = [], None
+            role = piece["role"].to_numpy()
+            n_t = int((role == 0).sum())
+            if n_t:
+                held.append(piece.slice(0, n_t))
+            q = piece.slice(n_t)
+            if not len(q) or not held:
+                continue
+            if ready is None:
+                t = pa.Table.from_batches(held)
+                j = np.frombuffer(b"".join(t["cells"].to_pylist()), np.uint16).astype(np.int64)
+                order = np.argsort(j, kind="stable")
+                ready = (_unit(t["e"]), t["rep"].to_numpy(), t["n"].to_numpy(), t["own"].to_numpy(), order, np.searchsorted(j[order], np.arange(k + 1)))
+            if (out := links_of(ready, q)) is not None:
+                yield out
 
     kinds = {f.name: f.dataType.simpleString() for f in one.schema}
-    filed = one.select("l", "e", "rep", "n").mapInArrow(file, f"l {kinds['l']}, e {kinds['e']}, rep long, n long, cell long, role byte, d int")
-    found = cut(filed.groupBy("l", "d", "cell").applyInArrow(link, "kind int, u long, v long"), "found")
+    filed = cut(one.select("l", "e", "rep", "n").mapInArrow(file, f"l {kinds['l']}, e {kinds['e']}, rep long, n long, d int, cell long, role byte, own long, cells binary"), "filed")
+    # groups of more than CAP vectors: these in parts, the queries to each part
+    hot = filed.where("role = 0").groupBy("l", "d", "cell").agg(F.ceil(F.count("*") / CAP).cast("int").alias("chunks")).where("chunks > 1")
+    dealt = filed.join(hot, ["l", "d", "cell"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    to = F.when(F.col("role") == 0, F.array(F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
+    dealt = dealt.select("l", "e", "rep", "n", "d", "cell", "role", "own", "cells", F.explode(to).alias("chunk"))
+    dealt = dealt.repartition("l", "d", "cell", "chunk").sortWithinPartitions("l", "d", "cell", "chunk", "role")
+    found = cut(dealt.mapInArrow(link, "kind int, u long, v long"), "found")
+    drop_cut(filed)
     comp = components(found.where("kind = 0").select("u", "v")).select(F.col("u").alias("rep"), F.col("v").alias("component_id"))
     links = found.where("kind = 1").groupBy(F.col("u").alias("rep")).agg(F.sum("v").alias("links"))
     reps = one.join(links, "rep", "left").join(comp, "rep", "left").select(F.col("l").alias("l_"), F.col("e").alias("e_"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
