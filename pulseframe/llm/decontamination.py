@@ -1,9 +1,11 @@
 """Benchmark decontamination with DataFrame operations only.
 
-The benchmark's normalised word n-grams form a hash set. Its words that anchor a window (the longest word of
-each window, the first of equals) become a literal set, whose size is checked, that the scan of the documents
-probes inside its own expressions; only places that hold an anchor are exploded, matched to the windows on the
-anchor and verified word by word. Beyond the size bound both steps are ordinary shuffled joins.
+The benchmark's normalised word n-grams form a hash set, which is broadcast as far as its bytes allow. Documents are
+scanned by windows: a window whose hash is in the set is verified word by word. To hash few windows, a literal set of
+anchor words (the longest word of each n-gram, the first of equals) picks the places to look at, and the n-grams'
+distances from their anchors give the windows that can begin there. Where the benchmark has too many anchors, every
+window is hashed; where its n-grams are too large to broadcast, only (document, place, hash) go through a shuffle, and
+the hits' documents are joined back to verify them.
 """
 
 from __future__ import annotations
@@ -11,8 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import unused
+
 N = 13
-MAX_ANCHORS = 20_000  # words of the literal set; the windows are broadcast only with it
+MAX_ANCHORS = 20_000  # words of the literal set
+MAX_BYTES = 64 << 20  # of the n-grams that are broadcast
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -32,21 +37,44 @@ def windows(items: DataFrame, n: int = N, item_id: str = "item_id", text: str =
     return w.withColumn("shift", -best["i"]).withColumn("anchor", F.element_at("win", F.col("shift") + 1))
 
 
+def _all_windows(w: str, widths: list[int]) -> Column:
+    """(start, width, h) of every window of these widths of the words in column w."""
+    def of(n: int) -> Column:
+        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(n).alias("width"), F.xxhash64(F.slice(w, i, n)).alias("h")))
+
+    return F.flatten(F.array(*[of(n) for n in widths]))
+
+
 def hits(docs: DataFrame, wins: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """key columns, start (from 1), width, item: each occurrence of a window in a text."""
-    held = wins.groupBy("anchor").count().orderBy(F.desc("count")).limit(MAX_ANCHORS + 1).collect()
-    few = [r["anchor"] for r in held] if sum(r["count"] for r in held) <= 10 * MAX_ANCHORS else [None] * (MAX_ANCHORS + 1)
+    grams = wins.groupBy("win").agg(F.first("anchor").alias("anchor"), F.first("shift").alias("shift"), F.collect_set("item").alias("items"))
+    grams = grams.select(F.xxhash64("win").alias("h"), "win", "items", "anchor", "shift", F.size("win").alias("width"))
+    about = grams.agg(F.sum(F.octet_length(F.concat_ws(" ", "win")) + 16 * F.size("win") + 32).alias("bytes"), F.collect_set("width").alias("widths")).first()
+    found = F.slice("w", F.greatest("start", F.lit(1)), F.col("width"))
     d = docs.select(*key, words_of(F.col(text)).alias("w"))
-    if len(few) <= MAX_ANCHORS:
-        d = d.where(F.exists("w", lambda x: x.isin(few)) if few else F.lit(False))
-        at = F.filter(F.transform("w", lambda x, i: F.when(x.isin(few), i)), lambda x: x.isNotNull()) if few else F.array().cast("array<int>")
-        d = d.select(*key, "w", F.explode(at).alias("i")).withColumn("anchor", F.element_at("w", F.col("i") + 1))
-        wins = F.broadcast(wins)
-    else:
-        d = d.select(*key, "w", F.posexplode("w").alias("i", "anchor"))
-    got = d.join(wins, "anchor").withColumn("start", F.col("i") - F.col("shift") + 1)
-    got = got.where((F.col("start") >= 1) & (F.col("start") + F.size("win") - 1 <= F.size("w")))
-    return got.where(F.slice("w", F.greatest("start", F.lit(1)), F.size("win")) == F.col("win")).select(*key, "start", F.size("win").alias("width"), "item")
+    if not about["widths"]:
+        return d.where("false").select(*key, F.lit(1).alias("start"), F.lit(1).alias("width"), F.lit("").alias("item"))
+    short = (about["bytes"] or 0) <= MAX_BYTES
+    anchors = [r[0] for r in grams.select("anchor").distinct().limit(MAX_ANCHORS + 1).collect()] if short else []
+    if short and len(anchors) <= MAX_ANCHORS:
+        places = F.filter(F.transform("w", lambda x, i: F.when(x.isin(anchors), i)), lambda x: x.isNotNull())
+        d = d.where(F.exists("w", lambda x: x.isin(anchors))).select(*key, "w", F.explode(places).alias("i")).withColumn("anchor", F.element_at("w", F.col("i") + 1))
+        d = d.join(F.broadcast(grams.select("anchor", "shift", "width").distinct()), "anchor").withColumn("start", F.col("i") - F.col("shift") + 1)
+        d = d.where((F.col("start") >= 1) & (F.col("start") + F.col("width") - 1 <= F.size("w"))).withColumn("h", F.xxhash64(found))
+        got = d.drop("anchor", "width").join(F.broadcast(grams.select("h", "win", "width", "items")), "h")
+        return got.where(found == F.col("win")).select(*key, "start", "width", F.explode("items").alias("item"))
+    every = F.explode(_all_windows("w", sorted(about["widths"])))
+    if short:
+        d = d.select(*key, "w", every.alias("x")).select(*key, "w", "x.start", "x.h")
+        got = d.join(F.broadcast(grams.select("h", "win", "width", "items")), "h")
+        return got.where(found == F.col("win")).select(*key, "start", "width", F.explode("items").alias("item"))
+    places = d.select(*key, every.alias("x")).select(*key, "x.*").join(grams.select("h", "width").distinct(), ["h", "width"])
+    by = places.groupBy(*key).agg(F.collect_set(F.struct("start", "width")).alias("x")).select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(key)], "x")
+    same = [d[c].eqNullSafe(by[f"k{i}"]) for i, c in enumerate(key)]
+    d = d.join(by, same[0] & same[1] & same[2] if len(same) == 3 else same[0]).select(*key, "w", F.explode("x").alias("x"))
+    d = d.select(*key, F.slice("w", F.col("x.start"), F.col("x.width")).alias("win"), "x.start", "x.width")
+    return d.join(grams.select("win", "items"), "win").select(*key, "start", "width", F.explode("items").alias("item"))
 
 
 def score(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, share: int = 20, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -72,22 +100,33 @@ def score(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def remove_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of docs that aren't contaminated, all their columns; rows without an id stay."""
-    bad = score(docs, items, doc_id, text, **how).where("contaminated").select(F.col(doc_id).alias("__bad")).where("__bad is not null").distinct()
-    return docs.join(bad, docs[doc_id] == bad["__bad"], "left_anti")
+    """The rows of docs that aren't contaminated, all their columns; rows without an id stay.
+
+    Of repeated rows of one id all go if one of them is contaminated. Null and empty texts stay; an empty benchmark
+    takes nothing away.
+    """
+    name = unused(docs, "__bad")
+    bad = score(docs, items, doc_id, text, **how).where("contaminated").select(F.col(doc_id).alias(name)).where(F.col(name).isNotNull()).distinct()
+    return docs.join(bad, docs[doc_id] == bad[name], "left_anti")
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, out: str = "clean_text") -> DataFrame:
-    """All columns of docs, and `out`: the normalised words that no window hits, joined by a space; null where the text is null."""
-    base = docs.drop(out).withColumns({"__h": F.xxhash64(text), "__n": F.coalesce(F.octet_length(F.col(text)), F.lit(-1))})
-    key = [doc_id, "__h", "__n"]
+    """All columns of docs, and `out`: the normalised words that no window hits, joined by a space; null where the text is null.
+
+    A column that is named as `out` is replaced. Repeated rows and rows without an id are each treated by their text.
+    """
+    kept = docs.drop(out)
+    h, n_bytes, gone_ = unused(kept, "__h"), unused(kept, "__n"), unused(kept, "__gone")
+    base = kept.withColumns({h: F.xxhash64(text), n_bytes: F.coalesce(F.octet_length(F.col(text)), F.lit(-1))})
+    key = [doc_id, h, n_bytes]
     found = hits(base, windows(items, n), key, text).distinct()
     word = found.select(*key, F.explode(F.sequence("start", F.col("start") + F.col("width") - 1)).alias("p"))
-    gone = word.groupBy(*key).agg(F.collect_set("p").alias("gone")).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)], "gone")
-    j = base.join(gone, base[key[0]].eqNullSafe(gone["__k0"]) & (base["__h"] == gone["__k1"]) & (base["__n"] == gone["__k2"]), "left")
+    gone = word.groupBy(*key).agg(F.collect_set("p").alias(gone_)).select(*[F.col(k).alias(f"{gone_}{i}") for i, k in enumerate(key)], gone_)
+    same = [base[k].eqNullSafe(gone[f"{gone_}{i}"]) for i, k in enumerate(key)]
+    j = base.join(gone, same[0] & same[1] & same[2], "left")
     w = words_of(F.col(text))
-    left = F.filter(F.transform(w, lambda x, i: F.when(F.col("gone").isNull() | ~F.array_contains("gone", i + 1), x)), lambda x: x.isNotNull())
-    return j.select(*docs.drop(out).columns, F.when(F.col(text).isNotNull(), F.concat_ws(" ", left)).alias(out))
+    left = F.filter(F.transform(w, lambda x, i: F.when(F.col(gone_).isNull() | ~F.array_contains(gone_, i + 1), x)), lambda x: x.isNotNull())
+    return j.select(*kept.columns, F.when(F.col(text).isNotNull(), F.concat_ws(" ", left)).alias(out))
 
 
 SQL = r"""

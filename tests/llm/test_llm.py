@@ -128,7 +128,10 @@ def test_suffix_dedup_against_brute_force(spark):
             assert len(r.text.encode()) <= len(b) - sum(c)
 
 
-def test_decontamination_against_brute_force(spark):
+@pytest.mark.parametrize("anchors, size", [(20_000, 64 << 20), (0, 64 << 20), (0, 0)])
+def test_decontamination_against_brute_force(spark, monkeypatch, anchors, size):
+    monkeypatch.setattr(decontamination, "MAX_ANCHORS", anchors)
+    monkeypatch.setattr(decontamination, "MAX_BYTES", size)
     rows = mixed(9)
     text = dict(rows)
     long = [t for t in text.values() if t and len(t.split()) > 30]
@@ -150,7 +153,12 @@ def test_decontamination_against_brute_force(spark):
     kept = decontamination.remove_documents(docs(spark, rows), bench)
     assert {r.doc_id for r in kept.collect()} == {i for i, x in want.items() if not x[4]} and kept.columns == docs(spark, []).columns
     assert decontamination.score(docs(spark, rows), bench.limit(0)).where("n_hit > 0").count() == 0
-    assert decontamination.remove_spans(docs(spark, rows), bench).count() == len(rows)
+    clash = docs(spark, rows).withColumnsRenamed({"h": "__h", "n": "__n", "g": "__gone"})
+    clean = decontamination.remove_spans(clash, bench)
+    assert clean.columns == [*clash.columns, "clean_text"]
+    for r in clean.collect():
+        assert (r["__h"], r["__n"], r["__gone"]) == ("x", 1, "y")
+        assert (r.clean_text is None) == (r.text is None) and len((r.clean_text or "").split()) == want[r.doc_id][0] - want[r.doc_id][1]
 
 
 def test_sentencepiece_equals_the_library(spark):
@@ -388,6 +396,24 @@ def test_embeddings_against_all_pairs(spark):
     assert embedding_dedup.near_duplicates(e.limit(0)).count() == 0
 
 
+def test_embeddings_in_split_groups(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "CAP", 20)
+    monkeypatch.setattr(embedding_dedup, "GROUP", 5)
+    test_embeddings_against_all_pairs(spark)
+
+
+def test_multi_sequence_traversal():
+    rng = np.random.default_rng(4)
+    a, b = rng.random((30, 7)) ** 2, rng.random((30, 5)) ** 2
+    q, i, j = embedding_dedup.traverse(a, b, 0.6)
+    for r in range(30):
+        got = [(x, y) for k, x, y in zip(q.tolist(), i.tolist(), j.tolist()) if k == r]
+        assert set(got) == {(x, y) for x in range(7) for y in range(5) if a[r, x] + b[r, y] <= 0.6} and len(got) == len(set(got))
+        order = [a[r, x] + b[r, y] for x, y in got]
+        assert order == sorted(order)
+    assert len(embedding_dedup.traverse(a[:0], b[:0], 0.6)[0]) == 0
+
+
 def test_sharding(spark):
     rows = mixed(11) + [(5000 + i, "hot text") for i in range(200)]
     d = docs(spark, rows)
