@@ -1,37 +1,58 @@
 """Shards by vector bin packing: bytes, tokens and rows balanced jointly.
 
-Groups of equal texts stay together unless one would fill over half a shard; such a group is dealt out in pieces.
-Groups with at least 1/BIG of a shard are packed one by one (there are at most 3 * shards * BIG of them); all
-smaller groups are first gathered in a fixed number of bundles, so that what reaches the driver is bounded
-whatever the input. Items go, largest first, to the shard where their vector has the highest dot product with
-the residual capacity, among those with room.
+Groups of equal texts stay together unless one would fill over half a shard; such a group is dealt out in pieces. An
+item goes, largest first, to the shard where its vector has the highest dot product with the residual capacity, among
+those with room in all dimensions as long as there are such. Groups with at least 1/BIG of a shard are packed first, on
+the driver (there are at most 3 * shards * BIG of them); all others are packed where they lie after they were counted:
+each partition fills its share of the capacity that the large ones leave, group by group.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import cut, parts_for
 
 BIG = 64
-COARSE, FINE = 2048, 14336  # bundles; the fine ones level out at the end
 DIMS = ("size", "tokens", "rows")
 
 
-def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each item (a row of bytes, tokens, rows)."""
-    v = vectors.astype(np.float64) / np.maximum(vectors.sum(0), 1) * shards  # a shard's capacity is 1 in each
-    rest = np.ones((shards, v.shape[1]))
+def pack(vectors: np.ndarray, shards: int, room: np.ndarray | None = None) -> np.ndarray:
+    """The shard of each item (a row of bytes, tokens, rows). room: the shards' shares of the capacity, equal if not given."""
+    room = np.ones((shards, vectors.shape[1])) if room is None else np.maximum(room, 1e-9)
+    v = vectors.astype(np.float64) / np.maximum(vectors.sum(0), 1) * shards
+    rest = room / room.sum(0) * shards
     out = np.empty(len(v), np.int64)
-    for i in np.lexsort((np.arange(len(v)), -v.sum(1), -v[:, 0])).tolist():
+    for i in np.lexsort((np.arange(len(v)), -v.sum(1), -v.max(1))).tolist():
         x = v[i]
         dot = rest @ x
         fits = (rest >= x).all(1)
-        # with no room in all of them anywhere, bytes decide
-        out[i] = s = int(np.where(fits, dot, -np.inf).argmax()) if fits.any() else int(rest[:, 0].argmax())
+        out[i] = s = int((np.where(fits, dot, -np.inf) if fits.any() else dot).argmax())
         rest[s] -= x
+    return _level(v, out, rest)
+
+
+def _level(v: np.ndarray, out: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Swap items with equal rows between the fullest and the emptiest shard as long as that levels their bytes."""
+    for _ in range(8 * len(rest)):
+        hi, lo = int(rest[:, 0].argmin()), int(rest[:, 0].argmax())
+        gap = rest[lo, 0] - rest[hi, 0]
+        a, b = np.flatnonzero(out == hi), np.flatnonzero(out == lo)
+        a, b = a[:: max(1, len(a) // 256)], b[:: max(1, len(b) // 256)]
+        if gap < 1e-6 or not len(a) or not len(b):
+            break
+        d = v[a, 0][:, None] - v[b, 0][None]
+        d[np.abs(v[a, 2][:, None] - v[b, 2][None]) > 1e-12] = -1
+        off = np.where(d > 0, np.abs(d - gap / 2), np.inf)
+        i, j = np.unravel_index(off.argmin(), off.shape)
+        if not off[i, j] < gap / 2:
+            break
+        rest[hi] += v[a[i]] - v[b[j]]
+        rest[lo] -= v[a[i]] - v[b[j]]
+        out[a[i]], out[b[j]] = lo, hi
     return out
 
 
@@ -42,16 +63,15 @@ def rendezvous(key: Column, shards: int) -> Column:
     return (-F.array_max(at)["s"]).cast("int")
 
 
-def _numbered(df: DataFrame, by: list[str], order: str, subs: int, out: str) -> DataFrame:
-    """df with `out`, 0, 1, 2 ... within `by`, without bringing the rows of one value to one task."""
-    d = df.withColumn("__sub", F.pmod(F.xxhash64(F.col(order).cast("string")), F.lit(subs)))
-    n = d.groupBy(*by, "__sub").count()
+def _numbered(df: DataFrame, by: list[str], subs: int, out: str) -> DataFrame:
+    """df with `out`, 0, 1, 2 ... within `by`, by the stored number u, without bringing the rows of one value to one task."""
+    d = df.withColumn("sub", F.pmod(F.xxhash64("u"), F.lit(subs)))
+    n = d.groupBy(*by, "sub").count()
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    n = n.withColumn("__base", F.sum("count").over(w.orderBy("__sub").rowsBetween(Window.unboundedPreceding, -1)))
-    n = n.select(*by, "__sub", F.coalesce("__base", F.lit(0)).alias("__base"))
-    d = d.join(F.broadcast(n), [*by, "__sub"])  # shards * subs rows
-    at = F.row_number().over(Window.partitionBy(*by, "__sub").orderBy(F.col(order).asc_nulls_first()))
-    return d.withColumn(out, (F.col("__base") + at - 1).cast("long")).drop("__sub", "__base")
+    n = n.withColumn("base", F.sum("count").over(w.orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)))
+    d = d.join(n.select(*by, "sub", F.coalesce("base", F.lit(0)).alias("base")), [*by, "sub"])
+    at = F.row_number().over(Window.partitionBy(*by, "sub").orderBy("u"))
+    return d.withColumn(out, (F.col("base") + at - 1).cast("long")).drop("sub", "base")
 
 
 def shard(df: DataFrame, shards: int = 40, law: str = "bytes", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -60,49 +80,62 @@ def shard(df: DataFrame, shards: int = 40, law: str = "bytes", doc_id: str = "do
     law: `bytes` (sizes near equal, by vector bin packing), `rows` (counts at most one apart) or `key` (the id and
     the number of shards decide; grown_shard has the shard among one more). size is the text's UTF-8 bytes plus 16,
     text_crc32 its CRC-32; a null text counts as empty but is a group of its own. Tokens are words between white
-    space. Rows with a null id and repeated rows are placed like any others; other columns are not read.
+    space. Rows with a null id and repeated rows are placed like any others; an empty table gives no rows; other
+    columns are not read.
     """
     if law not in ("bytes", "rows", "key"):
         raise ValueError(f"no such law: {law}")
     t = F.coalesce(F.col(text), F.lit(""))
     subs = max(64, 4 * parts_for(df) // shards)
     rows = df.select(
-        F.col(doc_id).alias("doc_id"), (F.octet_length(t) + 16).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"),
-        (F.length(t) - F.length(F.translate(t, " \n\t\r", "")) + F.least(F.length(t), F.lit(1))).cast("long").alias("tokens"), F.coalesce(F.md5(F.col(text).cast("binary")), F.lit("null")).alias("g"),
+        F.col(doc_id).alias("id"), F.monotonically_increasing_id().alias("u"), (F.octet_length(t) + 16).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"),
+        F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens"), F.coalesce(F.md5(F.col(text).cast("binary")), F.lit("null")).alias("g"),
     )
+    rows = cut(rows, "sizes")  # u is read again
+    none = F.lit(None).cast("int")
     if law == "key":
-        out = rows.withColumns({"shard": rendezvous(F.col("doc_id"), shards), "grown_shard": rendezvous(F.col("doc_id"), shards + 1)})
+        out = rows.withColumns({"shard": rendezvous(F.col("id"), shards), "grown_shard": rendezvous(F.col("id"), shards + 1)})
     elif law == "rows":
-        out = _numbered(rows, [], "doc_id", subs * shards, "at").withColumns({"shard": (F.col("at") % shards).cast("int"), "grown_shard": F.lit(None).cast("int")})
+        out = _numbered(rows, [], subs * shards, "at").withColumns({"shard": (F.col("at") % shards).cast("int"), "grown_shard": none})
     else:
-        rows = _items(cut(rows, "sizes"), shards)
-        out = rows.join(F.broadcast(_packed(rows, shards)), "item").withColumn("grown_shard", F.lit(None).cast("int"))
-    out = _numbered(out, ["shard"], "doc_id", subs, "slot")
-    return out.select(F.col("doc_id").alias(doc_id), "size", "text_crc32", F.lit(law).alias("law"), "shard", "slot", "grown_shard")
+        out = _packed(rows, shards).withColumn("grown_shard", none)
+    out = _numbered(out, ["shard"], subs, "slot")
+    return out.select(F.col("id").alias(doc_id), "size", "text_crc32", F.lit(law).alias("law"), "shard", "slot", "grown_shard")
 
 
-def _items(rows: DataFrame, shards: int) -> DataFrame:
-    """rows with `item`: a bundle of small groups, a large group, or a piece of a very large one."""
+def _packed(rows: DataFrame, shards: int) -> DataFrame:
+    """rows with `shard`."""
+    spark = rows.sparkSession
     vec = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
-    groups = rows.groupBy("g").agg(*vec)
-    total = rows.agg(*vec).first()
+    groups = cut(rows.groupBy("g").agg(*vec), "groups")
+    total = groups.agg(*[F.sum(d).alias(d) for d in DIMS]).first()
     share = F.greatest(*[F.col(d) * (shards / max(total[d] or 0, 1)) for d in DIMS])
-    big = groups.select("g", share.alias("share")).where(F.col("share") * BIG >= 1).orderBy(F.desc("share"), "g").collect()
-    first, known = COARSE + FINE, []
-    for r in big:
-        pieces = 1 if r["share"] <= 0.5 else int(np.ceil(4 * r["share"]))
-        known.append((r["g"], first, pieces))
-        first += pieces
-    spark = rows.sparkSession
-    large = F.broadcast(spark.createDataFrame(known, "g string, first long, pieces int"))
-    h = F.xxhash64("g")
-    bundle = F.when(F.pmod(h, F.lit(2)) == 0, F.pmod(F.shiftright(h, 1), F.lit(COARSE))).otherwise(COARSE + F.pmod(F.shiftright(h, 1), F.lit(FINE)))
-    piece = F.col("first") + F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(1)), F.col("pieces"))
-    return rows.join(large, "g", "left").withColumn("item", F.coalesce(piece, bundle))
-
-
-def _packed(rows: DataFrame, shards: int) -> DataFrame:
-    """(item, shard); at most COARSE + FINE + pieces items."""
-    got = rows.groupBy("item").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).orderBy("item").collect()
-    where = pack(np.array([[r[d] for d in DIMS] for r in got], np.int64).reshape(-1, 3), shards)
-    return rows.sparkSession.createDataFrame([(r["item"], int(s)) for r, s in zip(got, where)], "item long, shard int")
+    big = groups.withColumn("share", share).where(F.col("share") * BIG >= 1).orderBy(F.desc("share"), "g").collect()
+    pieces = [1 if r["share"] <= 0.5 else int(np.ceil(4 * r["share"])) for r in big]
+    items = np.repeat(np.array([[r[d] for d in DIMS] for r in big], np.float64).reshape(-1, 3) / np.array(pieces).reshape(-1, 1), pieces, axis=0)
+    room = np.ones((shards, 3))
+    where = np.zeros(0, np.int64)
+    if len(items):
+        # the large ones alone, in shards with room for everything
+        scale = np.array([max(total[d] or 0, 1) / shards for d in DIMS])
+        where = pack(np.concatenate([items, np.maximum(scale * shards - items.sum(0), 0)[None] / 4096 * np.ones((4096, 1))]), shards)[: len(items)]
+        for s, x in zip(where.tolist(), items):
+            room[s] -= x / scale
+    first = np.cumsum(pieces) - pieces
+    known = [(r["g"], [int(s) for s in where[i : i + n]]) for r, i, n in zip(big, first.tolist() if len(big) else [], pieces)]
+    large = F.broadcast(spark.createDataFrame(known, "g string, places array<int>"))
+    room = np.maximum(room, 0)
+
+    def fill(batches):
+        got = [b for b in batches if len(b)]
+        if got:
+            p = pd.concat(got).sort_values("g")
+            p["small"] = pack(p[list(DIMS)].to_numpy(), shards, room)
+            yield p[["g", "small"]]
+
+    small = groups.join(large.select("g"), "g", "left_anti").repartition(max(1, parts_for(groups, 32)), "g").mapInPandas(fill, "g string, small int")
+    # no small group has many rows, large ones never enter this shuffle
+    some = rows.join(large, "g", "left")
+    most = some.where("places is not null").withColumn("shard", F.element_at("places", (F.pmod(F.xxhash64("u"), F.size("places")) + 1).cast("int"))).drop("places")
+    rest = some.where("places is null").drop("places").join(cut(small, "shards"), "g").withColumnRenamed("small", "shard")
+    return rest.unionByName(most)

@@ -428,8 +428,27 @@ def test_sharding(spark):
             assert max(n.values()) - min(n.values()) <= 1
         if law == "key":
             assert {x.grown_shard for x in r if x.grown_shard != x["shard"]} == {4}
+    assert sharding.shard(d.limit(0), 4).count() == 0
     b = np.bincount(sharding.pack(np.array([[s, s // 5, 1] for s in size.values()]), 4), list(size.values()))
-    assert b.max() <= max(1.1 * b.mean(), max(size.values())) and sharding.shard(d.limit(0), 4).count() == 0
+    assert b.max() <= 1.1 * max(b.mean(), max(size.values()))  # rows count too, so a text larger than a shard is not alone
+
+
+def test_shards_of_equal_bytes(spark):
+    rng = random.Random(8)
+    texts = [" ".join("w" * rng.randint(1, 9) for _ in range(rng.choice([3, 30, 300]))) for _ in range(1500)] + ["copy of one text " * 20] * 400 + ["twice"] * 2 + [None, "", None]
+    rows = list(enumerate(texts)) + [(None, "no id"), (None, "no id either"), (7, "another text of seven")]
+    r = sharding.shard(docs(spark, rows), 4).collect()
+    assert len(r) == len(rows)
+    at = [[x for x in r if x["shard"] == s] for s in range(4)]
+    assert all(sorted(x.slot for x in p) == list(range(len(p))) for p in at)
+    for n in ([sum(x.size for x in p) for p in at], [len(p) for p in at]):
+        assert max(n) <= 1.05 * sum(n) / 4, n
+    of = {}
+    for x in r:
+        of.setdefault(x.text_crc32, set()).add(x["shard"])
+    hot = zlib.crc32(texts[1600].encode())
+    assert len(of.pop(hot)) > 1  # over half a shard
+    assert max(map(len, of.values())) <= 2 and sum(len(s) > 1 for s in of.values()) <= 1  # null and empty are two groups with one sum
 
 
 def test_odd_rows_everywhere(spark):
