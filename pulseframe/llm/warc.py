@@ -163,7 +163,7 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
     """Write a record for each row to archives in `folder`; (path, records, bytes) of each archive.
 
     Of rows with equal payloads of `least` bytes or more the largest page_id is the response and the others revisit
-    it; shorter payloads are responses all. A null html is an empty payload. Of repeated rows (one id, equal payload)
+    it; shorter payloads are responses all. A null html is an empty payload, a null url about:blank. Of repeated rows (one id, equal payload)
     every row is a response if that id is the largest. Rows with a null id are responses and nothing refers to them.
     """
     ship_to = pages.select(F.col(page_id).cast("long").alias("id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
@@ -178,17 +178,20 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
         from pyspark import TaskContext
 
         fs, base = _filesystem(folder)
+        base = base.rstrip("/")
         part, tried = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         out, size, count, seq = [], 0, 0, 0
 
         def close():
-            name = f"{base}/pages-{run_id}-{part:06d}-{seq:05d}.warc" + (".gz" if packed else "")
+            # an attempt's own folder: what a failed one leaves behind is never read, since only the written paths are
+            name = f"{base}/{part:06d}-{tried}/pages-{run_id}-{part:06d}-{seq:05d}.warc" + (".gz" if packed else "")
             hidden = f"{base}/.tmp-{run_id}-{part}-{seq}-{tried}"
+            fs.create_dir(name.rpartition("/")[0], recursive=True)
             with fs.open_output_stream(hidden, compression=None) as f:
                 for x in out:
                     f.write(x)
             fs.move(hidden, name)
-            return pa.RecordBatch.from_pydict({"path": [name], "records": pa.array([count], pa.int64()), "bytes": pa.array([size], pa.int64())})
+            return pa.RecordBatch.from_pydict({"path": [folder + name.removeprefix(base)], "records": pa.array([count], pa.int64()), "bytes": pa.array([size], pa.int64())})
 
         for b in batches:
             for i, u, t, d, n, to in zip(*(b[c].to_pylist() for c in ("id", "url", "html", "d", "n", "to"))):
@@ -213,14 +216,14 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
 READ = "path string, start long, end long, kind string, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, reason string"
 
 
-def read(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
-    """Rows of kind `record` and, for quarantined bytes, of kind `gap` with its reason, from all archives of a folder.
+def read(spark: SparkSession, folder: str | list[str], payloads: bool = False) -> DataFrame:
+    """Rows of kind `record` and, for quarantined bytes, of kind `gap` with its reason, from all archives of a folder, or from the archives named.
 
     A response's length and digest come from its payload; a revisit's from its headers. With `payloads` a column
     `payload` holds the responses' bytes. An empty folder gives no rows.
     """
     small_batches(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").option("recursiveFileLookup", "true").load(folder).select("path", "content")
     urn = re.compile(r"<urn:page:(-?\d+)>")
 
     def page(x):
@@ -269,7 +272,9 @@ def read(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
 def round_trip(pages: DataFrame, folder: str | None = None, least: int = 0) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to as read back from the archives of all rows.
 
-    Fails if other than the records written are read, or anything is quarantined. A given folder must be empty before.
+    Fails if other than the records written are read, or anything is quarantined. Only archives of committed tasks are
+    read, so what a failed attempt left in the folder doesn't count. An empty table gives no rows; repeated rows and
+    rows with a null id each give a row.
     """
     spark = pages.sparkSession
     folder = folder or f"{shared_dir(spark)}/pulseframe/warc-{uuid.uuid4().hex}"
@@ -277,8 +282,11 @@ def round_trip(pages: DataFrame, folder: str | None = None, least: int = 0) -> D
         folder = f"file://{folder}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
-    written = write(pages, folder, least=least).agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
-    back = cut(read(spark, folder).select("kind", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "records")
+    done = cut(write(pages, folder, least=least), "archives")
+    written = done.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    # a folder for each task that was committed; other attempts' archives don't count
+    folders = [r[0] for r in done.select(F.regexp_replace("path", "/[^/]*$", "")).distinct().collect()]
+    back = cut(read(spark, folders or folder).select("kind", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "records")
     records, gaps = back.agg(F.count_if(F.col("kind") == "record"), F.count_if(F.col("kind") == "gap")).first()
     if records != written or gaps:
         raise RuntimeError(f"{written} records written to {folder}, {records} and {gaps} gaps read back")
