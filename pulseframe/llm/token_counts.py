@@ -1,7 +1,7 @@
 """Token counts of a unigram model, by dynamic programming over a trie of the distinct pre-tokens.
 
 The model takes the pieces of a SentencePiece vocabulary with scores by their rank, log p = -log(rank + 2) (Zipf's
-law; the vocabulary itself isn't trained here). A text's pre-tokens are its words, each with a leading mark; no piece
+law; neither the vocabulary nor its scores are trained, as tokenizers aren't trained here). A text's pre-tokens are its words, each with a leading mark; no piece
 holds a mark after another character. The distinct pre-tokens of a slab are put in a trie, level by level; a node's
 forward score, the best of any split of its prefix, is computed once however many pre-tokens share it, from its
 ancestors' scores, and a pre-token's count is stored at its terminal node. A character that no piece spells costs
@@ -24,6 +24,7 @@ from .textnp import SPACE, column, gather, mix, owner, piece_hash, runs, slabs,
 
 SLAB = 8 << 20
 KEEP_WORDS = 500_000
+LONG, PART = 256, 1 << 16  # longer pre-tokens, which share little, are scored one by one, so many characters at a time
 UNKNOWN = -14.0
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
@@ -54,6 +55,55 @@ class Unigram:
 
     def words(self, cps: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """The token counts of words given as code points end to end."""
+        far = lens > LONG
+        first = np.cumsum(lens) - lens
+        out = np.zeros(len(lens), np.int64)
+        for w in np.flatnonzero(far).tolist():
+            out[w] = self._long(cps[first[w] : first[w] + lens[w]])
+        out[~far] = self._trie(cps[np.repeat(~far, lens)], lens[~far])
+        return out
+
+    def _long(self, cps: np.ndarray) -> int:
+        """One word's token count: all pieces of PART characters are looked up at once, scores go on from part to part."""
+        n = len(cps)
+        best, toks = [0.0], [0]  # of the last `longest` places, the newest last
+        for a in range(0, n, PART):
+            b = min(n, a + PART)
+            from_ = max(0, a - self.longest + 1)
+            code = self._code(cps[from_:b])
+            size = np.where(cps[a:b] < 0x80, 1, np.where(cps[a:b] < 0x800, 2, np.where(cps[a:b] < 0x10000, 3, 4))).tolist()
+            ends, widths, scores, h = [], [], [], np.zeros(0, np.uint64)
+            for k in range(1, min(self.longest, b - from_) + 1):
+                # hashes of the k characters before each end; the first end is at from_ + k
+                h = code if k == 1 else h[:-1] * _STEP + code[k - 1 :]
+                if k not in self.tables:
+                    continue
+                keys, s = self.tables[k]
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = np.flatnonzero(keys[at] == h)
+                hit = hit[hit + from_ + k > a]
+                ends.append(hit + from_ + k - a)
+                widths.append(np.full(len(hit), k))
+                scores.append(s[at[hit]])
+            end, width, score = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ends, widths, scores))
+            o = np.lexsort((width, end))
+            cuts = np.searchsorted(end[o], np.arange(1, b - a + 2)).tolist()
+            width, score = width[o].tolist(), score[o].tolist()
+            for i in range(b - a):
+                top, cost = -np.inf, 0
+                lo, hi = cuts[i], cuts[i + 1]
+                if lo == hi or width[lo] > 1:
+                    top, cost = best[-1] + UNKNOWN * size[i], toks[-1] + size[i]
+                for j in range(lo, hi):
+                    new, more = best[-width[j]] + score[j], toks[-width[j]] + 1
+                    if new > top + 1e-9 or (abs(new - top) <= 1e-9 and more < cost):
+                        top, cost = new, more
+                best.append(top)
+                toks.append(cost)
+            del best[: -self.longest], toks[: -self.longest]
+        return toks[-1]
+
+    def _trie(self, cps: np.ndarray, lens: np.ndarray) -> np.ndarray:
         first = np.cumsum(lens) - lens
         node = np.zeros(len(lens), np.int64)  # each word's node at the level before
         alive = np.arange(len(lens))

@@ -175,7 +175,7 @@ def test_sentencepiece_equals_the_library(spark):
         assert r.ids == sp.encode(r.text or "") and r.decoded == sp.decode(r.ids)
 
 
-def test_token_counts_against_plain_dynamic_programming():
+def test_token_counts_against_plain_dynamic_programming(monkeypatch):
     p, u = token_counts.zipf_pieces(sentencepiece_bpe.default_model()), token_counts.unigram(sentencepiece_bpe.default_model())
 
     def plain(t):
@@ -192,8 +192,21 @@ def test_token_counts_against_plain_dynamic_programming():
                 n -= best[-1][1]
         return n
 
-    texts = [t for _, t in mixed(5)] + ["日本語 😀😀", "a" * 200]
+    texts = [t for _, t in mixed(5)] + ["日本語 😀😀", "a" * 200, "the" * 700, "thé日😀of" * 300 + " the " + "qzx" * 400]
     assert u.counts(pa.array(texts, pa.string()))[0].tolist() == [plain(t) for t in texts]
+    monkeypatch.setattr(token_counts, "PART", 37)  # parts of long words join without a seam
+    u.clear()
+    assert u.counts(pa.array(texts, pa.string()))[0].tolist() == [plain(t) for t in texts]
+
+
+def test_token_counts_of_a_very_long_word():
+    import time
+
+    u = token_counts.unigram(sentencepiece_bpe.default_model())
+    u.clear()
+    t = time.perf_counter()
+    n = u.counts(pa.array(["abcdefghij" * 30_000]))[0][0]
+    assert 300_000 / 16 < n <= 300_001 and time.perf_counter() - t < 30
 
 
 def test_language_id():
@@ -328,6 +341,19 @@ def test_warc(spark, tmp_path):
     assert {r.page_id: bytes(r.payload) for r in body.collect()} == {i: b for i, b in pay.items() if top[b] == i}
 
 
+def test_warc_odd_rows(spark, tmp_path):
+    kind = "page_id long, url string, html string"
+    rows = [(1, "u", "same"), (1, "u", "same"), (None, "v", "same"), (None, None, None), (2, "w", "")]
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(spark.createDataFrame(rows, kind), str(tmp_path / "w")).collect()), key=repr)
+    assert got == sorted([(1, 4, "response", None)] * 2 + [(None, 4, "response", None), (None, 0, "response", None), (2, 0, "response", None)], key=repr)
+    assert warc.round_trip(spark.createDataFrame([], kind), str(tmp_path / "e")).count() == 0
+    # archives of another attempt in the folder aren't read
+    stray = tmp_path / "s" / "000000-99"
+    stray.mkdir(parents=True)
+    (stray / "pages-x-000000-00000.warc").write_bytes(warc.record(77, "u", b"x", "D"))
+    assert warc.round_trip(spark.createDataFrame(rows, kind), str(tmp_path / "s")).count() == 5
+
+
 @pytest.mark.parametrize("packed", [True, False])
 def test_warc_salvage(packed):
     recs = [warc.record(i, f"http://x/{i}", os.urandom(500), "D") for i in range(20)]
