@@ -3,15 +3,18 @@
 A paragraph (a line of the text, or a run of adjacent lines that holds a hard-wrapped notice) is described by its word 1- to 3-grams, lower-cased; a multinomial logistic
 regression over those n-grams, trained in numpy on variations of the templates, on notices of invented licences
 (class `unknown`) and on ordinary paragraphs (class `none`), gives its class. Probabilities are calibrated by a
-temperature on variations held back from training. A family counts only if the paragraph also holds enough of one
-of the family's templates' word pairs; what looks like a licence but isn't confirmed is `unknown`.
-Ordinary paragraphs are sampled from the documents (at most SAMPLE_ROWS texts, SAMPLE_BYTES bytes each); all
-paragraphs of all whole texts are scanned.
+temperature on variations held back from training and on the notices of families that a second and a third model never
+saw, whose right class is then `unknown`. A family counts only if the paragraph also holds enough of one of the
+family's templates' word pairs, and all of those with a number in them, so that versions are told apart; what looks
+like a licence but isn't confirmed is `unknown`. Ordinary paragraphs are sampled from the documents (SAMPLE_LINES lines
+from all over each of at most SAMPLE_ROWS texts, SAMPLE_CHARS characters each); all paragraphs of all whole texts are
+scanned.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 
 import numpy as np
@@ -23,7 +26,7 @@ from .shared import small_batches
 from .textnp import LOWER, column, gather, mix, owner, piece_hash, runs, slabs, tidy
 
 SAMPLE_ROWS = 300
-SAMPLE_BYTES = 2000
+SAMPLE_LINES, SAMPLE_CHARS = 20, 400
 EACH = 60  # variations of each template for training
 CONFIRM = 0.6  # share of a template's word pairs that a paragraph must hold
 SLAB = 4 << 20
@@ -35,9 +38,10 @@ TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "Licensed under the MIT license.", "SPDX-License-Identifier: MIT"],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "SPDX-License-Identifier: GPL-3.0"],
     "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "SPDX-License-Identifier: GPL-2.0"],
-    "LGPL": ["This library is licensed under the GNU Lesser General Public License.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License", "SPDX-License-Identifier: LGPL-3.0"],
+    "LGPL": ["This library is licensed under the GNU Lesser General Public License.", "Licensed under the LGPL version 2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License", "SPDX-License-Identifier: LGPL-3.0"],
     "AGPL": ["This work is licensed under the GNU Affero General Public License.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License", "SPDX-License-Identifier: AGPL-3.0"],
     "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD License.", "SPDX-License-Identifier: BSD-3-Clause"],
+    "ISC": ["ISC License", "Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
@@ -92,9 +96,17 @@ def _vary(rng, text: str) -> str:
     return t
 
 
+#: Frames of notices of licences that don't exist.
+FRAMES = [
+    "Licensed under the {} License.", "Released under the {} Public License, version {}.", "This work is licensed under the terms of the {} License.", "This software is distributed under the {} license agreement.",
+    "Use of this source code is governed by the {} license that can be found in the LICENSE file.", "This file is part of {} and is licensed under its own terms, see LICENSE.", "SPDX-License-Identifier: {}-{}.0", "You may copy and modify this program under the {} License {}.0.",
+    "The {} License grants you the right to use and distribute this work.", "Permission is granted by {} to copy this document for any purpose.",
+]
+
+
 def _invented(rng) -> str:
-    name = "".join(rng.choice(["zor", "mel", "qui", "tan", "bru", "vex", "lom", "pra"], 3)).title()
-    return str(rng.choice(["Licensed under the {} License.", "Released under the {} Public License, version 1.", "This work is licensed under the terms of the {} License.", "This software is distributed under the {} license agreement."])).format(name)
+    letters = rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(3, 9)))
+    return str(rng.choice(FRAMES)).format("".join(letters).title(), int(rng.integers(1, 6)))
 
 
 class Scanner:
@@ -116,43 +128,60 @@ class Scanner:
         y = np.array(y)
         held = rng.random(len(y)) < 0.2
         v, p, _, _ = _grams(*_flat(texts))
-        lic = np.unique(v[(y[p] > 0) & ~held[p]])  # others have no say
-        self.known = lic
+        z, y_all = [], []
+        families = np.arange(2, len(self.classes))
+        for gone in (families[0::3], families[1::3], np.zeros(0, np.int64)):  # the last model has seen all families
+            unseen = np.isin(y, gone)
+            known, w, b, logits = self._fit(v, p, len(texts), y, ~held & ~unseen)
+            if len(gone):
+                z.append(logits[unseen])
+                y_all.append(np.ones(int(unseen.sum()), np.int64))
+        self.known = known
+        self.held_out = float((logits[held].argmax(1) == y[held]).mean())
+        weight = np.concatenate([np.full(len(x), 0.25 / len(x)) for x in z] + [np.full(int(held.sum()), 0.5 / held.sum())])
+        z, y_all = np.concatenate([*z, logits[held]]), np.concatenate([*y_all, y[held]])
+        loss = {t: -(weight * np.log(self._prob(z / t)[np.arange(len(z)), y_all] + 1e-12)).sum() for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0, 4.0)}
+        self.heat = min(loss, key=loss.get)
+        self.w, self.b = w.astype(np.float32), b.astype(np.float32)
+        self.filter = np.zeros(BITS, bool)
+        self.filter[(known & np.uint64(BITS - 1)).astype(np.int64)] = True
+        self.pairs, self.must = [], []  # of each template: its class and word pairs (of a single word, that), and those with a number
+        for c, ts in TEMPLATES.items():
+            for t in ts:
+                tv, _, to, _ = _grams(*_flat([t]))
+                two = tv[to == 2]
+                words = re.findall(r"[0-9A-Za-z\x80-\uffff]+", t)
+                number = np.array([any(re.fullmatch("[0-9]+", x) for x in q) for q in itertools.pairwise(words)], bool)
+                year = np.array(["2020" in q for q in itertools.pairwise(words)], bool)
+                self.pairs.append((self.classes.index(c), np.unique(two)))
+                self.must.append(np.unique(two[number & ~year]) if len(two) else two)
+
+    def _fit(self, v, p, n, y, use):
+        """Weights fitted on the paragraphs in use: (known n-grams, weights, biases, logits of all paragraphs)."""
+        lic = np.unique(v[(y[p] > 0) & use[p]])  # others have no say
         at = np.searchsorted(lic, v)
         ok = (at < len(lic)) & (lic[np.minimum(at, len(lic) - 1)] == v)
         at, p = at[ok], p[ok]
-        n, k = len(texts), len(self.classes)
+        k = len(self.classes)
         x_norm = 1 / np.sqrt(np.maximum(np.bincount(p, minlength=n), 1))
         w, b = np.zeros((len(lic), k)), np.zeros(k)
         b[0] = 1.0
-        share = 1 / np.maximum(np.bincount(y[~held], minlength=k), 1)[y] * ~held
+        share = 1 / np.maximum(np.bincount(y[use], minlength=k), 1)[y] * use
         share /= share.sum()
         mw, mb = np.zeros_like(w), np.zeros_like(b)
         for _ in range(150):
             d = self._prob(self._logits(at, p, n, w, b, x_norm))
             d[np.arange(n), y] -= 1
             d *= share[:, None]
-            g = np.zeros_like(w)
-            np.add.at(g, at, d[p] * x_norm[p][:, None])
+            d_row = d * x_norm[:, None]
+            g = np.stack([np.bincount(at, d_row[p, c], minlength=len(lic)) for c in range(k)], 1)
             mw, mb = 0.9 * mw + g + 1e-5 * w, 0.9 * mb + d.sum(0)
             w, b = w - 3.0 * mw, b - 3.0 * mb
-        z = self._logits(at, p, n, w, b, x_norm)[held]
-        loss = {t: -np.log(self._prob(z / t)[np.arange(len(z)), y[held]] + 1e-12).mean() for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0)}
-        self.heat = min(loss, key=loss.get)
-        self.held_out = float((z.argmax(1) == y[held]).mean())
-        self.w, self.b = w.astype(np.float32), b.astype(np.float32)
-        self.filter = np.zeros(BITS, bool)
-        self.filter[(lic & np.uint64(BITS - 1)).astype(np.int64)] = True
-        self.pairs = []  # of each template: its class and word pairs (of a single word, that)
-        for c, ts in TEMPLATES.items():
-            for t in ts:
-                tv, _, to, _ = _grams(*_flat([t]))
-                self.pairs.append((self.classes.index(c), np.unique(tv[to == 2])))
+        return lic, w, b, self._logits(at, p, n, w, b, x_norm)
 
     @staticmethod
     def _logits(at, p, n, w, b, norm):
-        z = np.zeros((n, w.shape[1]))
-        np.add.at(z, p, w[at])
+        z = np.stack([np.bincount(p, w[at, c], minlength=n) for c in range(w.shape[1])], 1)
         return z * norm[:, None] + b
 
     @staticmethod
@@ -179,10 +208,13 @@ class Scanner:
         keep = (best > 0)[q] & (order == 2)
         v, q = v[keep], q[keep]
         proven = np.zeros((len(ids), len(self.classes)))
-        for c, pairs in self.pairs:
+        for (c, pairs), must in zip(self.pairs, self.must):
             inside = np.isin(v, pairs)
-            key = np.unique(np.stack([q[inside].astype(np.uint64), v[inside]]), axis=1)[0].astype(np.int64)
-            proven[:, c] = np.maximum(proven[:, c], np.bincount(key, minlength=len(ids)) / max(1, len(pairs)))
+            key, val = np.unique(np.stack([q[inside].astype(np.uint64), v[inside]]), axis=1)
+            held = np.bincount(key.astype(np.int64), minlength=len(ids)) / max(1, len(pairs))
+            # a version must be there as the template has it
+            full = np.bincount(key[np.isin(val, must)].astype(np.int64), minlength=len(ids)) == len(must)
+            proven[:, c] = np.maximum(proven[:, c], np.where(full, held, 0))
         sure = proven[np.arange(len(ids)), best] >= CONFIRM
         # a family that the templates bear out better than the predicted one
         other = proven.argmax(1)
@@ -279,11 +311,17 @@ class Scanner:
 
 
 def train(df: DataFrame, text: str = "text", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> Scanner:
+    """Fit on the templates and on ordinary lines of at most `rows` documents.
+
+    Null texts are left out; a table without texts trains on the templates alone. Repeated rows and rows with a null
+    key may be sampled like others.
+    """
     r = F.xxhash64(F.col(key).cast("string"))
     n = max(1, df.count())
     part = df.where(F.col(text).isNotNull() & (F.pmod(r, F.lit(1 << 30)) < int((1 << 30) * min(1.0, 3.0 * rows / n + 20 / n))))
-    got = part.select(r.alias("r"), F.substring(text, 1, SAMPLE_BYTES).alias("t")).orderBy("r", "t").limit(rows).collect()
-    return Scanner([g.t for g in got])
+    line = F.array_sort(F.transform(F.split(text, "\n"), lambda x, i: F.struct(F.xxhash64(x, i).alias("h"), F.substring(x, 1, SAMPLE_CHARS).alias("x"))))
+    got = part.select(r.alias("r"), F.md5(text).alias("m"), F.col(text)).orderBy("r", "m").limit(rows).select(F.slice(line, 1, SAMPLE_LINES)["x"].alias("t")).collect()
+    return Scanner(["\n".join(g.t) for g in got])
 
 
 def scan(df: DataFrame, scanner: Scanner, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

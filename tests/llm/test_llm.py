@@ -330,6 +330,17 @@ def test_license_scan_of_wrapped_notices(spark):
     assert r[100].families == "BSD,MIT" and r[101].families == "" and r[102].families == "CC-BY-NC,MIT" and r[102].n_notices == 2 and r[103].families == ""
 
 
+def test_license_versions_and_training(spark):
+    d = spark.createDataFrame([(1, "Plain words.\nMore plain words."), (1, "Plain words.\nMore plain words."), (None, "x"), (2, None), (3, ""), (4, "long line " * 9000)], "doc_id long, text string")
+    s = license_scan.train(d)
+    assert license_scan.train(d.limit(0)).held_out > 0.9
+    gpl = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{} either version {} of the License"
+    rows = [(1, gpl.format(";", ";", 2)), (2, gpl.format(":", ",", 3)), (3, gpl.format(":", ",", 4)), (4, "ISC License"), (5, "Licensed under the LGPL version 2.1"), (6, "Use of this source code is governed by the Quux license that can be found in the LICENSE file."), (7, "This work is licensed under a Creative Commons Attribution 4.0 International License."), (8, "Licensed under CC BY 3.0.")]
+    r = {x.doc_id: x for x in license_scan.scan(docs(spark, rows), s).collect()}
+    assert [r[i].families for i in range(1, 9)] == ["GPL-2.0", "GPL-3.0", "", "ISC", "LGPL", "", "CC-BY", ""]
+    assert r[3].n_unknown == r[6].n_unknown == 1 and all(0 <= r[i].score <= 1 for i in r)
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a", "same"), (2, "http://b c", "same"), (3, None, None), (4, "http://d", ""), (5, "http://e", "é" * 9000), (6, "x", "WARC/1.1\r\n\r\n\r\n\r\n"), (7, "y", "same")]
     p = spark.createDataFrame(rows, "page_id long, url string, html string")
