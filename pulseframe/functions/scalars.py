@@ -134,46 +134,41 @@ def activity_family(activity) -> Column:
 
 
 #: Rank of the app a session comes from (fixed values).
-APP_RANKS = (("nike run club", 40), ("nike+ run club", 40), ("nrc", 40), ("strava", 30), ("apple watch", 20), ("iphone", 18), ("health sync", 10), ("health", 16), ("google fit", 10), ("fitbit", 10), ("google", 10))
+APP_RANKS = (("nike run club", 40), ("nike+ run club", 40), ("nrc", 40), ("strava", 30), ("apple watch", 20), ("iphone", 18), ("health", 16), ("fitbit", 10), ("google", 10), ("google fit", 10), ("health sync", 10))
 BRIDGES = ("health sync", "fitbit", "google fit", "google")
 DEFAULT_RANK = 15
 
 
+def _one_spaced(x) -> Column:
+    return F.regexp_replace(F.trim(F.lower(F.coalesce(_c(x), F.lit("")))), r"\s+", " ")
+
+
 def app_rank(app) -> Column:
-    """PRJ-17: by the longest keyword in the name."""
-    a = F.lower(F.trim(F.coalesce(_c(app), F.lit(""))))
+    """PRJ-17: by the longest keyword in the name, in any case and whatever white space is between its words."""
+    a = _one_spaced(app)
     return first_match([(a.contains(k), v) for k, v in sorted(APP_RANKS, key=lambda x: -len(x[0]))], DEFAULT_RANK)
 
 
 def is_bridge(app) -> Column:
     """An app that only passes on others' sessions."""
-    a = F.lower(F.trim(F.coalesce(_c(app), F.lit(""))))
+    a = _one_spaced(app)
     out = F.lit(False)
     for b in BRIDGES:
         out = out | a.contains(b)
     return out
 
 
-#: Devices, which are no apps (fixed values).
-DEVICES = ("apple watch", "iphone", "ipad")
-
-
 def best_app(chains) -> Column:
-    """PRJ-18: of provenance chains (`a|b|c`) the best native app, else the first bridge by name, else null."""
-    parts = F.transform(F.array_sort(chains), lambda c: F.filter(F.transform(F.split(c, r"\|"), lambda x: F.trim(x)), lambda x: x != ""))
-    bridged = F.filter(parts, lambda p: F.exists(p, is_bridge))
-    native = F.flatten(F.filter(parts, lambda p: ~F.exists(p, is_bridge)))
-    native = F.filter(native, lambda x: ~_is_device(x))
-    best = F.array_max(F.transform(native, lambda x: F.struct(app_rank(x).alias("r"), x.alias("a"))))["a"]
-    bridges = F.array_sort(F.filter(F.flatten(bridged), is_bridge))
-    return F.coalesce(best, F.try_element_at(bridges, F.lit(1)))
+    """PRJ-18: the app that recorded a session, from its provenance chains (`a|b|c`) in their order.
 
-
-def _is_device(x) -> Column:
-    out = F.lit(False)
-    for d in DEVICES:
-        out = out | F.lower(x).contains(d)
-    return out
+    The best-ranked name of a chain without a bridge, the first of equals; else the first bridge; else null. Names of
+    no rank (devices, unknown apps) never win; names are cut at 200 characters, null chains are skipped.
+    """
+    parts = F.transform(F.array_compact(chains), lambda c: F.filter(F.transform(F.split(c, r"\|"), lambda x: F.trim(x)), lambda x: x != ""))
+    native = F.filter(F.flatten(F.filter(parts, lambda p: ~F.exists(p, is_bridge))), lambda x: app_rank(x) != DEFAULT_RANK)
+    best = F.array_max(F.transform(native, lambda x, i: F.struct(app_rank(x).alias("r"), (-i).alias("i"), x.alias("a"))))["a"]
+    bridges = F.filter(F.flatten(parts), is_bridge)
+    return F.left(F.coalesce(best, F.try_element_at(bridges, F.lit(1))), F.lit(200))
 
 
 #: Rank of sources of power data (fixed values).
@@ -328,3 +323,38 @@ def glance_line(label: str, value, unit: str = "", signed: bool = False, digits:
 def glance_block(*lines: Column) -> Column:
     """PRJ-27: the lines that have a value."""
     return F.concat_ws("\n", F.filter(F.array(*lines), lambda x: x.isNotNull()))
+
+
+def heart_rate(block, avg, most) -> tuple[Column, Column]:
+    """PRJ-13: average and largest heart rate as whole numbers, from a JSON block with Avg/Max or avg/max (quantities or
+    numbers; the first pair that has either), else from the quantities of their own."""
+    whole = lambda v: F.bround(F.when(v >= 0, v)).cast("int")
+    of = lambda k: whole(F.coalesce(number(F.get_json_object(_c(block), f"$.{k}.qty")), number(F.get_json_object(_c(block), f"$.{k}"))))
+    up, low = (of("Avg"), of("Max")), (of("avg"), of("max"))
+    pick = lambda i, own: F.when(up[0].isNotNull() | up[1].isNotNull(), up[i]).when(low[0].isNotNull() | low[1].isNotNull(), low[i]).otherwise(whole(_c(own)))
+    return pick(0, avg), pick(1, most)
+
+
+def briefing_title(d) -> Column:
+    """PRJ-35: `Morning Check-In · Thursday, July 2`."""
+    return F.concat(F.lit("Morning Check-In · "), F.date_format(_c(d), "EEEE, MMMM d"))
+
+
+def without_last_question(note) -> Column:
+    """PRJ-35: a note without the questions at its end; as it was if nothing else would be left."""
+    text = F.regexp_replace(_c(note), r"\s+$", "")
+    parts = F.split(text, r"\n\n+")
+    said = F.split(F.element_at(parts, -1), r"(?<=[.!?])\s+")
+    last = F.coalesce(F.array_max(F.transform(said, lambda x, i: F.when(~x.endswith("?"), i + 1))), F.lit(0))
+    kept = F.concat_ws(" ", F.filter(F.transform(F.slice(said, F.lit(1), last), lambda x: F.trim(x)), lambda x: x != ""))
+    before = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    out = F.regexp_replace(F.array_join(F.when(kept != "", F.concat(before, F.array(kept))).otherwise(before), "\n\n"), r"\s+$", "")
+    return F.when(text.endswith("?") & (out != ""), out).otherwise(_c(note))
+
+
+def briefing_text(note, d, glance=None) -> Column:
+    """PRJ-35: title, glance block if there is one, and the note without a heading or title of its own."""
+    n = F.regexp_replace(_c(note), r"^\n+", "")
+    body = F.trim(F.regexp_replace(n, r"^(?:\s*#[^\n]*|(?i:\s*#{0,6}\s*morning\s+check[- ]?in\b)[^\n]*)(?:\n\s*)*", ""))
+    parts = [F.concat(F.lit("# "), briefing_title(d)), *([_c(glance)] if glance is not None else []), F.when(body != "", body)]
+    return F.concat_ws("\n\n", F.filter(F.array(*parts), lambda x: x.isNotNull()))

@@ -20,26 +20,22 @@ def _starts_near(a, b) -> Column:
     return F.abs(F.unix_micros(a["started_at"].cast("timestamp")) - F.unix_micros(b["started_at"].cast("timestamp"))) <= START_MIN * 60e6
 
 
-def _same(a, b) -> Column:
-    return (a["event_date"] == b["event_date"]) & (S.activity_family(a["activity_type"]) == S.activity_family(b["activity_type"]))
-
-
 def near_hub(a, b) -> Column:
-    """JOIN-04: two hub sessions; by start where both have one, else by duration and, if known, distance."""
+    """JOIN-04: two hub sessions of one day and family; by start where both have one, else by duration and, if known, distance."""
     zero = F.lit(0.0)
     close = F.abs(F.coalesce(a["duration_min"], zero) - F.coalesce(b["duration_min"], zero)) <= DURATION_MIN
     close = close & F.coalesce(F.abs(a["distance_miles"] - b["distance_miles"]) <= DISTANCE_MI, F.lit(True))
     hub = (a["source"] == "apple_health") & (b["source"] == "apple_health")
-    return F.coalesce(hub & _same(a, b) & F.coalesce(_starts_near(a, b), close), F.lit(False))
+    return F.coalesce(hub & F.coalesce(_starts_near(a, b), close), F.lit(False))
 
 
 def near_power(a, b) -> Column:
-    """JOIN-05: two sessions of power sources; one id of one source is always a duplicate (null ids never)."""
+    """JOIN-05: two sessions of power sources, of one day and family; one id of one source is always a duplicate (null ids never)."""
     zero = F.lit(0.0)
     close = F.abs(F.coalesce(a["duration_min"], zero) - F.coalesce(b["duration_min"], zero)) <= DURATION_MIN
     allowed = a["source"].isin(*POWER_SOURCES) & b["source"].isin(*POWER_SOURCES)
     same_id = (a["source"] == b["source"]) & (a["source_id"] == b["source_id"])
-    return F.coalesce(allowed, F.lit(False)) & (F.coalesce(same_id, F.lit(False)) | F.coalesce(_same(a, b) & F.coalesce(_starts_near(a, b), close), F.lit(False)))
+    return F.coalesce(allowed, F.lit(False)) & (F.coalesce(same_id, F.lit(False)) | F.coalesce(_starts_near(a, b), close, F.lit(False)))
 
 
 def hub_key() -> Column:
@@ -94,15 +90,15 @@ def resolve(incoming: DataFrame, stored: DataFrame, power: bool = False, allow_s
     """
     key, near, fold = (power_key(), near_power, dedupe_power) if power else (hub_key(), near_hub, dedupe_hub)
     shape = lambda d, n: d.select("user_id", "event_date", S.activity_family("activity_type").alias("f"), key.alias(f"{n}_key"), F.struct(*d.columns).alias(n))
-    new = shape(fold(incoming), "new").withColumn("nid", F.xxhash64("user_id", "new.source", "new.source_id"))
+    new = shape(fold(incoming), "new")
     old = shape(stored, "old").withColumnRenamed("user_id", "u").withColumnRenamed("event_date", "d").withColumnRenamed("f", "g")
     j = new.join(old, (F.col("user_id") == F.col("u")) & (F.col("event_date") == F.col("d")) & (F.col("f") == F.col("g")) & near(F.col("new"), F.col("old")), "left")
     wins = F.col("new_key") > F.col("old_key") if allow_supersede else F.lit(False)
-    state = j.groupBy("user_id", "nid").agg(F.coalesce(F.bool_and(F.when(F.col("old").isNotNull(), wins)), F.lit(True)).alias("insert"))
-    state = state.where("insert").select("user_id", "nid")
-    inserts = new.join(state, ["user_id", "nid"], "left_semi").select("new.*")
-    deletes = j.where(F.col("old").isNotNull()).join(state, ["user_id", "nid"], "left_semi").select("user_id", F.col("old.source_id").alias("source_id")).where("source_id is not null").distinct()
-    return inserts, deletes
+    # the whole row is the key, as ids can be null or shared
+    state = j.groupBy("user_id", F.to_json("new", {"ignoreNullFields": "false"}).alias("row")).agg(
+        F.first("new").alias("new"), F.coalesce(F.bool_and(F.when(F.col("old").isNotNull(), wins)), F.lit(True)).alias("insert"), F.collect_set("old.source_id").alias("gone"),
+    ).where("insert")
+    return state.select("new.*"), state.select("user_id", F.explode("gone").alias("source_id")).distinct()
 
 
 def drop_strength_mirrors(cardio: DataFrame, strength: DataFrame) -> DataFrame:

@@ -25,8 +25,10 @@ def resample(samples: DataFrame, ride: str = "ride_id", at: str = "ts", watts: s
 def mean_maximal(series: DataFrame, ride: str = "ride_id", durations=DURATIONS) -> DataFrame:
     """WIN-16: ride, duration, watts: the best mean over each duration no longer than the ride; null counts as 0."""
     w = Window.partitionBy(ride).orderBy("i")
-    v = F.coalesce(F.col("watts"), F.lit(0.0))
-    d = series.withColumns({f"d{k}": F.when(F.count("i").over(w.rowsBetween(-(k - 1), 0)) == k, F.avg(v).over(w.rowsBetween(-(k - 1), 0))) for k in durations})
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    # one running sum; each duration is a difference of two of its values
+    d = series.withColumns({"sum_": F.sum(F.coalesce(F.col("watts"), F.lit(0.0))).over(upto), "n_": F.row_number().over(w)})
+    d = d.withColumns({f"d{k}": F.when(F.col("n_") >= k, (F.col("sum_") - F.lag("sum_", k, 0.0).over(w)) / k) for k in durations})
     g = d.groupBy(ride).agg(*[F.max(f"d{k}").alias(str(k)) for k in durations])
     return g.unpivot([ride], [str(k) for k in durations], "duration", "watts").where("watts is not null").withColumn("duration", F.col("duration").cast("int"))
 

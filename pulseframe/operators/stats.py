@@ -43,13 +43,6 @@ def z_scores(long: DataFrame, least: int = MIN_DAYS, limit: float = Z_LIMIT) ->
     return d.where(F.abs("z") > limit).select("user_id", F.col("d").alias("metric_date"), "metric", "value", F.col("n").alias("sample_n"), "z", F.when(F.col("z") > 0, "above_baseline").otherwise("below_baseline").alias("direction"))
 
 
-def _quantile(sorted_: Column, q: float) -> Column:
-    at = (F.size(sorted_) - 1) * q
-    lo = F.floor(at).cast("int")
-    a, b = F.get(sorted_, lo), F.get(sorted_, F.least(lo + 1, F.size(sorted_) - 1))
-    return a + (b - a) * (at - lo)
-
-
 def iqr_outliers(long: DataFrame, as_of, least: int = MIN_DAYS, fence: float = 1.5) -> DataFrame:
     """WIN-08: the as_of day's values outside the fence of all earlier days' linear quartiles."""
     day = F.lit(as_of).cast("date")
@@ -63,15 +56,15 @@ def iqr_outliers(long: DataFrame, as_of, least: int = MIN_DAYS, fence: float = 1
 
 def ewma_drift(long: DataFrame, alpha: float = ALPHA, least: int = MIN_DAYS, drift: float = DRIFT) -> DataFrame:
     """WIN-09: series whose exponential average's later half differs from the earlier by at least `drift` of it."""
-    g = long.groupBy("user_id", "metric").agg(F.array_sort(F.collect_list(F.struct("d", "value"))).alias("s")).where(F.size("s") >= least)
-    v = F.transform("s", lambda x: x["value"])
-    start = F.array(F.get(v, F.lit(0)))
-    smooth = F.aggregate(F.slice(v, 2, F.size(v)), start, lambda acc, x: F.concat(acc, F.array(alpha * x + (1 - alpha) * F.element_at(acc, -1))))
-    g = g.withColumn("e", smooth).withColumn("h", F.floor(F.size("e") / 2).cast("int"))
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y) / F.size(a)
-    g = g.withColumns({"prior": mean(F.slice("e", F.lit(1), F.col("h"))), "recent": mean(F.slice("e", F.col("h") + 1, F.size("e")))})
+    # a value's share in the sum of the averages e_1 .. e_h is 1 - b ** (h - j + 1), of the first one (1 - b ** h) / alpha
+    w, beta = Window.partitionBy("user_id", "metric"), 1 - alpha
+    j, h, n = F.col("j"), F.floor(F.col("n") / 2), F.col("n")
+    share = lambda m: F.when(j > m, 0.0).when(j == 1, (1 - F.pow(F.lit(beta), m)) / alpha).otherwise(1 - F.pow(F.lit(beta), m - j + 1))
+    d = long.withColumns({"j": F.row_number().over(w.orderBy("d", "value")), "n": F.count("*").over(w)}).where(n >= least)
+    g = d.groupBy("user_id", "metric", "n").agg(F.sum(F.col("value") * share(h)).alias("early"), F.sum(F.col("value") * share(n)).alias("all_"))
+    g = g.withColumns({"prior": F.col("early") / h, "recent": (F.col("all_") - F.col("early")) / (n - h)})
     g = g.withColumn("rel", F.try_divide(F.col("recent") - F.col("prior"), F.abs("prior"))).where(F.abs("rel") >= drift)
-    return g.select("user_id", "metric", F.size("s").alias("sample_n"), "rel", F.when(F.col("rel") > 0, "rising").otherwise("declining").alias("direction"))
+    return g.select("user_id", "metric", F.col("n").cast("int").alias("sample_n"), "rel", F.when(F.col("rel") > 0, "rising").otherwise("declining").alias("direction"))
 
 
 def lagged_correlations(long: DataFrame, pairs, lags=LAGS, least: int = MIN_DAYS, min_r: float = MIN_R) -> DataFrame:

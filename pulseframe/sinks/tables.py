@@ -1,7 +1,8 @@
 """Keyed merges into Parquet tables.
 
-A table is a folder of versions; a write makes the next version whole and then moves the pointer file, so readers and
-a job that is run again always see one complete version. Rows are merged by their key's shuffle, never collected.
+A table is a folder of versions; a write makes the next version whole and then adds the next numbered pointer, which
+must not be there yet. Readers take the newest complete pointer, so a crash at any time leaves the version before, and
+of two writers at once one fails instead of undoing the other's rows. Rows are merged by their key's shuffle, never collected.
 """
 
 from __future__ import annotations
@@ -24,30 +25,32 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _pointer(self, table: str) -> str | None:
-        p, fs = self._fs(f"{self.root}/{table}/current.txt")
+    def _pointer(self, table: str) -> tuple[int, str | None]:
+        """(number, version) of the newest complete pointer; (0, None) for an absent table."""
+        p, fs = self._fs(f"{self.root}/{table}")
         if not fs.exists(p):
-            return None
-        return self.spark.read.text(f"{self.root}/{table}/current.txt").first()[0]
+            return 0, None
+        found = sorted((f.getPath().getName() for f in fs.listStatus(p) if f.getPath().getName().startswith("current-") and f.getLen() > 0), reverse=True)
+        if not found:
+            return 0, None
+        return int(found[0].removeprefix("current-")), self.spark.read.text(f"{self.root}/{table}/{found[0]}").first()[0]
 
     def read(self, table: str) -> DataFrame:
         """The current rows; an absent table is empty."""
-        at = self._pointer(table)
+        at = self._pointer(table)[1]
         schema = ", ".join(f"`{k}` {v}" for k, v in schemas.columns(table).items())
         return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/{at}") if at else self.spark.createDataFrame([], schema)
 
     def replace(self, table: str, df: DataFrame) -> None:
         """The rows of df become the table."""
-        at = f"v-{uuid.uuid4().hex}"
+        at, now = f"v-{uuid.uuid4().hex}", self._pointer(table)[0]
         schemas.conform(df, table).write.parquet(f"{self.root}/{table}/{at}")
-        p, fs = self._fs(f"{self.root}/{table}/current.tmp-{at}")
-        out = fs.create(p, True)
+        p, fs = self._fs(f"{self.root}/{table}/current-{now + 1:012d}")
+        if self._pointer(table)[0] != now:
+            raise RuntimeError(f"another writer changed {table} meanwhile")
+        out = fs.create(p, False)  # an error if another writer was first
         out.write(bytearray(at.encode()))
         out.close()
-        to, _ = self._fs(f"{self.root}/{table}/current.txt")
-        if fs.exists(to):
-            fs.delete(to, False)
-        fs.rename(p, to)
 
     def upsert(self, table: str, rows: DataFrame) -> None:
         self.replace(table, upsert(self.read(table), rows, schemas.KEYS[table]))

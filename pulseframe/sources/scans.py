@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
+from ..functions import scalars as S
 from ..operators import joins
 
 MOST_ROWS, MOST_DAYS = 500, 370
+WEEKLY_KEYS = ("strength_volume_lbs", "strength_short_tons", "upper_volume_lbs", "lower_volume_lbs")
 HISTORY = {"daily_health_metrics": "metric_date", "daily_features": "feature_date", "weekly_activity_summary": "week_start", "strength_events": "event_date", "cardio_events": "event_date"}
 
 
@@ -62,6 +64,27 @@ def history(df: DataFrame, table: str, columns: list[str], as_of, days: int) ->
     return top_rows(d, MOST_ROWS, F.desc(date_col)).select("user_id", *columns).orderBy("user_id", date_col)
 
 
+def weekly_summaries(df: DataFrame, as_of, weeks: int = 12) -> DataFrame:
+    """SCAN-29: weekly rows from `weeks` weeks before as_of on, with the volumes of their JSON as columns."""
+    day = F.lit(as_of).cast("date")
+    d = df.where((F.col("week_start") >= F.date_sub(day, max(1, min(MOST_DAYS, 7 * weeks)))) & (F.col("week_start") <= day))
+    d = d.withColumns({k: F.get_json_object("summary_json", f"$.{k}").try_cast("double") for k in WEEKLY_KEYS})
+    return top_rows(d, MOST_ROWS, F.desc("week_start")).drop("rank").orderBy("user_id", "week_start")
+
+
+def hub_rows(df: DataFrame, since=None, source: str = "apple_health") -> DataFrame:
+    """SCAN-37, SCAN-38: the hub's cardio rows, all or from a date on, newest first."""
+    d = df.where(F.col("source") == source)
+    d = d if since is None else d.where(F.col("event_date") >= F.lit(since).cast("date"))
+    return d.orderBy(F.desc("event_date"), "source_id")
+
+
+def chart_rows(df: DataFrame, date_col: str) -> DataFrame:
+    """ARR-11: rows with a readable date, oldest first, every other column as a number (null where it isn't one)."""
+    d = df.select(S.as_date(date_col).alias(date_col), *[(F.col(c).cast("string")).try_cast("double").alias(c) for c in df.columns if c != date_col])
+    return d.where(F.col(date_col).isNotNull()).orderBy(date_col)
+
+
 def chat_tail(df: DataFrame, n: int = 12) -> DataFrame:
     """SCAN-35, SRT-06: the newest messages, in order."""
     return top_rows(df, n, F.desc("created_at")).orderBy("user_id", F.desc("rank"))
@@ -78,4 +101,4 @@ def corpus_block(df: DataFrame) -> DataFrame:
     return df.where(F.trim("text") != "").groupBy("user_id").agg(F.concat_ws("\n\n", F.transform(F.array_sort(F.collect_list(F.struct("label", part.alias("p")))), lambda x: x["p"])).alias("guidelines"))
 
 
-__all__ = ["HISTORY", "MOST_DAYS", "MOST_ROWS", "active_patterns", "around", "chat_tail", "corpus_block", "exceptions_from", "history", "journal", "latest", "on_days", "power_rides", "recent", "top_rows"]
+__all__ = ["HISTORY", "MOST_DAYS", "MOST_ROWS", "WEEKLY_KEYS", "active_patterns", "around", "chart_rows", "chat_tail", "corpus_block", "exceptions_from", "history", "hub_rows", "journal", "latest", "on_days", "power_rides", "recent", "top_rows", "weekly_summaries"]

@@ -15,7 +15,7 @@ _SAMPLE = "struct<qty:double,value:double,date:string,units:string,totalSleep:do
 METRICS = f"data struct<metrics:array<struct<name:string,units:string,data:array<{_SAMPLE}>>>>"
 _Q = "struct<qty:double,units:string>"
 _QS = "array<struct<qty:double,units:string,date:string,source:string>>"
-WORKOUTS = f"data struct<workouts:array<struct<id:string,name:string,start:string,end:string,duration:double,distance:{_Q},elevationUp:{_Q},avgHeartRate:{_Q},maxHeartRate:{_Q},activeEnergyBurned:{_Q},activeEnergy:{_QS},heartRate:{_QS}>>>, workouts array<string>"
+WORKOUTS = f"data struct<workouts:array<struct<id:string,name:string,start:string,end:string,duration:double,distance:{_Q},elevationUp:{_Q},avgHeartRate:{_Q},maxHeartRate:{_Q},activeEnergyBurned:{_Q},activeEnergy:{_QS},heartRate:string>>>, workouts array<string>"
 ENVELOPE = "event_date string, eventDate string, source string, metrics array<struct<metric:string,name:string,value:double,qty:double,unit:string,units:string>>"
 
 #: Vendor metric names and the stored ones (fixed values).
@@ -109,13 +109,13 @@ def workouts(raw: DataFrame, col: str = "raw") -> DataFrame:
     start, end = S.instant("w.start"), S.instant("w.end")
     seconds = F.coalesce("w.duration", F.unix_timestamp(end) - F.unix_timestamp(start))
     miles = F.round(S.quantity_to_miles("w.distance.qty", "w.distance.units"), 4)
-    chains = F.array_distinct(F.concat(F.coalesce(F.transform("w.activeEnergy", lambda x: x["source"]), F.array().cast("array<string>")), F.coalesce(F.transform("w.heartRate", lambda x: x["source"]), F.array().cast("array<string>"))))
+    chains = F.array_distinct(F.concat(F.coalesce(F.transform("w.activeEnergy", lambda x: x["source"]), F.array().cast("array<string>")), F.coalesce(F.transform(F.from_json("w.heartRate", _QS), lambda x: x["source"]), F.array().cast("array<string>"))))
     energy = F.aggregate("w.activeEnergy", F.lit(0.0), lambda a, x: a + F.coalesce(S.kilocalories(x["qty"], x["units"]), F.lit(0.0)))
-    hr = lambda c: F.bround(F.col(c)).cast("int")
+    avg_hr, max_hr = S.heart_rate("w.heartRate", "w.avgHeartRate.qty", "w.maxHeartRate.qty")
     made = S.stable_id("hae:", "w.start", "w.name", seconds.cast("string"))
     rows = w.select(
         "user_id", F.lit("apple_health").alias("source"), F.coalesce("w.id", made).alias("source_id"), S.as_date("w.start").alias("event_date"), F.left(F.coalesce("w.name", F.lit("Workout")), F.lit(200)).alias("activity_type"), (seconds / 60).alias("duration_min"), miles.alias("distance_miles"),
-        S.quantity_to_feet("w.elevationUp.qty", "w.elevationUp.units").alias("elevation_ft"), hr("w.avgHeartRate.qty").alias("avg_hr"), hr("w.maxHeartRate.qty").alias("max_hr"), S.pace_seconds(seconds, miles).alias("avg_pace_sec_mi"),
+        S.quantity_to_feet("w.elevationUp.qty", "w.elevationUp.units").alias("elevation_ft"), avg_hr.alias("avg_hr"), max_hr.alias("max_hr"), S.pace_seconds(seconds, miles).alias("avg_pace_sec_mi"),
         F.coalesce(S.kilocalories("w.activeEnergyBurned.qty", "w.activeEnergyBurned.units"), energy).alias("calories"), S.best_app(F.array_compact(chains)).alias("source_app"), start.alias("started_at"),
     )
     return rows.where("duration_min > 0 and event_date is not null").withColumn("quality_flags", _flags())

@@ -178,8 +178,40 @@ def test_summaries_have_a_row_for_each_user(spark):
 
 
 def test_provenance(spark):
-    d = spark.createDataFrame([(["Strava|Fitbit"],), (["Nike Run Club", "Strava|Health Sync"],), (["Apple Watch", "iPhone"],)], "c array<string>")
-    assert [r[0] for r in d.select(S.best_app(F.col("c"))).collect()] == ["Fitbit", "Nike Run Club", None]
+    cases = [
+        (["Strava|Fitbit"], "Fitbit"), (["Nike Run Club", "Strava|Health Sync"], "Nike Run Club"), (["Apple Watch", "iPhone"], "Apple Watch"), (["Mason's Apple Watch"], "Mason's Apple Watch"), (["iPhone"], "iPhone"),
+        (["SuperPhone"], None), (["Unknown App", "Fitbit"], "Fitbit"), (["SuperPhone|Health Sync|Nike Run Club"], "Health Sync"), ([None, " ", "Strava"], "Strava"), ([], None), (["Strava", "strava"], "Strava"), (["Google Fit", "Fitbit"], "Google Fit"), (["Strava " + "x" * 300], ("Strava " + "x" * 300)[:200]),
+    ]
+    d = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, c array<string>").orderBy("i")
+    assert [r[0] for r in d.select(S.best_app(F.col("c"))).collect()] == [w for _, w in cases]
+    r = spark.createDataFrame([("Nike  Run   Club",), (" HEALTH\tsync ",), ("x",), (None,)], "a string").select(S.app_rank("a"), S.is_bridge("a")).collect()
+    assert [tuple(x) for x in r] == [(40, False), (10, True), (15, False), (15, False)]
+
+
+def test_heart_rate_and_briefing_text(spark):
+    rows = [('{"Avg": {"qty": 140.4}, "Max": 171}', 1.0, 2.0), ('{"avg": 120, "max": {"qty": 150}}', 1.0, 2.0), ('[{"qty": 3}]', 99.6, 180.0), (None, None, 155.0)]
+    d = spark.createDataFrame(rows, "b string, a double, m double")
+    assert [tuple(r) for r in d.select(*S.heart_rate("b", "a", "m")).collect()] == [(140, 171), (120, 150), (100, 180), (None, 155)]
+    notes = ["All good. How are you?", "One.\n\nReally? Yes?", "Why?", "Fine.", "Do it. Now! Or later?\n"]
+    n = spark.createDataFrame([(x,) for x in notes], "n string")
+    assert [r[0] for r in n.select(S.without_last_question("n")).collect()] == ["All good.", "One.", "Why?", "Fine.", "Do it. Now!"]
+    t = n.limit(1).select(S.briefing_text(F.lit("# Hello\n\nRun today."), F.lit("2026-07-02").cast("date"), F.lit("## At a Glance")).alias("a"), S.briefing_text(F.lit("Morning Check-In\nRest."), F.lit("2026-07-02").cast("date")).alias("b")).first()
+    assert t.a == "# Morning Check-In · Thursday, July 2\n\n## At a Glance\n\nRun today." and t.b == "# Morning Check-In · Thursday, July 2\n\nRest."
+
+
+def test_resolution_with_null_ids(spark):
+    from pulseframe import schemas
+    from pulseframe.operators import cardio_dedup
+
+    def rows(xs):
+        return schemas.conform(spark.createDataFrame(xs, "user_id string, source string, source_id string, event_date string, activity_type string, duration_min double, started_at string, source_app string").withColumns({"event_date": F.col("event_date").cast("date"), "started_at": F.col("started_at").cast("timestamp")}), "cardio_events")
+
+    new = rows([("u", "apple_health", None, "2024-01-01", "Run", 30.0, "2024-01-01 08:00:00", "Fitbit"), ("u", "apple_health", None, "2024-01-01", "Ride", 60.0, "2024-01-01 12:00:00", "Fitbit")])
+    old = rows([("u", "apple_health", "s1", "2024-01-01", "Run", 30.0, "2024-01-01 08:05:00", "Strava")])
+    ins, gone = cardio_dedup.resolve(new, old)
+    assert [r.activity_type for r in ins.collect()] == ["Ride"] and gone.count() == 0
+    ins, gone = cardio_dedup.resolve(old, new.withColumn("source_id", F.col("activity_type")))
+    assert [r.source_id for r in ins.collect()] == ["s1"] and [r.source_id for r in gone.collect()] == ["Run"]
 
 
 def test_scalar_functions(spark):
