@@ -52,7 +52,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
 
 
-SQL: dict[str, str] = {"op2_jaccard_join": jaccard_join.SQL, "op8_decontamination": decontamination.SQL, "op9_warc": warc.SQL, "op10_embedding_dedup": embedding_dedup.SQL}
+SQL: dict[str, str] = {"op2_jaccard_join": jaccard_join.SQL, "op3_suffix_dedup": suffix_dedup.SQL, "op8_decontamination": decontamination.SQL, "op9_warc": warc.SQL, "op10_embedding_dedup": embedding_dedup.SQL}
 
 
 def queries() -> dict:

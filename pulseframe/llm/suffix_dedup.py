@@ -599,3 +599,19 @@ def remove_repeats(df: DataFrame, least: int = 50, doc_id: str = "doc_id", text:
     got = _spans(named, least, "text", parts_for(df)).mapInArrow(_rewritten(body, each), named.schema)
     back = {doc_id: "id", text: "text"} | {c: f"o_{i}" for i, c in enumerate(others)}
     return got.select(*[F.col(back[c]).cast(df.schema[c].dataType).alias(c) for c in df.columns])
+
+
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT r, doc_id, h, len(h) // 2 AS n FROM d),
+w AS (SELECT r, doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT r, doc_id, h, unnest(range(0, n - 49)) AS p FROM n WHERE n >= 50)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+x AS (SELECT w.r, w.p, CASE WHEN w.p - lag(w.p) OVER (PARTITION BY w.r ORDER BY w.p) <= 50 THEN 0 ELSE 1 END AS new FROM w JOIN f ON w.s = f.s WHERE w.doc_id > f.first),
+g AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS g FROM x),
+sp AS (SELECT r, min(p) AS a, max(p) + 50 AS b FROM g GROUP BY r, g),
+k AS (SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed FROM sp GROUP BY r),
+pc AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS b FROM sp UNION ALL SELECT r, max(b), max(n) FROM sp JOIN n USING (r) GROUP BY r),
+t AS (SELECT r, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS kept FROM pc JOIN n USING (r) GROUP BY r)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM n LEFT JOIN k USING (r) LEFT JOIN t USING (r)
+"""
