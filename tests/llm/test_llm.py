@@ -128,6 +128,56 @@ def test_suffix_dedup_against_brute_force(spark):
             assert len(r.text.encode()) <= len(b) - sum(c)
 
 
+def test_suffix_ranks_of_parts(monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab ") for _ in range(n)) for n in (900, 30, 49, 50, 51, 400, 0)]
+    blob = suffix_dedup._zip(pa.table({"id": pa.array(range(7), pa.int64()), "text": texts}))
+
+    def windows():
+        m, s, e, r = suffix_dedup.Stretches(blob, 50).anchors(20)
+        return {(int(k), w): int(v) for v, a, b, k in zip(m, s, e, r) for w in range(a, b)}
+
+    whole = windows()
+    assert len(whole) == sum(max(0, len(t) - 49) for t in texts)
+    for size in (60, 128, 333):
+        monkeypatch.setattr(suffix_dedup, "SLAB", size)
+        assert windows() == whole
+    # the pair of the ranks at offsets 0 and h is the rank of 2h
+    d = np.frombuffer(texts[0].encode(), np.uint8)
+    a = suffix_dedup.names(d, 16)
+    assert (suffix_dedup.names(d, 32) == suffix_dedup._double(a[:-16], a[16:])).all()
+
+
+def test_suffix_dedup_of_long_and_odd_rows(spark):
+    rng = random.Random(4)
+    base = "".join(rng.choice("abcdefgh ") for _ in range((1 << 20) + 300_000))
+    cut = base[(1 << 20) - 100 : (1 << 20) + 100]
+    rows = [(-(1 << 63), base), (5, "Q" * 40 + cut + "Z" * 40), (6, cut), (6, cut), (None, cut), (7, None), (8, "")]
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.digests(docs(spark, rows)).collect()), key=repr)
+    assert got == sorted([(-(1 << 63), len(base), 0, 0), (5, 280, 200, 1), (6, 200, 200, 1), (6, 200, 200, 1), (None, 200, 0, 0), (7, 0, 0, 0), (8, 0, 0, 0)], key=repr)
+    kept = {(r.doc_id, r.text) for r in suffix_dedup.remove_repeats(docs(spark, rows), 100).collect()}
+    assert kept == {(-(1 << 63), base), (5, "Q" * 40 + "Z" * 40), (6, ""), (None, cut), (7, None), (8, "")}
+    assert suffix_dedup.remove_repeats(docs(spark, rows).limit(0)).count() == 0
+
+
+def test_pipeline_run(spark, tmp_path):
+    import corpus_pipeline
+
+    text = "some plain words about a house and a garden that nobody has seen for many years "
+    rows = [(1, text * 3, "en", "s", len(text) * 3, 0.77), (2, text * 3, "en", "s", len(text) * 3, 0.5), (3, "", "en", "s", 0, 0.1), (4, None, None, "s", 0, 0.1), (None, "Wort und noch ein Wort", "de", "s", 22, 0.2), (5, "12 34", "de", "s", 5, 0.2), (5, "12 34", "de", "s", 5, 0.2)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, score double"
+    bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    for name, some in (("full", rows), ("empty", [])):
+        d = spark.createDataFrame(some, kind)
+        d.write.parquet(str(tmp_path / name / "documents.parquet"))
+        bench.limit(len(some)).write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, f"file://{tmp_path}/full").collect()
+    assert sorted(repr(r.doc_id) for r in got) == ["1", "None"] and all(r.n_tokens > 0 for r in got)
+    first = corpus_pipeline.STAGES[0][1](spark, spark.read.parquet(str(tmp_path / "full" / "documents.parquet")), "")
+    assert first.columns[-1] == "score" and {r.doc_id: r.score for r in first.collect()}[1] == 0.77
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/empty").count() == 0
+
+
 @pytest.mark.parametrize("anchors, size", [(20_000, 64 << 20), (0, 64 << 20), (0, 0)])
 def test_decontamination_against_brute_force(spark, monkeypatch, anchors, size):
     monkeypatch.setattr(decontamination, "MAX_ANCHORS", anchors)
