@@ -470,7 +470,8 @@ def link_documents(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc
     docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     first = cut(docs.mapInArrow(_first_pass(k), "id long, n long, fp long, sig binary, chunk int, salt int"), "sets")
     classes = zlib.compress(_classes(first).tobytes(), 1)
-    buckets = min(65_536, parts_for(df))
+    # never few, so that a pair which shares several shingles comes from about as many buckets at every size
+    buckets = max(64, parts_for(df))
     known = docs.where("id is not null")
     posts = known.mapInArrow(_second_pass(k, num, den, classes, buckets), "bucket int, blob binary, u long, v long")
     stars = cut(posts.repartition(buckets, "bucket").mapInArrow(_groups(num, den), "a long, b long, same byte"), "blocks")
