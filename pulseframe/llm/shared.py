@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pulseframe.session import ship
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

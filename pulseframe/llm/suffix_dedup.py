@@ -32,7 +32,7 @@ from .shared import cut, drop_cut, parts_for, release, small_batches
 from .textnp import BYTE_CODE, _BASE, column, mix, owner, powers, runs, slabs, tidy, within
 
 K = 20  # the first rank's bytes
-UNIT = 4 << 20  # bytes of text of a unit; a longer text has a unit of its own
+UNIT = 2 << 20  # bytes of text of a unit; a longer text has a unit of its own
 SLAB = 1 << 20  # bytes ranked at a time; a longer text is ranked in overlapping parts
 _UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _unpower = np.ones(1, np.uint64)
@@ -456,7 +456,7 @@ def _windows(least):
         lens = w["wide"] + least - 1
         first = np.cumsum(lens) - lens
         name, run_of, start = [], [], []
-        for i, j in slabs(np.concatenate([[0], np.cumsum(lens)]), 4 << 20):
+        for i, j in slabs(np.concatenate([[0], np.cumsum(lens)]), SLAB):
             p = _prefix(data[first[i] : first[j - 1] + lens[j - 1]])
             k = within(w["wide"][i:j])[1]
             s = np.repeat(first[i:j] - first[i], w["wide"][i:j]) + k
