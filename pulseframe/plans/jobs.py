@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import scalars as S
+from ..session import ship
 from ..operators import features, goals, joins, pace, power, rules, sleep, stats, strength
 from ..sinks.tables import Store, replace_matching, replace_patterns
 
@@ -37,7 +38,7 @@ def weekly_payload(metrics: DataFrame, feats: DataFrame, as_of, days: int = 60)
 
 
 def briefing(features_: DataFrame, flags: DataFrame, as_of, llm=None) -> DataFrame:
-    """SNK-11: a note a user from a template; an injected `llm(text)` may word it instead (one call a user)."""
+    """SNK-11: a note a user from a template; an injected `llm(text)` may word it instead (one call a user, made by the tasks)."""
     f = joins.latest_row(features_, "feature_date", as_of)
     lines = flags.where(F.col("feature_date") == F.lit(as_of).cast("date")).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "message"))), lambda x: x["message"]).alias("messages"), F.collect_list("code").alias("flags"))
     g = S.glance_block(S.glance_line("Readiness", "overall_readiness_score", "/100", digits=0), S.glance_line("Cardio 7 days", "cardio_minutes_7d", " min"), S.glance_line("Load ratio", "acute_chronic_ratio", digits=2), S.glance_line("Sleep debt", "sleep_debt_7d", " h"))
@@ -46,8 +47,13 @@ def briefing(features_: DataFrame, flags: DataFrame, as_of, llm=None) -> DataFra
     out = j.select("user_id", F.lit(as_of).cast("date").alias("briefing_date"), F.coalesce("flags", F.array().cast("array<string>")).alias("flags"), note.alias("coaching_note"), F.lit("template").alias("model_used"))
     if llm is None:
         return out
-    rows = [(r["user_id"], r["briefing_date"], r["flags"], llm(r["coaching_note"]), "llm") for r in out.toLocalIterator()]
-    return out.sparkSession.createDataFrame(rows, out.schema)
+
+    def word(batches):
+        for p in batches:
+            yield p.assign(coaching_note=[llm(t) for t in p["coaching_note"]], model_used="llm")
+
+    ship(out.sparkSession)
+    return out.mapInPandas(word, out.schema)
 
 
 class Report(list):
@@ -64,31 +70,35 @@ def run_daily(store: Store, day: date, llm=None, send=None) -> Report:
     made: dict[str, DataFrame] = {}
 
     def rollup():
-        bio = store.read("biometrics").where(F.col("event_date") == F.lit(day).cast("date"))
+        bio = store.read("biometrics", day, day)
         wide = features.pivot_metrics(bio, schemas.CANONICAL_METRICS, ["source", "raw_key"], tuple(schemas.INTEGER_METRICS))
-        have = store.read("daily_health_metrics")
         cols = [c for c in wide.columns if c != "sleep_score"]
         store.upsert("daily_health_metrics", wide.select(*cols))
-        scored = sleep.fill_scores(store.read("daily_health_metrics").select(*have.columns)).where(F.col("metric_date") == F.lit(day).cast("date"))
+        # a score's baseline is the 28 days before
+        scored = sleep.fill_scores(store.read("daily_health_metrics", day - timedelta(days=28), day)).where(F.col("metric_date") == F.lit(day).cast("date"))
         store.upsert("daily_health_metrics", scored.select("user_id", "metric_date", "sleep_score"))
 
     def compute():
         users = store.read("user_settings").select("user_id").distinct().withColumn("feature_date", F.lit(day).cast("date"))
-        f = features.daily_features(store.read("strength_events"), store.read("cardio_events"), store.read("daily_health_metrics"), users)
+        # the longest window is 28 days
+        from_, to = day - timedelta(days=27), day
+        recent = lambda t: store.read(t).where(F.col("event_date").between(F.lit(from_), F.lit(to)))
+        f = features.daily_features(recent("strength_events"), recent("cardio_events"), store.read("daily_health_metrics", from_, to), users)
         store.upsert("daily_features", f)
 
     def evaluate():
-        today = store.read("daily_features").where(F.col("feature_date") == F.lit(day).cast("date"))
-        made["flags"] = rules.flags(today, store.read("daily_health_metrics"))
+        today = store.read("daily_features", day, day)
+        made["flags"] = rules.flags(today, store.read("daily_health_metrics", day, day))
 
     def snapshot():
         s = goals.goal_snapshot(store.read("goals"), store.read("strength_events"), store.read("running_sessions"), store.read("cardio_events"), store.read("schedule_exceptions"), store.read("interventions"), day.isoformat())
         store.upsert("daily_goal_snapshot", s)
 
     def signals():
-        m = store.read("daily_health_metrics").where(F.col("metric_date") <= F.lit(day).cast("date"))
+        m = store.read("daily_health_metrics", until=day)
         today = F.lit(day).cast("date")
-        store.upsert("metric_baselines", stats.baselines(stats.to_long(m, stats.BASELINE_METRICS)).where(F.col("metric_date") == today))
+        last = store.read("daily_health_metrics", day - timedelta(days=max(stats.BASELINE_WINDOWS)), day)
+        store.upsert("metric_baselines", stats.baselines(stats.to_long(last, stats.BASELINE_METRICS)).where(F.col("metric_date") == today))
         z = stats.z_scores(stats.to_long(m, stats.Z_METRICS)).where(F.col("metric_date") == today)
         rows = stats.anomaly_rows(z, stats.iqr_outliers(stats.to_long(m, stats.IQR_METRICS), day.isoformat()))
         old = store.read("anomaly_events")
@@ -96,13 +106,13 @@ def run_daily(store: Store, day: date, llm=None, send=None) -> Report:
         store.replace("anomaly_events", replace_matching(old, rows, scope, ["user_id", "detected_date", "anomaly_type"]))
 
     def write():
-        made["briefing"] = briefing(store.read("daily_features"), made["flags"], day.isoformat(), llm)
+        made["briefing"] = briefing(store.read("daily_features", until=day), made["flags"], day.isoformat(), llm)
         store.upsert("daily_briefings", made["briefing"])
 
     def hand_over():
         from ..sinks.tables import deliver
 
-        deliver(store.read("daily_briefings").where(F.col("briefing_date") == F.lit(day).cast("date")), send or print)
+        deliver(store.read("daily_briefings", day, day), send or print)
 
     for name, step, fatal in (("rollup_metrics", rollup, True), ("compute_features", compute, True), ("evaluate_rules", evaluate, True), ("goal_snapshot", snapshot, False), ("compute_stat_signals", signals, True), ("generate_briefing", write, True), ("deliver", hand_over, False)):
         try:

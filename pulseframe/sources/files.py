@@ -45,10 +45,39 @@ def sniff(data: bytes, name: str = "") -> str:
     raise ValueError(f"not an activity file: {name}")
 
 
+def _crc_steps() -> list[int]:
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ (0xA001 if x & 1 else 0)
+        out.append(x)
+    return out
+
+
+_CRC = _crc_steps()
+
+
+def crc16(data: bytes) -> int:
+    """The checksum of FIT files: polynomial 0x8005, reflected."""
+    c = 0
+    for x in data:
+        c = c >> 8 ^ _CRC[(c ^ x) & 255]
+    return c
+
+
 def parse_fit(data: bytes) -> Iterator[dict]:
-    """SRC-15: the record messages of a FIT file: time, power, heart rate, distance, altitude; the session's sport."""
+    """SRC-15: the record messages of a FIT file: time, power, heart rate, distance, altitude; the session's sport.
+
+    A file that is cut short, or whose checksum (or header's, unless it is 0) is wrong, is an error and gives no part of a ride.
+    """
     size, length = data[0], struct.unpack_from("<I", data, 4)[0]
-    at, end, defs, sport, rows = size, min(size + length, len(data)), {}, None, []
+    at, end, defs, sport, rows = size, size + length, {}, None, []
+    if end + 2 > len(data):
+        raise ValueError("the file is cut short")
+    if size >= 14 and (crc := struct.unpack_from("<H", data, 12)[0]) and crc != crc16(data[:12]):
+        raise ValueError("the header's checksum is wrong")
+    if struct.unpack_from("<H", data, end)[0] != crc16(data[:end]):
+        raise ValueError("the checksum is wrong")
     last = None
     while at < end:
         head = data[at]

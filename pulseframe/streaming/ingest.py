@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cardio_dedup
-from ..sinks.tables import Store, delete_ids, upsert
+from ..sinks.tables import Store, delete_ids
 from ..sources import vendors
 from .. import schemas
 
@@ -14,7 +14,7 @@ from .. import schemas
 def apply_payloads(store: Store, raw: DataFrame, authenticated: bool = True) -> None:
     """STR-01 to 04: one batch of export payloads (user_id, raw): biometrics are upserted (the last write wins), workouts pass the strength and near-duplicate rules, replaced ones go. Only authenticated batches replace stored rows. A batch that runs again changes nothing."""
     bio = vendors.health_payloads(raw)
-    store.replace("biometrics", upsert(store.read("biometrics"), bio, schemas.KEYS["biometrics"]))
+    store.upsert("biometrics", bio)
     new = schemas.conform(vendors.workouts(raw), "cardio_events")
     new = cardio_dedup.drop_strength_mirrors(new, store.read("strength_events"))
     stored = store.read("cardio_events")

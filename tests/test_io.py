@@ -62,7 +62,16 @@ def fit(seconds, watts):
     body = bytes([0x40, 0, 0]) + struct.pack("<HB", 20, 2) + fields
     for s, w in zip(seconds, watts):
         body += bytes([0]) + struct.pack("<IH", s, 0xFFFF if w is None else w)
-    return struct.pack("<BBHI4sH", 14, 16, 2132, len(body), b".FIT", 0) + body + b"\0\0"
+    whole = struct.pack("<BBHI4sH", 14, 16, 2132, len(body), b".FIT", 0) + body
+    return whole + struct.pack("<H", files.crc16(whole))
+
+
+def test_damaged_fit_files():
+    good = fit(range(1_100_000_000, 1_100_000_060), [200] * 60)
+    assert files.crc16(b"123456789") == 0xBB3D and len(list(files.parse_fit(good))) == 60
+    for bad in (good[:-1], good[:-40], good[:50] + bytes([good[50] ^ 1]) + good[51:], good[:12] + b"\1\0" + good[14:]):
+        with pytest.raises(ValueError):
+            list(files.parse_fit(bad))
 
 
 TCX = b"""<?xml version="1.0"?><TrainingCenterDatabase xmlns="http://x"><Activities><Activity Sport="Biking"><Lap><Track>
@@ -133,6 +142,26 @@ def test_sinks(spark, tmp_path):
     assert sinks.to_html("# A\n- **b**\n- c\nd") == "<h1>A</h1>\n<ul>\n<li><strong>b</strong></li>\n<li>c</li>\n</ul>\n<p>d</p>"
 
 
+def test_merges_touch_their_months_only(spark, tmp_path):
+    s = sinks.Store(spark, str(tmp_path))
+    rows = lambda *r: spark.createDataFrame([("u", *x) for x in r], "user_id string, metric_date date, sleep_hours double")
+    s.upsert("daily_health_metrics", rows((D(2024, 1, 31), 1.0), (D(2024, 2, 1), 2.0)))
+    old = dict(reversed(f.split("/")) for f in s._pointer("daily_health_metrics")[1])
+    s.upsert("daily_health_metrics", rows((D(2024, 2, 1), 3.0), (D(2024, 2, 2), 4.0), (D(2024, 3, 1), 5.0)))
+    new = dict(reversed(f.split("/")) for f in s._pointer("daily_health_metrics")[1])
+    assert set(new) == {"month=2024-01", "month=2024-02", "month=2024-03"} and new["month=2024-01"] == old["month=2024-01"] and new["month=2024-02"] != old["month=2024-02"]
+    got = lambda *a, **k: sorted((r.metric_date, r.sleep_hours) for r in s.read("daily_health_metrics", *a, **k).collect())
+    assert got() == [(D(2024, 1, 31), 1.0), (D(2024, 2, 1), 3.0), (D(2024, 2, 2), 4.0), (D(2024, 3, 1), 5.0)]
+    assert got(D(2024, 2, 2), D(2024, 2, 29)) == [(D(2024, 2, 2), 4.0)] and got(until=D(2024, 1, 31)) == [(D(2024, 1, 31), 1.0)]
+    s.upsert("daily_health_metrics", rows().limit(0))
+    s.insert_new("daily_health_metrics", rows((D(2024, 3, 1), 9.0), (D(2024, 3, 2), 6.0)))
+    assert got(since=D(2024, 3, 1)) == [(D(2024, 3, 1), 5.0), (D(2024, 3, 2), 6.0)]
+    s.replace("daily_health_metrics", rows().limit(0))
+    assert got() == [] and not [p for p in (tmp_path / "daily_health_metrics").iterdir() if p.name.startswith("in-")]
+    s.upsert("daily_health_metrics", rows((D(2024, 3, 1), 7.0)))
+    assert got() == [(D(2024, 3, 1), 7.0)]
+
+
 GOOD = "SELECT metric_date, sleep_hours FROM daily_health_metrics WHERE user_id = 'u' AND sleep_hours > 6 ORDER BY metric_date"
 BAD = [
     "SELECT * FROM daily_health_metrics", "SELECT * FROM daily_health_metrics WHERE user_id = 'x'", "SELECT * FROM daily_health_metrics WHERE NOT user_id = 'u'", "SELECT * FROM daily_health_metrics WHERE user_id = 'u' OR 1 = 1",
@@ -176,6 +205,8 @@ def test_daily_job(spark, tmp_path):
     assert "LOW_SLEEP" in b["u"].flags and len(sent) == 2 and "SPARSE_RECOVERY_DATA" in b["v"].flags
     again = jobs.run_daily(s, day, llm=lambda t: (_ for _ in ()).throw(RuntimeError("down")), send=sent.append)
     assert not again.ok and again[-1][0] == "generate_briefing" and s.read("daily_features").count() == 2
+    assert jobs.run_daily(s, day, llm=lambda t: f"said {len(t)}", send=sent.append).ok
+    assert {(r.model_used, r.coaching_note[:5]) for r in s.read("daily_briefings").collect()} == {("llm", "said ")}
 
 
 def test_push_ingest_streams(spark, tmp_path):
