@@ -331,6 +331,14 @@ def snk_phases(spark, sf):
     return sinks.update_phase(more, "peak", end_date=datetime.date(2024, 3, 1)).select("user_id", "name", "end_date")
 
 
+@query("SELECT user_id, metric_date, CASE WHEN steps > 1000 THEN 1 ELSE sleep_hours END AS sleep_hours, steps, steps > 1000 AS touched FROM metrics", "sleep_hours", (T.METRICS,))
+def snk_update_times(spark, sf):
+    """SNK-01: only the supplied columns change, and only written rows get a new updated_at."""
+    m = T.metrics(spark, sf)
+    new = m.where("steps > 1000").select("user_id", "metric_date", F.lit(1.0).alias("sleep_hours"))
+    return sinks.upsert(m, new, ["user_id", "metric_date"]).select("user_id", "metric_date", "sleep_hours", "steps", F.col("updated_at").isNotNull().alias("touched"))
+
+
 # --- joins, windows
 
 @query("SELECT source_id, coalesce(source_app, 'filled') AS source_app FROM cardio", "", (T.CARDIO,))

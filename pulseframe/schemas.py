@@ -16,21 +16,21 @@ TABLES = {
     "strength_events": _STRENGTH,
     "cardio_events": _CARDIO,
     "biometrics": "user_id string, source string, event_date date, metric string, value double, unit string, raw_key string",
-    "daily_health_metrics": f"user_id string, metric_date date, {_METRICS}, hrv_7d_avg double, hrv_30d_avg double, hrv_baseline_ratio double, sleep_7d_avg double, weight_30d_trend double, ftp_watts double, ftp_method string, ftp_confidence double",
-    "daily_features": f"user_id string, feature_date date, {_FEATURES}",
+    "daily_health_metrics": f"user_id string, metric_date date, {_METRICS}, hrv_7d_avg double, hrv_30d_avg double, hrv_baseline_ratio double, sleep_7d_avg double, weight_30d_trend double, ftp_watts double, ftp_method string, ftp_confidence double, updated_at timestamp",
+    "daily_features": f"user_id string, feature_date date, {_FEATURES}, updated_at timestamp",
     "interventions": "user_id string, event_date date, category string, description string, is_ongoing boolean, end_date date, notes string",
     "daily_briefings": "user_id string, briefing_date date, flags array<string>, recommendations string, features_json string, anomalies string, coaching_note string, model_used string",
     "anomaly_events": "user_id string, detected_date date, metric string, anomaly_type string, description string, severity string, context_json string",
-    "metric_baselines": "user_id string, metric_date date, metric string, window_days int, mean_value double, stdev_value double, sample_n int",
+    "metric_baselines": "user_id string, metric_date date, metric string, window_days int, mean_value double, stdev_value double, sample_n int, updated_at timestamp",
     "metric_patterns": "user_id string, metric_a string, metric_b string, lag_days int, correlation double, sample_n int, status string, description string, last_confirmed_at timestamp",
-    "goals": "user_id string, goal_type string, target_min double, target_max double, target_label string, period string, is_active boolean, effective_from date, effective_until date",
+    "goals": "user_id string, goal_type string, target_min double, target_max double, target_label string, period string, is_active boolean, effective_from date, effective_until date, updated_at timestamp",
     "running_sessions": "user_id string, source string, source_id string, session_date date, run_type string, distance_km double, duration_min double",
-    "weekly_activity_summary": "user_id string, week_start date, strength_sessions int, running_km double, cardio_minutes double, summary_json string",
+    "weekly_activity_summary": "user_id string, week_start date, strength_sessions int, running_km double, cardio_minutes double, summary_json string, updated_at timestamp",
     "daily_goal_snapshot": "user_id string, snapshot_date date, goals_status string, mileage_check string, todays_focus string",
     "schedule_exceptions": "user_id string, start_date date, end_date date, affected_goal_types array<string>, override_hint string, reason string",
-    "provider_connections": "user_id string, provider string, status string, last_sync_at timestamp, last_error string",
+    "provider_connections": "user_id string, provider string, status string, last_sync_at timestamp, last_error string, updated_at timestamp",
     "coaching_chat_messages": "user_id string, role string, content string, created_at timestamp",
-    "training_phases": "user_id string, id string, phase_type string, name string, start_date date, end_date date, is_active boolean",
+    "training_phases": "user_id string, id string, phase_type string, name string, start_date date, end_date date, is_active boolean, updated_at timestamp",
     "athlete_journal_entries": "user_id string, entry_date date, category string, body string, created_at timestamp",
 }
 

@@ -122,20 +122,25 @@ def _checked(rows: DataFrame, key: list[str]) -> DataFrame:
 def upsert(stored: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     """SNK-01, SNK-03, SNK-05: stored rows with the supplied columns of `rows` set, and its new keys added.
 
-    Columns that `rows` lacks keep their values; supplied nulls are stored. Of rows with one key the last by content wins.
+    Columns that `rows` lacks keep their values; supplied nulls are stored; updated_at, if stored has it, becomes the time
+    of the merge for the rows that it writes. Of rows with one key the last by content wins.
     """
+    if touch := "updated_at" in stored.columns:
+        rows = rows.drop("updated_at")
     new = _checked(rows, key)
     w = Window.partitionBy(*key).orderBy(*[F.desc_nulls_last(c) for c in rows.columns if c not in key and not dict(rows.dtypes)[c].startswith(("map", "variant"))] or [F.lit(0)])
     new = new.withColumn("_n", F.row_number().over(w)).where("_n = 1").withColumn("_new", F.lit(True)).drop("_n")
     new = new.select(*key, "_new", *[F.col(c).alias(f"_n_{c}") for c in rows.columns if c not in key])
     j = stored.join(new, key, "full")
     cols = [F.col(c) if c in key or c not in rows.columns else F.when(F.col("_new"), F.col(f"_n_{c}")).otherwise(F.col(c)).cast(stored.schema[c].dataType).alias(c) for c in stored.columns]
-    return j.select(*cols)
+    out = j.select("_new", *cols)
+    return (out.withColumn("updated_at", F.when(F.col("_new"), F.current_timestamp()).otherwise(F.col("updated_at"))) if touch else out).drop("_new")
 
 
 def insert_if_absent(stored: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
-    """SNK-02: stored rows and those of `rows` whose key isn't there yet."""
+    """SNK-02: stored rows and those of `rows` whose key isn't there yet, with the time of the merge as updated_at if stored has it."""
     new = _checked(rows, key).dropDuplicates(key).join(stored.select(*key), key, "left_anti")
+    new = new.withColumn("updated_at", F.current_timestamp()) if "updated_at" in stored.columns else new
     return stored.unionByName(new, allowMissingColumns=True)
 
 
@@ -166,13 +171,14 @@ def delete_ids(stored: DataFrame, ids: DataFrame) -> DataFrame:
 
 def append(stored: DataFrame, rows: DataFrame, table: str) -> DataFrame:
     """SNK-09: checked plain inserts."""
-    return stored.unionByName(schemas.conform(rows, table))
+    return schemas.conform(stored, table).unionByName(schemas.conform(rows, table))
 
 
 def update_phase(stored: DataFrame, phase_id: str, **changes) -> DataFrame:
     """SNK-10: the phase with the changes; an end before its start is an error."""
     hit = F.col("id") == phase_id
     out = stored.withColumns({k: F.when(hit, F.lit(v).cast(stored.schema[k].dataType)).otherwise(F.col(k)) for k, v in changes.items()})
+    out = out.withColumn("updated_at", F.when(hit, F.current_timestamp()).otherwise(F.col("updated_at"))) if "updated_at" in stored.columns else out
     return out.withColumn("end_date", F.when(hit & (F.col("end_date") < F.col("start_date")), F.raise_error(F.lit("end before start"))).otherwise(F.col("end_date")))
 
 

@@ -123,6 +123,9 @@ def test_sinks(spark, tmp_path):
     s.upsert("daily_health_metrics", m(ftp_watts=200.0))
     r = s.read("daily_health_metrics").collect()
     assert len(r) == 1 and (r[0].sleep_hours, r[0].hrv_rmssd, r[0].ftp_watts) == (7.0, 60.0, 200.0)
+    s.upsert("daily_health_metrics", m(sleep_hours=8.0).withColumn("user_id", F.lit("v")))
+    again = {x.user_id: x.updated_at for x in s.read("daily_health_metrics").collect()}
+    assert again["u"] == r[0].updated_at and again["v"] > again["u"]
     with pytest.raises(Exception, match="null in the key"):
         s.upsert("daily_health_metrics", m(sleep_hours=7.0).withColumn("metric_date", F.lit(None).cast("date")))
     with pytest.raises(ValueError):
