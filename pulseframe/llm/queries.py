@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_dedup, filter_audit, jaccard_join, language_id, license_scan, sentencepiece_bpe, sharding, spelling, suffix_dedup, token_counts, warc
+from . import decontamination, embedding_dedup, filter_audit, jaccard_join, language_id, license_scan, sentencepiece_bpe, sharding, spelling, suffix_dedup, token_counts, warc, window_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +60,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.profiles(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), "ABCDE")
 
 
-SQL: dict[str, str] = {"op2_jaccard_join": jaccard_join.SQL, "op3_suffix_dedup": suffix_dedup.SQL, "op8_decontamination": decontamination.SQL, "op9_warc": warc.SQL, "op10_embedding_dedup": embedding_dedup.SQL, "op11_spelling_variants": spelling.SQL, "op12_filter_audit": filter_audit.SQL}
+def op13_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_dedup.digests(table(spark, sf_dir, "documents"), 35)
+
+
+SQL: dict[str, str] = {"op2_jaccard_join": jaccard_join.SQL, "op3_suffix_dedup": suffix_dedup.SQL, "op8_decontamination": decontamination.SQL, "op9_warc": warc.SQL, "op10_embedding_dedup": embedding_dedup.SQL, "op11_spelling_variants": spelling.SQL, "op12_filter_audit": filter_audit.SQL, "op13_window_dedup": window_dedup.SQL}
 
 
 def queries() -> dict:
