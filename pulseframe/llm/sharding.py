@@ -3,28 +3,32 @@
 Groups of equal texts stay together unless one would fill over half a shard; such a group is dealt out in pieces. An
 item goes, largest first, to the shard where its vector has the highest dot product with the residual capacity, among
 those with room in all dimensions as long as there are such. Groups with at least 1/BIG of a shard are packed first, on
-the driver (there are at most 3 * shards * BIG of them); all others are packed where they lie after they were counted:
-each partition fills its share of the capacity that the large ones leave, group by group.
+the driver (there are at most 3 * shards * BIG of them) together with bins of all others: where the small groups lie
+after they were counted, each partition packs its own into bins of equal capacity, group by group, and the driver packs
+the bins' sums. There are some BINS bins over all partitions, or one a partition where there are more partitions, so the
+balance doesn't depend on how many there are.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, parts_for
+from .shared import cut, input_bytes, parts_for
 
 BIG = 64
+BINS = 8192  # of small groups, over all partitions
+GROUPS_MB = 32  # of counted groups for one packing task
 DIMS = ("size", "tokens", "rows")
 
 
-def pack(vectors: np.ndarray, shards: int, room: np.ndarray | None = None) -> np.ndarray:
-    """The shard of each item (a row of bytes, tokens, rows). room: the shards' shares of the capacity, equal if not given."""
-    room = np.ones((shards, vectors.shape[1])) if room is None else np.maximum(room, 1e-9)
+def pack(vectors: np.ndarray, shards: int, level: bool = True) -> np.ndarray:
+    """The shard of each item (a row of bytes, tokens, rows); all shards have an equal share of each sum as capacity."""
     v = vectors.astype(np.float64) / np.maximum(vectors.sum(0), 1) * shards
-    rest = room / room.sum(0) * shards
+    rest = np.ones((shards, v.shape[1]))
     out = np.empty(len(v), np.int64)
     for i in np.lexsort((np.arange(len(v)), -v.sum(1), -v.max(1))).tolist():
         x = v[i]
@@ -32,7 +36,7 @@ def pack(vectors: np.ndarray, shards: int, room: np.ndarray | None = None) -> np
         fits = (rest >= x).all(1)
         out[i] = s = int((np.where(fits, dot, -np.inf) if fits.any() else dot).argmax())
         rest[s] -= x
-    return _level(v, out, rest)
+    return _level(v, out, rest) if level else out
 
 
 def _level(v: np.ndarray, out: np.ndarray, rest: np.ndarray) -> np.ndarray:
@@ -111,31 +115,31 @@ def _packed(rows: DataFrame, shards: int) -> DataFrame:
     total = groups.agg(*[F.sum(d).alias(d) for d in DIMS]).first()
     share = F.greatest(*[F.col(d) * (shards / max(total[d] or 0, 1)) for d in DIMS])
     big = groups.withColumn("share", share).where(F.col("share") * BIG >= 1).orderBy(F.desc("share"), "g").collect()
-    pieces = [1 if r["share"] <= 0.5 else int(np.ceil(4 * r["share"])) for r in big]
-    items = np.repeat(np.array([[r[d] for d in DIMS] for r in big], np.float64).reshape(-1, 3) / np.array(pieces).reshape(-1, 1), pieces, axis=0)
-    room = np.ones((shards, 3))
-    where = np.zeros(0, np.int64)
-    if len(items):
-        # the large ones alone, in shards with room for everything
-        scale = np.array([max(total[d] or 0, 1) / shards for d in DIMS])
-        where = pack(np.concatenate([items, np.maximum(scale * shards - items.sum(0), 0)[None] / 4096 * np.ones((4096, 1))]), shards)[: len(items)]
-        for s, x in zip(where.tolist(), items):
-            room[s] -= x / scale
-    first = np.cumsum(pieces) - pieces
-    known = [(r["g"], [int(s) for s in where[i : i + n]]) for r, i, n in zip(big, first.tolist() if len(big) else [], pieces)]
-    large = F.broadcast(spark.createDataFrame(known, "g string, places array<int>"))
-    room = np.maximum(room, 0)
+    # a group of equal texts over half a shard is dealt out, by numbers of rows, and never in more pieces than rows
+    pieces = [1 if r["share"] <= 0.5 else min(r["rows"], int(np.ceil(4 * r["share"]))) for r in big]
+    items = [[r[d] / r["rows"] * ((r["rows"] - i - 1) // n + 1) for d in DIMS] for r, n in zip(big, pieces) for i in range(n)]
+
+    parts = max(1, int(input_bytes(groups) / (GROUPS_MB * 2**20)))
+    named = F.broadcast(spark.createDataFrame([(r["g"],) for r in big], "g string"))
 
     def fill(batches):
         got = [b for b in batches if len(b)]
         if got:
             p = pd.concat(got).sort_values("g")
-            p["small"] = pack(p[list(DIMS)].to_numpy(), shards, room)
-            yield p[["g", "small"]]
-
-    small = groups.join(large.select("g"), "g", "left_anti").repartition(max(1, parts_for(groups, 32)), "g").mapInPandas(fill, "g string, small int")
+            bins = max(1, max(BINS, BIG * shards) // parts)
+            at = np.arange(len(p)) if len(p) <= bins else pack(p[list(DIMS)].to_numpy(), bins, level=False)
+            yield p.assign(bin=at + (TaskContext.get().partitionId() << 32))
+
+    small = cut(groups.join(named, "g", "left_anti").repartition(parts, "g").mapInPandas(fill, "g string, size long, tokens long, rows long, bin long"), "bins")
+    sums = small.groupBy("bin").agg(*[F.sum(d).alias(d) for d in DIMS]).orderBy("bin").collect()
+    vectors = np.array(items + [[b[d] for d in DIMS] for b in sums], np.float64).reshape(-1, len(DIMS))
+    where = pack(vectors, shards).tolist() if len(vectors) else []
+    first = (np.cumsum(pieces) - pieces).tolist() if pieces else []
+    large = F.broadcast(spark.createDataFrame([(r["g"], where[i : i + n]) for r, i, n in zip(big, first, pieces)], "g string, places array<int>"))
+    bins = F.broadcast(spark.createDataFrame([(b["bin"], s) for b, s in zip(sums, where[len(items) :])], "bin long, shard int"))
     # no small group has many rows, large ones never enter this shuffle
     some = rows.join(large, "g", "left")
-    most = some.where("places is not null").withColumn("shard", F.element_at("places", (F.pmod(F.xxhash64("u"), F.size("places")) + 1).cast("int"))).drop("places")
-    rest = some.where("places is null").drop("places").join(cut(small, "shards"), "g").withColumnRenamed("small", "shard")
-    return rest.unionByName(most)
+    most = some.where("size(places) = 1").withColumn("shard", F.element_at("places", 1)).drop("places")
+    dealt = _numbered(some.where("size(places) > 1"), ["g"], BIG, "at").withColumn("shard", F.element_at("places", (F.col("at") % F.size("places") + 1).cast("int"))).drop("places", "at")
+    rest = some.where("places is null").drop("places").join(small.select("g", "bin"), "g").join(bins, "bin").drop("bin")
+    return rest.unionByName(most).unionByName(dealt)
