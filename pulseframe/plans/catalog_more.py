@@ -60,9 +60,9 @@ _SAMPLES = """sm AS (SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(ts AS DATE
  ru AS (SELECT user_id, event_date, metric, CASE WHEN metric = 'steps' THEN sum(v) WHEN metric = 'sleep_hours' THEN greatest(0, max(v)) ELSE avg(v) END AS value FROM sm WHERE v IS NOT NULL GROUP BY 1, 2, 3)"""
 
 
-def _export(spark, sf):
-    """A payload a user and day with a metric entry for each event."""
-    e = _ev(spark, sf)
+def _export(spark, sf, which=None):
+    """A payload a user and day with a metric entry for each event, or for those that `which` chooses."""
+    e = _ev(spark, sf) if which is None else _ev(spark, sf).where(which)
     name = F.when(F.col("event_type") == "view", "Step Count").when(F.col("event_type") == "click", "heart_rate_variability").when(F.col("event_type") == "purchase", "HKQuantityTypeIdentifierbody_mass").when(F.col("event_type") == "signup", "sleep_analysis").otherwise("blood_glucose")
     unit = F.when(F.col("event_type") == "purchase", F.when(F.col("event_id") % 2 == 0, "kg").otherwise("lb")).otherwise("u")
     sleep_ = F.col("event_type") == "signup"
@@ -526,19 +526,57 @@ def sco_threshold(spark, sf):
 
 # --- jobs, ingest, ad-hoc SQL
 
-@query("SELECT user_id, event_date, metric, value FROM ru", "value", (_SAMPLES,))
-def str_ingest(spark, sf):
-    """STR-01, STR-02, STR-04: a batch of payloads merged into stored tables, then once more."""
+def scratch(spark, name: str) -> str:
+    """A new folder under the one that the cluster shares; a local session without one has its own."""
     import tempfile
     import uuid
 
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not shared:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='pulseframe-')}"
+        sc.setCheckpointDir(shared)
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _pushed(spark, sf, metrics, runs):
+    """Payloads of the chosen events: a metric entry each, a workout each."""
+    e = _ev(spark, sf)
+    body = F.struct(F.lit(0.0).alias("qty"), F.lit("kcal").alias("units"), _by(5, "Nike Run Club", "Fitbit", "Strava", None, "Apple Watch").alias("source"))
+    kind = F.create_map(*[F.lit(x) for kv in T.ACTIVITIES.items() for x in kv])[F.col("event_type")]
+    w = F.struct(F.col("event_id").cast("string").alias("id"), kind.alias("name"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss' +0000'").alias("start"), (F.col("value") * 60).alias("duration"), F.struct((F.col("k") / 10).alias("qty"), F.lit("mi").alias("units")).alias("distance"), F.array(body).alias("activeEnergy"))
+    runs = e.where(runs).groupBy("user_id", "day").agg(F.collect_list(w).alias("w"))
+    j = _export(spark, sf, metrics).join(runs, ["user_id", "day"], "full")
+    m = F.coalesce(F.get_json_object("raw", "$.data.metrics"), F.lit("[]"))
+    return j.select("user_id", F.concat(F.lit('{"data":{"metrics":'), m, F.lit(',"workouts":'), F.coalesce(F.to_json("w"), F.lit("[]")), F.lit("}}")).alias("raw"))
+
+
+_PUSHED = (
+    _SAMPLES, _SAMPLES.replace("sm AS", "s2 AS").replace("ru AS", "r2 AS").replace("FROM sm", "FROM s2").replace("event_type <> 'error'", "event_type <> 'error' AND event_id % 3 = 0"),
+    T.CARDIO, "wk AS (SELECT * REPLACE (date_trunc('second', started_at) AS started_at) FROM cardio WHERE duration_min > 0)", "inc AS (SELECT * FROM wk WHERE source_app IN ('Nike Run Club', 'Strava'))", "pre AS (SELECT * FROM wk WHERE coalesce(source_app, '') NOT IN ('Nike Run Club', 'Strava'))",
+    _greedy("pk", "pre", _HUB_KEY), "sto AS (SELECT * FROM pre WHERE source_id IN (SELECT source_id FROM pk))", _greedy("ik", "inc", _HUB_KEY), *_resolve_ctes("ik", "sto", _HUB_KEY),
+)
+
+
+@query("""SELECT user_id, event_date, metric AS what, CAST(value AS DOUBLE) AS value FROM (SELECT user_id, event_date, metric, coalesce(b.value, a.value) AS value FROM ru a LEFT JOIN r2 b USING (user_id, event_date, metric))
+ UNION ALL SELECT user_id, event_date, source_id, duration_min FROM wk WHERE source_id IN (SELECT source_id FROM sto) AND source_id NOT IN (SELECT unnest(gone) FROM st WHERE ins) OR source_id IN (SELECT source_id FROM st WHERE ins)
+ UNION ALL SELECT 'log', CAST('2024-01-01' AS DATE), 'last batch', 1.0""", "value", _PUSHED)
+def str_ingest(spark, sf):
+    """STR-01, STR-02, STR-04, SNK-02, SNK-07: two batches in one commit each, biometrics sent again and sessions replaced by better ones; then the second number once more with other contents, which changes nothing."""
+    from ..sinks.store import Store
     from ..streaming import ingest
 
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.gettempdir()}"
-    store = sinks.Store(spark, f"{shared}/pulseframe-ingest-{uuid.uuid4().hex}")
-    for _ in range(2):
-        ingest.apply_payloads(store, _export(spark, sf))
-    return store.read("biometrics").select("user_id", "event_date", "metric", "value")
+    store = Store(spark, scratch(spark, "pulseframe-ingest"), buckets=16)
+    better = F.coalesce(_by(5, "Nike Run Club", "Fitbit", "Strava", None, "Apple Watch").isin("Nike Run Club", "Strava"), F.lit(False))
+    every, third = F.lit(True), F.col("event_id") % 3 == 0
+    for batch, metrics, runs in ((0, every, ~better), (1, third, better), (1, ~third, every)):
+        ingest.apply_payloads(store, _pushed(spark, sf, metrics, runs), stream="query", batch=batch)
+    store.vacuum(keep=1, hours=0)
+    last = spark.range(1).select(F.lit("log").alias("user_id"), F.to_date(F.lit("2024-01-01")).alias("event_date"), F.lit("last batch").alias("what"), F.lit(float(store.applied("query"))).alias("value"))
+    bio = store.read("biometrics").select("user_id", "event_date", F.col("metric").alias("what"), "value")
+    return bio.unionByName(store.read("cardio_events").select("user_id", "event_date", F.col("source_id").alias("what"), F.col("duration_min").alias("value"))).unionByName(last)
 
 
 @query("SELECT user_id, source_id, duration_min FROM cardio WHERE user_id = '3' AND activity_type <> 'limit 600' ORDER BY CAST(source_id AS BIGINT) LIMIT 500", "duration_min", (T.CARDIO,))

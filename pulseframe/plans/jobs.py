@@ -11,7 +11,8 @@ from .. import schemas
 from ..functions import scalars as S
 from ..session import ship
 from ..operators import features, goals, joins, pace, power, rules, sleep, stats, strength
-from ..sinks.tables import Store, replace_matching, replace_patterns
+from ..sinks.store import Store
+from ..sinks.tables import replace_patterns
 
 
 def context_document(parts: dict[str, DataFrame], as_of) -> DataFrame:
@@ -82,8 +83,7 @@ def run_daily(store: Store, day: date, llm=None, send=None) -> Report:
         users = store.read("user_settings").select("user_id").distinct().withColumn("feature_date", F.lit(day).cast("date"))
         # the longest window is 28 days
         from_, to = day - timedelta(days=27), day
-        recent = lambda t: store.read(t).where(F.col("event_date").between(F.lit(from_), F.lit(to)))
-        f = features.daily_features(recent("strength_events"), recent("cardio_events"), store.read("daily_health_metrics", from_, to), users)
+        f = features.daily_features(store.read("strength_events", from_, to), store.read("cardio_events", from_, to), store.read("daily_health_metrics", from_, to), users)
         store.upsert("daily_features", f)
 
     def evaluate():
@@ -101,9 +101,10 @@ def run_daily(store: Store, day: date, llm=None, send=None) -> Report:
         store.upsert("metric_baselines", stats.baselines(stats.to_long(last, stats.BASELINE_METRICS)).where(F.col("metric_date") == today))
         z = stats.z_scores(stats.to_long(m, stats.Z_METRICS)).where(F.col("metric_date") == today)
         rows = stats.anomaly_rows(z, stats.iqr_outliers(stats.to_long(m, stats.IQR_METRICS), day.isoformat()))
-        old = store.read("anomaly_events")
-        scope = old.where((F.col("detected_date") == today) & (F.col("anomaly_type") == "statistical")).select("user_id", "detected_date", "anomaly_type")
-        store.replace("anomaly_events", replace_matching(old, rows, scope, ["user_id", "detected_date", "anomaly_type"]))
+        # of the day's month only
+        scope = store.read("anomaly_events", day, day).where(F.col("anomaly_type") == "statistical")
+        with store.transaction() as t:
+            t.replace_matching("anomaly_events", rows, scope, ["user_id", "detected_date", "anomaly_type"])
 
     def write():
         made["briefing"] = briefing(store.read("daily_features", until=day), made["flags"], day.isoformat(), llm)
@@ -135,7 +136,7 @@ def run_weekly(store: Store, day: date) -> None:
 
 def refresh_ftp(store: Store, day: date, lookback: int = 90) -> None:
     """§3.2: each user's threshold from the best curve of the last days, into that day's metrics row (ftp columns only)."""
-    rides = store.read("cardio_events").where((F.col("event_date") <= F.lit(day)) & (F.col("event_date") > F.lit(day - timedelta(days=lookback))))
+    rides = store.read("cardio_events", day - timedelta(days=lookback - 1), day)
     est = power.threshold(power.best_curve(rides))
     store.upsert("daily_health_metrics", est.withColumn("metric_date", F.lit(day).cast("date")))
 

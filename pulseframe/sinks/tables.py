@@ -1,117 +1,16 @@
-"""Keyed merges into Parquet tables.
+"""Keyed merges as functions of frames: (stored rows, incoming rows) to the rows that the table then has.
 
-A table is a folder of versions and numbered pointers; a pointer lists the folders that make up the table. A table with
-a date in its key is kept by months: a merge reads and writes the months of the incoming rows only, and the next pointer
-takes the other months' folders over. Other tables are one folder, made whole by each write. A pointer is added last and
-must not be there yet. Readers take the newest complete pointer, so a crash at any time leaves the version before, and
-of two writers at once one fails instead of undoing the other's rows. Rows are merged by their key's shuffle, never collected.
+Rows are merged by their key's shuffle, never collected. `store` keeps tables and applies these to the parts they touch.
 """
 
 from __future__ import annotations
 
-import uuid
-from datetime import date
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 
-MONTH = "month"
-
-
-def day_of(table: str) -> str | None:
-    """The date in the table's key, if there is one."""
-    kinds = schemas.columns(table)
-    return next((k for k in schemas.KEYS.get(table, []) if kinds[k] == "date"), None)
-
-
-class Store:
-    """Tables under a root that the cluster shares."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _pointer(self, table: str) -> tuple[int, list[str]]:
-        """(number, folders) of the newest complete pointer; (0, none) for an absent table."""
-        p, fs = self._fs(f"{self.root}/{table}")
-        if not fs.exists(p):
-            return 0, []
-        found = sorted((f.getPath().getName() for f in fs.listStatus(p) if f.getPath().getName().startswith("current-") and f.getLen() > 0), reverse=True)
-        if not found:
-            return 0, []
-        return int(found[0].removeprefix("current-")), [r[0] for r in self.spark.read.text(f"{self.root}/{table}/{found[0]}").collect()]
-
-    def _rows(self, table: str, folders: list[str]) -> DataFrame:
-        schema = ", ".join(f"`{k}` {v}" for k, v in schemas.columns(table).items())
-        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{table}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], schema)
-
-    def _write(self, table: str, df: DataFrame) -> list[str]:
-        """The folders written: one a month for a table with a date in its key."""
-        at, day = f"v-{uuid.uuid4().hex}", day_of(table)
-        if day is None:
-            df.write.parquet(f"{self.root}/{table}/{at}")
-            return [at]
-        df.withColumn(MONTH, F.date_format(day, "yyyy-MM")).write.partitionBy(MONTH).parquet(f"{self.root}/{table}/{at}")
-        p, fs = self._fs(f"{self.root}/{table}/{at}")
-        return sorted(f"{at}/{f.getPath().getName()}" for f in fs.listStatus(p) if f.isDirectory() and f.getPath().getName().startswith(f"{MONTH}="))
-
-    def _point(self, table: str, was: int, folders: list[str]) -> None:
-        """The table becomes these folders, if its newest pointer still is the one that was read."""
-        p, fs = self._fs(f"{self.root}/{table}/current-{was + 1:012d}")
-        if self._pointer(table)[0] != was:
-            raise RuntimeError(f"another writer changed {table} meanwhile")
-        out = fs.create(p, False)  # an error if another writer was first
-        out.write(bytearray("\n".join(folders or ["v-none"]).encode()))
-        out.close()
-
-    def read(self, table: str, since: date | None = None, until: date | None = None) -> DataFrame:
-        """The current rows, or those of the days from `since` to `until` by the date of the key; an absent table is empty."""
-        day, folders = day_of(table), [f for f in self._pointer(table)[1] if f != "v-none"]
-        if since is None and until is None:
-            return self._rows(table, folders)
-        if day is None:
-            raise ValueError(f"no date in the key of {table}")
-        low, high = f"{since:%Y-%m}" if since else "", f"{until:%Y-%m}" if until else "9999-99"
-        df = self._rows(table, [f for f in folders if low <= f.rpartition("=")[2] <= high])
-        df = df.where(F.col(day) >= F.lit(since)) if since else df
-        return df.where(F.col(day) <= F.lit(until)) if until else df
-
-    def replace(self, table: str, df: DataFrame) -> None:
-        """The rows of df become the table."""
-        now = self._pointer(table)[0]
-        self._point(table, now, self._write(table, schemas.conform(df, table)))
-
-    def _merge(self, table: str, rows: DataFrame, how) -> None:
-        key, day = schemas.KEYS[table], day_of(table)
-        now, folders = self._pointer(table)
-        if day is None:
-            self.replace(table, how(self.read(table), rows, key))
-            return
-        # written first, so that the rows are computed once and their months are known
-        at = f"{self.root}/{table}/in-{uuid.uuid4().hex}"
-        _checked(rows, key).withColumn(MONTH, F.date_format(day, "yyyy-MM")).write.partitionBy(MONTH).parquet(at)
-        p, fs = self._fs(at)
-        months = {f.getPath().getName() for f in fs.listStatus(p) if f.getPath().getName().startswith(f"{MONTH}=")}
-        if months:
-            new = self.spark.read.schema(rows.schema).parquet(*[f"{at}/{m}" for m in sorted(months)])
-            touched = [f for f in folders if f.rpartition("/")[2] in months]
-            made = self._write(table, schemas.conform(how(self._rows(table, touched), new, key), table))
-            self._point(table, now, sorted({*folders, *made} - {*touched, "v-none"}))
-        fs.delete(p, True)
-
-    def upsert(self, table: str, rows: DataFrame) -> None:
-        self._merge(table, rows, upsert)
-
-    def insert_new(self, table: str, rows: DataFrame) -> None:
-        self._merge(table, rows, insert_if_absent)
-
-
-def _checked(rows: DataFrame, key: list[str]) -> DataFrame:
+def checked(rows: DataFrame, key: list[str]) -> DataFrame:
     """Rows without a key are an error when the plan runs."""
     bad = F.lit(False)
     for k in key:
@@ -127,7 +26,7 @@ def upsert(stored: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     """
     if touch := "updated_at" in stored.columns:
         rows = rows.drop("updated_at")
-    new = _checked(rows, key)
+    new = checked(rows, key)
     w = Window.partitionBy(*key).orderBy(*[F.desc_nulls_last(c) for c in rows.columns if c not in key and not dict(rows.dtypes)[c].startswith(("map", "variant"))] or [F.lit(0)])
     new = new.withColumn("_n", F.row_number().over(w)).where("_n = 1").withColumn("_new", F.lit(True)).drop("_n")
     new = new.select(*key, "_new", *[F.col(c).alias(f"_n_{c}") for c in rows.columns if c not in key])
@@ -139,7 +38,7 @@ def upsert(stored: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
 
 def insert_if_absent(stored: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     """SNK-02: stored rows and those of `rows` whose key isn't there yet, with the time of the merge as updated_at if stored has it."""
-    new = _checked(rows, key).dropDuplicates(key).join(stored.select(*key), key, "left_anti")
+    new = checked(rows, key).dropDuplicates(key).join(stored.select(*key), key, "left_anti")
     new = new.withColumn("updated_at", F.current_timestamp()) if "updated_at" in stored.columns else new
     return stored.unionByName(new, allowMissingColumns=True)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pulseframe import schemas
 from pulseframe.plans import bounded_sql, jobs
 from pulseframe.sinks import tables as sinks
+from pulseframe.sinks.store import Store
 from pulseframe.sources import files, vendors
 from pulseframe.streaming import ingest
 
@@ -116,7 +117,7 @@ def test_corpus_and_webhook(spark, tmp_path):
 
 
 def test_sinks(spark, tmp_path):
-    s = sinks.Store(spark, str(tmp_path))
+    s = Store(spark, str(tmp_path))
     m = lambda **k: spark.createDataFrame([("u", D(2024, 1, 1), *k.values())], "user_id string, metric_date date, " + ", ".join(f"{c} double" for c in k))
     s.upsert("daily_health_metrics", m(sleep_hours=7.0, hrv_rmssd=50.0))
     s.upsert("daily_health_metrics", m(hrv_rmssd=60.0))
@@ -146,13 +147,13 @@ def test_sinks(spark, tmp_path):
 
 
 def test_merges_touch_their_months_only(spark, tmp_path):
-    s = sinks.Store(spark, str(tmp_path))
+    s = Store(spark, str(tmp_path))
     rows = lambda *r: spark.createDataFrame([("u", *x) for x in r], "user_id string, metric_date date, sleep_hours double")
     s.upsert("daily_health_metrics", rows((D(2024, 1, 31), 1.0), (D(2024, 2, 1), 2.0)))
-    old = dict(reversed(f.split("/")) for f in s._pointer("daily_health_metrics")[1])
+    old = s._state()[1]["tables"]["daily_health_metrics"]["parts"]
     s.upsert("daily_health_metrics", rows((D(2024, 2, 1), 3.0), (D(2024, 2, 2), 4.0), (D(2024, 3, 1), 5.0)))
-    new = dict(reversed(f.split("/")) for f in s._pointer("daily_health_metrics")[1])
-    assert set(new) == {"month=2024-01", "month=2024-02", "month=2024-03"} and new["month=2024-01"] == old["month=2024-01"] and new["month=2024-02"] != old["month=2024-02"]
+    new = s._state()[1]["tables"]["daily_health_metrics"]["parts"]
+    assert set(new) == {"2024-01", "2024-02", "2024-03"} and new["2024-01"] == old["2024-01"] and new["2024-02"] != old["2024-02"]
     got = lambda *a, **k: sorted((r.metric_date, r.sleep_hours) for r in s.read("daily_health_metrics", *a, **k).collect())
     assert got() == [(D(2024, 1, 31), 1.0), (D(2024, 2, 1), 3.0), (D(2024, 2, 2), 4.0), (D(2024, 3, 1), 5.0)]
     assert got(D(2024, 2, 2), D(2024, 2, 29)) == [(D(2024, 2, 2), 4.0)] and got(until=D(2024, 1, 31)) == [(D(2024, 1, 31), 1.0)]
@@ -160,7 +161,7 @@ def test_merges_touch_their_months_only(spark, tmp_path):
     s.insert_new("daily_health_metrics", rows((D(2024, 3, 1), 9.0), (D(2024, 3, 2), 6.0)))
     assert got(since=D(2024, 3, 1)) == [(D(2024, 3, 1), 5.0), (D(2024, 3, 2), 6.0)]
     s.replace("daily_health_metrics", rows().limit(0))
-    assert got() == [] and not [p for p in (tmp_path / "daily_health_metrics").iterdir() if p.name.startswith("in-")]
+    assert got() == [] and not [p for p in (tmp_path / "daily_health_metrics").iterdir() if p.name.startswith("staged-")]
     s.upsert("daily_health_metrics", rows((D(2024, 3, 1), 7.0)))
     assert got() == [(D(2024, 3, 1), 7.0)]
 
@@ -189,7 +190,7 @@ def test_bounded_sql(spark):
 
 
 def seeded(spark, root):
-    s = sinks.Store(spark, str(root))
+    s = Store(spark, str(root))
     s.replace("user_settings", spark.createDataFrame([("u",), ("v",)], "user_id string"))
     day = D(2024, 1, 20)
     bio = [("u", "a", day - dt.timedelta(i), m, v, "k") for i in range(20) for m, v in (("sleep_hours", 5.0), ("hrv_rmssd", 50.0 - (i == 0) * 30 + i % 3), ("steps", 8000.0 + i))]
@@ -213,7 +214,7 @@ def test_daily_job(spark, tmp_path):
 
 
 def test_push_ingest_streams(spark, tmp_path):
-    s = sinks.Store(spark, str(tmp_path / "store"))
+    s = Store(spark, str(tmp_path / "store"))
     w = lambda i, app, mins: {"id": i, "name": "Outdoor Run", "start": f"2024-06-01 08:{mins:02d}:00 +0000", "end": "2024-06-01 09:00:00 +0000", "duration": 1800, "heartRate": [{"qty": 1, "source": app}]}
     first = {"data": {"metrics": [{"name": "step_count", "data": [{"qty": 10, "date": "2024-06-01"}]}], "workouts": [w("a", "Fitbit", 0)]}}
     second = {"data": {"metrics": [{"name": "step_count", "data": [{"qty": 30, "date": "2024-06-01"}]}], "workouts": [w("b", "Nike Run Club", 5)]}}
