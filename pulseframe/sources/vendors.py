@@ -142,17 +142,3 @@ def named_calendars(calendars: DataFrame, wanted: list[str]) -> DataFrame:
     for w in wanted:
         ok = ok | n.contains(w.lower())
     return calendars.where(ok)
-
-
-def fetch_pages(fetch, first: int = 1, most: int = 500, size: int | None = None) -> list[str]:
-    """SRC-03, SRC-05, SRC-23: raw pages of an injected `fetch(page) -> (text, page_count or None, items)`.
-
-    With a page count every page must come (an incomplete fetch is an error); else it ends at a page shorter than `size`.
-    """
-    out = []
-    for page in range(first, first + most):
-        text, count, items = fetch(page)
-        out.append(text)
-        if count is not None and page >= count or count is None and (items == 0 or size is not None and items < size):
-            return out
-    raise RuntimeError(f"more than {most} pages")

@@ -49,13 +49,9 @@ def test_workouts(spark):
     assert r["Walk"].duration_min == 20 and r["Walk"].source_id.startswith("hae:")
 
 
-def test_calendar_and_pages(spark):
+def test_calendar(spark):
     e = spark.createDataFrame([("u", "", "2024-06-01", "2024-06-03"), ("u", "Meet", "2024-06-01", "2024-06-01")], "user_id string, title string, start string, end string")
     assert {r.description for r in vendors.calendar_blocks(e).collect()} == {"Busy (2024-06-01 – 2024-06-03)", "Meet"}
-    assert vendors.fetch_pages(lambda p: (f"p{p}", 3, 10)) == ["p1", "p2", "p3"]
-    assert vendors.fetch_pages(lambda p: (f"p{p}", None, 2 if p < 3 else 1), size=2) == ["p1", "p2", "p3"]
-    with pytest.raises(RuntimeError):
-        vendors.fetch_pages(lambda p: ("", 99, 1), most=5)
 
 
 def fit(seconds, watts):
