@@ -7,25 +7,20 @@ import gzip
 import hashlib
 import json
 import re
-import struct
-import xml.etree.ElementTree as ET
-from collections.abc import Iterator
-from datetime import datetime, timedelta, timezone
+import zlib
+from datetime import datetime
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from ..session import ship
+from . import fit
 
 PATTERN = "*.{fit,tcx,gpx,fit.gz,tcx.gz,gpx.gz,FIT}"
 POINT = "path string, i int, ts timestamp, watts double, hr double, distance_m double, altitude double, sport string"
-FIT_EPOCH = 631065600
-#: Sizes and codes of the binary format's base types (fixed values).
-FIT_TYPES = {0: "B", 1: "b", 2: "B", 3: "h", 4: "H", 5: "i", 6: "I", 7: "s", 8: "f", 9: "d", 10: "B", 11: "H", 12: "I", 13: "B", 14: "q", 15: "Q", 16: "Q"}
-FIT_INVALID = {0: 0xFF, 1: 0x7F, 2: 0xFF, 3: 0x7FFF, 4: 0xFFFF, 5: 0x7FFFFFFF, 6: 0xFFFFFFFF, 10: 0, 11: 0, 12: 0}
-FIT_SPORTS = {0: "generic", 1: "running", 2: "cycling", 5: "swimming", 10: "training", 11: "walking", 15: "rowing", 17: "hiking"}
 
 
 def gunzip(data: bytes) -> bytes:
@@ -45,124 +40,77 @@ def sniff(data: bytes, name: str = "") -> str:
     raise ValueError(f"not an activity file: {name}")
 
 
-def _crc_steps() -> list[int]:
-    out = []
-    for x in range(256):
-        for _ in range(8):
-            x = x >> 1 ^ (0xA001 if x & 1 else 0)
-        out.append(x)
-    return out
+#: What is read of TCX and GPX, by element; namespaces don't count, other elements are skipped.
+_TPX = "struct<Watts:string,power:string,PowerInWatts:string,hr:string>"
+_EXTRA = f"struct<TPX:{_TPX},TrackPointExtension:{_TPX},PowerExtension:{_TPX},Watts:string,power:string,PowerInWatts:string,hr:string>"
+TCX = f"Activities struct<Activity:array<struct<_Sport:string,Lap:array<struct<Track:array<struct<Trackpoint:array<struct<Time:string,DistanceMeters:string,AltitudeMeters:string,HeartRateBpm:struct<Value:string>,Extensions:{_EXTRA}>>>>>>>>>, _broken string"
+GPX = f"trk array<struct<type:string,trkseg:array<struct<trkpt:array<struct<ele:string,time:string,extensions:{_EXTRA}>>>>>>, _broken string"
+#: Spark's reader takes a text that ends too early for a whole one.
+_ENDED = r"(?s)</([\w.-]+:)?(TrainingCenterDatabase|gpx)\s*>\s*(<!--.*-->\s*)?$|^[^<]*(<\?[^>]*>\s*)?<[^<>]*/>\s*$"
+XML = {"ignoreNamespace": "true", "columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE"}
+_SAMPLES = "array<struct<ts:timestamp,watts:double,hr:double,distance_m:double,altitude:double,sport:string>>"
 
 
-_CRC = _crc_steps()
+def _inner(e, *names):
+    """The first of these elements in a point's extensions, at either depth."""
+    return F.coalesce(*[e[n] for n in names], *[e[x][n] for x in ("TPX", "TrackPointExtension", "PowerExtension") for n in names])
 
 
-def crc16(data: bytes) -> int:
-    """The checksum of FIT files: polynomial 0x8005, reflected."""
-    c = 0
-    for x in data:
-        c = c >> 8 ^ _CRC[(c ^ x) & 255]
-    return c
+def _point(time, watts, hr, distance, altitude, sport):
+    num = lambda c: c.try_cast("double")
+    none = F.lit(None).cast("string")
+    return F.struct(F.try_to_timestamp(F.trim(time)).alias("ts"), num(watts).alias("watts"), num(hr).alias("hr"), num(none if distance is None else distance).alias("distance_m"), num(altitude).alias("altitude"), sport.alias("sport"))
 
 
-def parse_fit(data: bytes) -> Iterator[dict]:
-    """SRC-15: the record messages of a FIT file: time, power, heart rate, distance, altitude; the session's sport.
+def _flat(c):
+    """A list of lists as one, null lists as empty."""
+    return F.flatten(F.filter(c, lambda x: x.isNotNull()))
 
-    A file that is cut short, or whose checksum (or header's, unless it is 0) is wrong, is an error and gives no part of a ride.
-    """
-    size, length = data[0], struct.unpack_from("<I", data, 4)[0]
-    at, end, defs, sport, rows = size, size + length, {}, None, []
-    if end + 2 > len(data):
-        raise ValueError("the file is cut short")
-    if size >= 14 and (crc := struct.unpack_from("<H", data, 12)[0]) and crc != crc16(data[:12]):
-        raise ValueError("the header's checksum is wrong")
-    if struct.unpack_from("<H", data, end)[0] != crc16(data[:end]):
-        raise ValueError("the checksum is wrong")
-    last = None
-    while at < end:
-        head = data[at]
-        at += 1
-        if head & 0x80:
-            kind, local, offset = "data", head >> 5 & 3, head & 31
-        else:
-            kind, local, offset = ("def" if head & 0x40 else "data"), head & 15, None
-        if kind == "def":
-            order = ">" if data[at + 1] else "<"
-            msg, n = struct.unpack_from(f"{order}HB", data, at + 2)
-            at += 5
-            fields = [tuple(data[at + 3 * i : at + 3 * i + 3]) for i in range(n)]
-            at += 3 * n
-            extra = 0
-            if head & 0x20:
-                k = data[at]
-                extra = sum(data[at + 2 + 3 * i] for i in range(k))
-                at += 1 + 3 * k
-            defs[local] = (msg, order, fields, extra)
-            continue
-        if local not in defs:
-            raise ValueError("data before its definition")
-        msg, order, fields, extra = defs[local]
-        got = {}
-        for num, width, base in fields:
-            code = FIT_TYPES.get(base & 31)
-            if code and code != "s" and width == struct.calcsize(code) and at + width <= len(data):
-                v = struct.unpack_from(order + code, data, at)[0]
-                if v != FIT_INVALID.get(base & 31):
-                    got[num] = v
-            at += width
-        at += extra
-        if offset is not None and last is not None:
-            got.setdefault(253, last + ((offset - (last & 31)) & 31))
-        last = got.get(253, last)
-        if msg in (12, 18) and (0 in got if msg == 12 else 5 in got):
-            sport = FIT_SPORTS.get(got[0 if msg == 12 else 5], str(got[0 if msg == 12 else 5]))
-        if msg == 20 and 253 in got:
-            alt = got.get(78, got.get(2))
-            rows.append({"sec": got[253] + FIT_EPOCH if got[253] >= 0x10000000 else got[253], "watts": got.get(7), "hr": got.get(3), "distance_m": got[5] / 100 if 5 in got else None, "altitude": alt / 5 - 500 if alt is not None else None})
-    for r in rows:
-        r["ts"] = datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=r.pop("sec"))
-        yield r | {"sport": sport}
-
-
-def _tag(e) -> str:
-    return e.tag.rsplit("}", 1)[-1]
-
-
-def _number(x):
-    try:
-        return float(x)
-    except (TypeError, ValueError):
-        return None
-
-
-def parse_xml(data: bytes, kind: str) -> Iterator[dict]:
-    """SRC-16, SRC-17: track points of TCX or GPX, whatever the namespaces; GPX has no distance."""
-    root = ET.fromstring(data.lstrip(b"\xef\xbb\xbf \r\n\t"))
-    sport = next((a.get("Sport") for a in root.iter() if _tag(a) == "Activity"), None) if kind == "tcx" else next((a.text for a in root.iter() if _tag(a) == "type"), None)
-    point = "Trackpoint" if kind == "tcx" else "trkpt"
-    for p in (e for e in root.iter() if _tag(e) == point):
-        t = {}
-        for e in p.iter():
-            if e.text and e.text.strip():
-                t.setdefault(_tag(e), e.text.strip())
-        hr = t.get("hr")
-        if kind == "tcx":
-            hr = next((v.text for h in p.iter() if _tag(h) == "HeartRateBpm" for v in h if _tag(v) == "Value"), None)
-        time = t.get("Time", t.get("time"))
-        try:
-            ts = datetime.fromisoformat(time.replace("Z", "+00:00")) if time else None
-        except ValueError:
-            ts = None
-        if ts is None:
-            continue
-        ts = ts if ts.tzinfo else ts.replace(tzinfo=timezone.utc)
-        yield {"ts": ts, "watts": _number(t.get("Watts", t.get("power", t.get("PowerInWatts")))), "hr": _number(hr), "distance_m": _number(t.get("DistanceMeters")) if kind == "tcx" else None, "altitude": _number(t.get("AltitudeMeters", t.get("ele"))), "sport": sport}
-
-
-def parse_activity(data: bytes, name: str = "") -> list[dict]:
-    data = gunzip(data)
-    kind = sniff(data, name)
-    return list(parse_fit(data) if kind == "fit" else parse_xml(data, kind))
+
+def tcx_points(text) -> Column:
+    """SRC-16: the track points of a TCX text as an array, null for a broken text."""
+    x = F.from_xml(text, TCX, XML)
+    sport = F.filter(F.transform(x["Activities"]["Activity"], lambda a: a["_Sport"]), lambda s: s.isNotNull())
+    tracks = _flat(F.transform(_flat(F.transform(x["Activities"]["Activity"], lambda a: a["Lap"])), lambda lap: lap["Track"]))
+    points = _flat(F.transform(tracks, lambda t: t["Trackpoint"]))
+    one = F.transform(points, lambda p: _point(p["Time"], _inner(p["Extensions"], "Watts", "power", "PowerInWatts"), p["HeartRateBpm"]["Value"], p["DistanceMeters"], p["AltitudeMeters"], F.get(sport, F.lit(0))))
+    return F.when(x["_broken"].isNull() & text.rlike(_ENDED), F.coalesce(one, F.array().cast(_SAMPLES)))
+
+
+def gpx_points(text) -> Column:
+    """SRC-17: the track points of a GPX text as an array, null for a broken text; GPX has no distance."""
+    x = F.from_xml(text, GPX, XML)
+    sport = F.filter(F.transform(x["trk"], lambda t: t["type"]), lambda s: s.isNotNull())
+    points = _flat(F.transform(_flat(F.transform(x["trk"], lambda t: t["trkseg"])), lambda s: s["trkpt"]))
+    one = F.transform(points, lambda p: _point(p["time"], _inner(p["extensions"], "Watts", "power", "PowerInWatts"), _inner(p["extensions"], "hr"), None, p["ele"], F.get(sport, F.lit(0))))
+    return F.when(x["_broken"].isNull() & text.rlike(_ENDED), F.coalesce(one, F.array().cast(_SAMPLES)))
+
+
+def _fit_points(data: bytes) -> pa.Array:
+    got = fit.decode(data)
+    n = len(got["sec"])
+    number = lambda k: pa.array(got[k], pa.float64(), from_pandas=True)
+    return pa.StructArray.from_arrays([pa.array(got["sec"] * 1_000_000, pa.timestamp("us", "UTC")), number("watts"), number("hr"), number("distance_m"), number("altitude"), pa.array([got["sport"]] * n, pa.string())], names=["ts", "watts", "hr", "distance_m", "altitude", "sport"])
+
+
+def _opened(batches):
+    """(path, content) -> path, kind, text of XML files, points of FIT files; kind is null where the file can't be read."""
+    point = pa.struct([("ts", pa.timestamp("us", "UTC")), ("watts", pa.float64()), ("hr", pa.float64()), ("distance_m", pa.float64()), ("altitude", pa.float64()), ("sport", pa.string())])
+    for b in batches:
+        for path, content in zip(b["path"].to_pylist(), b["content"].to_pylist()):
+            kind = text = points = None
+            try:
+                data = gunzip(content)
+                kind = sniff(data, path)
+                if kind == "fit":
+                    points = _fit_points(data)
+                else:
+                    text = data.decode("utf-8-sig").strip()
+            except (ValueError, TypeError, OSError, EOFError, zlib.error):
+                kind = None
+            none = pa.nulls(1, pa.list_(point))
+            held = none if points is None else pa.ListArray.from_arrays(pa.array([0, len(points)], pa.int32()), points.cast(point))
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([kind], pa.string()), pa.array([text], pa.string()), held], names=["path", "kind", "text", "fit"])
 
 
 def discover(spark: SparkSession, root: str, since: str | None = None) -> DataFrame:
@@ -177,21 +125,17 @@ def newest(files: DataFrame, days: int = 45, most: int = 80) -> DataFrame:
 
 
 def track_points(files: DataFrame) -> DataFrame:
-    """SRC-15 to 18: rows of POINT from path and content; files that can't be read give a row with `i` null."""
-    ship(files.sparkSession)
-    kind = pa.schema([("path", pa.string()), ("i", pa.int32()), ("ts", pa.timestamp("us", "UTC")), ("watts", pa.float64()), ("hr", pa.float64()), ("distance_m", pa.float64()), ("altitude", pa.float64()), ("sport", pa.string())])
-
-    def run(batches):
-        for b in batches:
-            for path, data in zip(b["path"].to_pylist(), b["content"]):
-                try:
-                    rows = [r | {"path": path, "i": i} for i, r in enumerate(parse_activity(data.as_py(), path))]
-                except (ValueError, IndexError, struct.error, ET.ParseError, OSError, EOFError):
-                    rows = [{"path": path}]
-                rows = [{n: (float(r[n]) if n in ("watts", "hr") and r.get(n) is not None else r.get(n)) for n in kind.names} for r in rows]
-                yield pa.RecordBatch.from_pylist(rows, kind)
+    """SRC-15 to 18: rows of POINT from path and content; files that can't be read give a row with `i` null.
 
-    return files.select("path", "content").mapInArrow(run, POINT)
+    One pass opens a file, knows its kind by content before name, and decodes FIT by columns; XML is read by Spark.
+    Points without a time are skipped.
+    """
+    ship(files.sparkSession)
+    opened = files.select("path", "content").mapInArrow(_opened, f"path string, kind string, text string, fit {_SAMPLES}")
+    points = F.when(F.col("kind") == "fit", F.col("fit")).when(F.col("kind") == "tcx", tcx_points(F.col("text"))).when(F.col("kind") == "gpx", gpx_points(F.col("text")))
+    points = F.filter(points, lambda p: p["ts"].isNotNull())
+    bad = opened.select("path", points.alias("p")).select("path", F.when(F.col("p").isNull(), F.array(F.struct(F.lit(None).cast("int").alias("i"), F.lit(None).cast(_SAMPLES[6:-1]).alias("x")))).otherwise(F.transform("p", lambda p, i: F.struct(i.alias("i"), p.alias("x")))).alias("p"))
+    return bad.select("path", F.explode("p").alias("p")).select("path", "p.i", "p.x.*")
 
 
 def session_rows(points: DataFrame, user_id: str, source: str = "wahoo_fit") -> DataFrame:
@@ -231,8 +175,8 @@ def land(rows: DataFrame, root: str) -> None:
 
 
 def landed(spark: SparkSession, root: str) -> DataFrame:
-    """SRC-24, SRC-26: what was landed, one payload a row."""
-    return spark.read.text(f"{root}/raw").withColumnRenamed("value", "raw")
+    """SRC-24, SRC-26: what was landed, one payload a row, with its file's path."""
+    return spark.read.text(f"{root}/raw").select(F.col("value").alias("raw"), "user_id", "source", "day", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("landed_at"))
 
 
 def envelopes(files: DataFrame, source: str) -> DataFrame:
@@ -241,12 +185,21 @@ def envelopes(files: DataFrame, source: str) -> DataFrame:
     return files.select("path", F.to_json(F.struct(name.alias("filename"), F.lit(source).alias("source"), F.sha2("content", 256).alias("sha256"), F.base64("content").alias("payload_base64"))).alias("raw"))
 
 
-def replay(raw: DataFrame, normalize, order: str = "path") -> DataFrame:
-    """SRC-26, DED-04: payloads normalized again, the last of each source_id; payloads that aren't JSON are skipped."""
-    from ..operators.cardio_dedup import last_wins
+def replay(raw: DataFrame, normalize, order: tuple[str, ...] = ("path",)) -> DataFrame:
+    """SRC-26, DED-04: payloads normalized again, of each source_id the row of the last payload by `order` (ties: the larger row).
 
+    `normalize` gets one column `raw` and a user_id that carries the order through; payloads that aren't JSON are skipped.
+    """
     ok = raw.where(F.try_parse_json("raw").isNotNull())
-    return last_wins(normalize(ok), ["user_id", "source_id"], "source_id")
+    # normalizers keep user_id and nothing else of their input
+    key = F.to_json(F.struct("user_id", F.struct(*order).alias("o")))
+    n = normalize(ok.select(key.alias("user_id"), "raw"))
+    kind = ok.select(F.struct(*order).alias("o")).schema["o"].dataType
+    carried = F.from_json("user_id", T.StructType([T.StructField("user_id", T.StringType()), T.StructField("o", kind)]))
+    n = n.withColumn("_c", carried).withColumns({"user_id": F.col("_c.user_id"), "_o": F.col("_c.o")}).drop("_c")
+    plain = [c for c in n.columns if c != "_o" and not n.schema[c].dataType.simpleString().startswith(("map", "variant"))]
+    cols = [c for c in n.columns if c != "_o"]
+    return n.groupBy("user_id", "source_id").agg(F.max_by(F.struct(*cols), F.struct("_o", *plain)).alias("r")).select("r.*")
 
 
 def decode_webhook(headers: dict, body: str | bytes | None, is_base64: bool = False) -> tuple[dict, object]:

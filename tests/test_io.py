@@ -13,6 +13,7 @@ from pulseframe.plans import bounded_sql, jobs
 from pulseframe.sinks import tables as sinks
 from pulseframe.sinks.store import Store
 from pulseframe.sources import files, vendors
+from pulseframe.sources import fit as fit_files
 from pulseframe.streaming import ingest
 
 D = dt.date
@@ -60,15 +61,7 @@ def fit(seconds, watts):
     for s, w in zip(seconds, watts):
         body += bytes([0]) + struct.pack("<IH", s, 0xFFFF if w is None else w)
     whole = struct.pack("<BBHI4sH", 14, 16, 2132, len(body), b".FIT", 0) + body
-    return whole + struct.pack("<H", files.crc16(whole))
-
-
-def test_damaged_fit_files():
-    good = fit(range(1_100_000_000, 1_100_000_060), [200] * 60)
-    assert files.crc16(b"123456789") == 0xBB3D and len(list(files.parse_fit(good))) == 60
-    for bad in (good[:-1], good[:-40], good[:50] + bytes([good[50] ^ 1]) + good[51:], good[:12] + b"\1\0" + good[14:]):
-        with pytest.raises(ValueError):
-            list(files.parse_fit(bad))
+    return whole + struct.pack("<H", fit_files.crc16(whole))
 
 
 TCX = b"""<?xml version="1.0"?><TrainingCenterDatabase xmlns="http://x"><Activities><Activity Sport="Biking"><Lap><Track>
