@@ -50,3 +50,109 @@ def src_cursor_pages(spark, sf):
     finally:
         q.stop()
     return _items(spark.read.schema(paged.SCHEMA).parquet(f"{out}/rows"))
+
+
+# --- activity files
+
+RIDE = 32  # vectors of one ride, a value a second
+
+
+def _fit_bytes(batches):
+    """(ride_id, watts of each second) as FIT files: time, power, heart rate, distance, altitude; every third one gzipped."""
+    import gzip
+    import struct
+
+    import numpy as np
+    import pandas as pd
+
+    kind = np.dtype([("head", "u1"), ("sec", "<u4"), ("watts", "<u2"), ("hr", "u1"), ("dist", "<u4"), ("alt", "<u2")])
+    define = bytes([0x40, 0, 0]) + struct.pack("<HB", 20, 5) + bytes([253, 4, 0x86, 7, 2, 0x84, 3, 1, 2, 5, 4, 0x86, 2, 2, 0x84])
+    sport = bytes([0x41, 0, 0]) + struct.pack("<HB", 12, 1) + bytes([0, 1, 0]) + bytes([1, 2])
+    from ..sources import fit
+
+    for b in batches:
+        out = []
+        for ride, watts in zip(b["ride_id"], b["watts"]):
+            i = np.arange(len(watts))
+            rows = np.zeros(len(watts), kind)
+            rows["sec"], rows["watts"], rows["hr"], rows["dist"], rows["alt"] = 1_073_000_000 + i, watts, 60 + i % 100, i * 500, (i % 50 + 500) * 5
+            body = sport + define + rows.tobytes()
+            whole = struct.pack("<BBHI4sH", 14, 16, 2132, len(body), b".FIT", 0) + body
+            whole += struct.pack("<H", fit.crc16(whole))
+            out.append((f"rides/{ride}", gzip.compress(whole) if ride % 3 == 0 else whole))
+        yield pd.DataFrame(out, columns=["path", "content"])
+
+
+def _rides(spark, sf):
+    from ..session import ship
+    from ..sources import files
+
+    ship(spark)
+    e = T.table(spark, sf, "embeddings").select((F.col("vec_id") / RIDE).cast("long").alias("ride_id"), "vec_id", "embedding")
+    g = e.groupBy("ride_id").agg(F.transform(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"])), lambda v: F.round(F.abs(v.cast("double")) * 1000).cast("int")).alias("watts"))
+    built = g.mapInPandas(_fit_bytes, "path string, content binary")
+    return files.session_rows(files.track_points(built), "u")
+
+
+_FIT = (f"v AS (SELECT vec_id // {RIDE} AS ride_id, vec_id, unnest(range(len(embedding))) AS j, round(abs(CAST(unnest(embedding) AS DOUBLE)) * 1000) AS watts FROM embeddings)", "pt AS (SELECT ride_id, row_number() OVER (PARTITION BY ride_id ORDER BY vec_id, j) - 1 AS i, watts FROM v)")
+
+
+@query("""SELECT CAST(ride_id AS BIGINT) AS ride_id, CAST('2023-12-31' AS DATE) AS event_date, 'Ride' AS activity_type, (n - 1) / 60.0 AS duration_min, (n - 1) * 5 / 1609.344 AS distance_miles, gain * 3.280839895 AS elevation_ft, CAST(round_even(hr, 0) AS INTEGER) AS avg_hr, CAST(top_hr AS INTEGER) AS max_hr, avg_watts, max_watts, work_kj, np FROM
+ (SELECT ride_id, count(*) AS n, avg(60 + i % 100) AS hr, max(60 + i % 100) AS top_hr, sum(CASE WHEN i > 0 AND i % 50 > 0 THEN 1 ELSE 0 END) AS gain, avg(watts) AS avg_watts, max(watts) AS max_watts, sum(watts) / 1000 AS work_kj FROM pt GROUP BY 1)
+ JOIN (SELECT ride_id, pow(avg(pow(m, 4)), 0.25) AS np FROM (SELECT ride_id, CASE WHEN count(*) OVER w = 30 THEN avg(watts) OVER w END AS m FROM pt WINDOW w AS (PARTITION BY ride_id ORDER BY i ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)) GROUP BY 1) USING (ride_id)""", "duration_min distance_miles elevation_ft avg_watts max_watts work_kj np", _FIT)
+def src_fit_rides(spark, sf):
+    """SRC-15, SRC-18, SRC-19, PRJ-39: rides of the embeddings as FIT files, some gzipped, decoded to one row each."""
+    r = _rides(spark, sf)
+    return r.select(F.substring_index("path", "/", -1).cast("long").alias("ride_id"), "event_date", "activity_type", "duration_min", "distance_miles", "elevation_ft", "avg_hr", "max_hr", "avg_watts", "max_watts", "work_kj", F.col("normalized_power").alias("np"))
+
+
+@query(" UNION ALL ".join(f"SELECT ride_id, {k} AS duration, max(m) AS watts FROM (SELECT ride_id, CASE WHEN count(*) OVER w = {k} THEN avg(watts) OVER w END AS m FROM pt WINDOW w AS (PARTITION BY ride_id ORDER BY i ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)) GROUP BY 1 HAVING max(m) IS NOT NULL" for k in (5, 15, 30, 60, 180, 300, 720, 1200, 1800, 3600)), "watts", _FIT)
+def win_ride_curves(spark, sf):
+    """WIN-16, ARR-04, ARR-06, ARR-07: the best mean of each duration up to half an hour and more, as stored with the decoded rides."""
+    r = _rides(spark, sf).select(F.substring_index("path", "/", -1).cast("long").alias("ride_id"), F.explode("power_mmp_json").alias("k", "watts"))
+    from ..functions import scalars as S
+
+    return r.select("ride_id", S.duration_key("k").alias("duration"), "watts")
+
+
+def _texts(spark, sf):
+    """A TCX text for each even user of the events, a GPX text for each odd one."""
+    e = T.table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k"))
+    time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    n = lambda c: F.col(c).cast("string")
+    watts, hr = F.col("event_id") % 300, F.col("event_id") % 100 + 60
+    t = F.concat(F.lit("<Trackpoint><Time>"), time, F.lit("</Time><AltitudeMeters>"), "k", F.lit("</AltitudeMeters><DistanceMeters>"), n("value"), F.lit("</DistanceMeters><HeartRateBpm><Value>"), hr.cast("string"), F.lit("</Value></HeartRateBpm>"), F.when(F.col("event_id") % 4 > 0, F.concat(F.lit("<Extensions><x:TPX><x:Watts>"), watts.cast("string"), F.lit("</x:Watts></x:TPX></Extensions>"))).otherwise(""), F.lit("</Trackpoint>"))
+    g = F.concat(F.lit('<trkpt lat="1" lon="2"><ele>'), "k", F.lit("</ele><time>"), time, F.lit("</time><extensions>"), F.when(F.col("event_id") % 4 > 0, F.concat(F.lit("<power>"), watts.cast("string"), F.lit("</power>"))).otherwise(""), F.lit("<g:TrackPointExtension><g:hr>"), hr.cast("string"), F.lit("</g:hr></g:TrackPointExtension></extensions></trkpt>"))
+    even = F.col("user_id") % 2 == 0
+    one = e.groupBy("user_id").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", F.when(even, t).otherwise(g).alias("x")))), lambda x: x["x"])).alias("x"))
+    text = F.when(even, F.concat(F.lit('<?xml version="1.0"?><TrainingCenterDatabase xmlns="a" xmlns:x="b"><Activities><Activity Sport="Biking"><Lap><Track>'), "x", F.lit("</Track></Lap></Activity></Activities></TrainingCenterDatabase>")))
+    text = text.otherwise(F.concat(F.lit('<gpx xmlns="a" xmlns:g="b"><trk><type>running</type><trkseg>'), "x", F.lit("</trkseg></trk></gpx>")))
+    return one.select(F.col("user_id").cast("string").alias("path"), text.cast("binary").alias("content"))
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS path, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS i, epoch_us(ts) AS us, CAST(CASE WHEN event_id % 4 > 0 THEN event_id % 300 END AS DOUBLE) AS watts, CAST(event_id % 100 + 60 AS DOUBLE) AS hr, CASE WHEN user_id % 2 = 0 THEN value END AS distance_m,
+ CAST(json_extract_string(props, '$.k') AS DOUBLE) AS altitude, CASE WHEN user_id % 2 = 0 THEN 'Biking' ELSE 'running' END AS sport FROM events""", "distance_m altitude")
+def src_xml_tracks(spark, sf):
+    """SRC-16, SRC-17, SRC-18: TCX and GPX texts of the events, kinds known by content, points read by Spark."""
+    from ..sources import files
+
+    p = files.track_points(_texts(spark, sf))
+    return p.select("path", "i", F.unix_micros("ts").alias("us"), "watts", "hr", "distance_m", "altitude", "sport")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(event_id AS VARCHAR) AS source_id, value + CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS duration_min FROM events WHERE value > 0 OR event_id % 2 = 0 AND value > -1", "duration_min")
+def src_replay(spark, sf):
+    """SRC-24, SRC-26: payloads landed under two days, replayed; the later day's version of a session counts."""
+    from ..sources import files, vendors
+
+    e = T.table(spark, sf, "events").withColumn("user_id", F.col("user_id").cast("string"))
+
+    def payloads(rows, day, more):
+        w = F.struct(F.col("event_id").cast("string").alias("id"), F.lit("Run").alias("name"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss' +0000'").alias("start"), ((F.col("value") + more) * 60).alias("duration"))
+        return rows.groupBy("user_id").agg(F.to_json(F.struct(F.struct(F.collect_list(w).alias("workouts")).alias("data"))).alias("raw")).withColumns({"source": F.lit("apple"), "day": F.lit(day)})
+
+    at = scratch(spark, "pulseframe-landing")
+    files.land(payloads(e.where("event_id % 2 = 0"), "2024-01-02", 1), at)
+    files.land(payloads(e, "2024-01-01", 0), at)
+    raw = files.landed(spark, at).withColumn("user_id", F.col("user_id").cast("string"))
+    return files.replay(raw, vendors.workouts, ("day", "path")).select("user_id", "source_id", "duration_min")

@@ -46,7 +46,7 @@ _EXTRA = f"struct<TPX:{_TPX},TrackPointExtension:{_TPX},PowerExtension:{_TPX},Wa
 TCX = f"Activities struct<Activity:array<struct<_Sport:string,Lap:array<struct<Track:array<struct<Trackpoint:array<struct<Time:string,DistanceMeters:string,AltitudeMeters:string,HeartRateBpm:struct<Value:string>,Extensions:{_EXTRA}>>>>>>>>>, _broken string"
 GPX = f"trk array<struct<type:string,trkseg:array<struct<trkpt:array<struct<ele:string,time:string,extensions:{_EXTRA}>>>>>>, _broken string"
 #: Spark's reader takes a text that ends too early for a whole one.
-_ENDED = r"(?s)</([\w.-]+:)?(TrainingCenterDatabase|gpx)\s*>\s*(<!--.*-->\s*)?$|^[^<]*(<\?[^>]*>\s*)?<[^<>]*/>\s*$"
+_ENDED = r"(?s)</([\w.-]+:)?(TrainingCenterDatabase|gpx)\s*>\s*(<!--[^>]*-->\s*)?$|^[^<]*(<\?[^>]*>\s*)?<[^<>]*/>\s*$"
 XML = {"ignoreNamespace": "true", "columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE"}
 _SAMPLES = "array<struct<ts:timestamp,watts:double,hr:double,distance_m:double,altitude:double,sport:string>>"
 
@@ -67,23 +67,21 @@ def _flat(c):
     return F.flatten(F.filter(c, lambda x: x.isNotNull()))
 
 
-def tcx_points(text) -> Column:
-    """SRC-16: the track points of a TCX text as an array, null for a broken text."""
-    x = F.from_xml(text, TCX, XML)
+def tcx_points(x) -> Column:
+    """SRC-16: the track points of a parsed TCX text as an array, null for a broken one."""
     sport = F.filter(F.transform(x["Activities"]["Activity"], lambda a: a["_Sport"]), lambda s: s.isNotNull())
     tracks = _flat(F.transform(_flat(F.transform(x["Activities"]["Activity"], lambda a: a["Lap"])), lambda lap: lap["Track"]))
     points = _flat(F.transform(tracks, lambda t: t["Trackpoint"]))
     one = F.transform(points, lambda p: _point(p["Time"], _inner(p["Extensions"], "Watts", "power", "PowerInWatts"), p["HeartRateBpm"]["Value"], p["DistanceMeters"], p["AltitudeMeters"], F.get(sport, F.lit(0))))
-    return F.when(x["_broken"].isNull() & text.rlike(_ENDED), F.coalesce(one, F.array().cast(_SAMPLES)))
+    return F.when(x.isNotNull() & x["_broken"].isNull(), F.coalesce(one, F.array().cast(_SAMPLES)))
 
 
-def gpx_points(text) -> Column:
-    """SRC-17: the track points of a GPX text as an array, null for a broken text; GPX has no distance."""
-    x = F.from_xml(text, GPX, XML)
+def gpx_points(x) -> Column:
+    """SRC-17: the track points of a parsed GPX text as an array, null for a broken one; GPX has no distance."""
     sport = F.filter(F.transform(x["trk"], lambda t: t["type"]), lambda s: s.isNotNull())
     points = _flat(F.transform(_flat(F.transform(x["trk"], lambda t: t["trkseg"])), lambda s: s["trkpt"]))
     one = F.transform(points, lambda p: _point(p["time"], _inner(p["extensions"], "Watts", "power", "PowerInWatts"), _inner(p["extensions"], "hr"), None, p["ele"], F.get(sport, F.lit(0))))
-    return F.when(x["_broken"].isNull() & text.rlike(_ENDED), F.coalesce(one, F.array().cast(_SAMPLES)))
+    return F.when(x.isNotNull() & x["_broken"].isNull(), F.coalesce(one, F.array().cast(_SAMPLES)))
 
 
 def _fit_points(data: bytes) -> pa.Array:
@@ -132,10 +130,14 @@ def track_points(files: DataFrame) -> DataFrame:
     """
     ship(files.sparkSession)
     opened = files.select("path", "content").mapInArrow(_opened, f"path string, kind string, text string, fit {_SAMPLES}")
-    points = F.when(F.col("kind") == "fit", F.col("fit")).when(F.col("kind") == "tcx", tcx_points(F.col("text"))).when(F.col("kind") == "gpx", gpx_points(F.col("text")))
-    points = F.filter(points, lambda p: p["ts"].isNotNull())
+    # each text is parsed once, by the schema of its kind
+    whole = lambda kind: F.when((F.col("kind") == kind) & F.col("text").rlike(_ENDED), F.col("text"))
+    opened = opened.select("path", "kind", "fit", F.from_xml(whole("tcx"), TCX, XML).alias("tcx"), F.from_xml(whole("gpx"), GPX, XML).alias("gpx"))
+    opened = opened.select("path", F.when(F.col("kind") == "fit", F.col("fit")).when(F.col("kind") == "tcx", tcx_points(F.col("tcx"))).when(F.col("kind") == "gpx", gpx_points(F.col("gpx"))).alias("p"))
+    points = F.filter("p", lambda p: p["ts"].isNotNull())
     bad = opened.select("path", points.alias("p")).select("path", F.when(F.col("p").isNull(), F.array(F.struct(F.lit(None).cast("int").alias("i"), F.lit(None).cast(_SAMPLES[6:-1]).alias("x")))).otherwise(F.transform("p", lambda p, i: F.struct(i.alias("i"), p.alias("x")))).alias("p"))
-    return bad.select("path", F.explode("p").alias("p")).select("path", "p.i", "p.x.*")
+    # explode_outer, as the filter that Spark infers for explode would parse the texts again
+    return bad.select("path", F.explode_outer("p").alias("p")).where("p is not null").select("path", "p.i", "p.x.*")
 
 
 def session_rows(points: DataFrame, user_id: str, source: str = "wahoo_fit") -> DataFrame:
