@@ -1,16 +1,24 @@
 """Near-duplicate cardio sessions: greedy resolution by priority, within a batch and against stored rows.
 
-Sessions can only be duplicates within one user, day and activity family, so each such group (a handful of rows) is
-folded on its own: rows in descending priority stay unless near to one that stayed. Nearness isn't transitive.
+Sessions can only be duplicates within one user, day and activity family. Rows are dealt by that group and sorted by
+descending priority; a pass over the sorted rows keeps each that isn't near to one kept before it in its group. Nearness
+isn't transitive. Of a group only what was kept is held, so one of a hundred thousand rows takes no more memory than
+its kept sessions, and Spark's sort spills.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import predicates as P
 from ..functions import scalars as S
+from ..session import ship
 
 START_MIN, DURATION_MIN, DISTANCE_MI = 15.0, 5.0, 0.15
 POWER_SOURCES = tuple(S.SOURCE_RANKS)
@@ -48,26 +56,75 @@ def power_key() -> Column:
     return F.struct(S.power_source_rank("source").alias("rank"), S.richness(power=True).alias("rich"), F.coalesce("source_id", F.lit("")).alias("id"))
 
 
-def _fold(df: DataFrame, key: Column, near) -> DataFrame:
-    """df's rows with `kept`."""
-    cols = df.columns
-    base = df.withColumn("__k", key).withColumn("__f", S.activity_family("activity_type"))
-    groups = base.groupBy("user_id", "event_date", "__f").agg(F.collect_list(F.struct("__k", F.struct(*cols).alias("r"))).alias("rows"))
-    better = lambda a, b: F.when(a["__k"] > b["__k"], -1).when(a["__k"] < b["__k"], 1).otherwise(0)
-    row = base.select(F.struct("__k", F.struct(*cols).alias("r")).alias("x")).schema["x"].dataType.simpleString()
-    empty = F.array().cast(f"array<{row}>")
-    kept = F.aggregate(F.array_sort("rows", better), empty, lambda acc, x: F.when(F.exists(acc, lambda k: near(x["r"], k["r"])), acc).otherwise(F.concat(acc, F.array(x))))
-    return groups.select(F.inline(kept)).select("r.*")
+class Kept:
+    """The sessions of a group that were kept so far."""
+
+    def __init__(self, power: bool):
+        self.power, self.starts, self.ids, self.timed, self.untimed = power, [], set(), [], []
+
+    def near(self, start: int | None, minutes: float, miles: float | None, source: str, source_id: str | None) -> bool:
+        """Is the session near to a kept one, as near_hub() or near_power() has it? start in microseconds."""
+        if self.power and (source, source_id) in self.ids:
+            return True
+        others = self.untimed
+        if start is None:
+            others = self.untimed + self.timed
+        else:
+            i = bisect_left(self.starts, start)  # the two kept starts around it
+            if any(abs(x - start) <= START_MIN * 60e6 for x in self.starts[max(0, i - 1) : i + 1]):
+                return True
+        return any(abs(minutes - m) <= DURATION_MIN and (self.power or miles is None or d is None or abs(miles - d) <= DISTANCE_MI) for m, d in others)
+
+    def add(self, start: int | None, minutes: float, miles: float | None, source: str, source_id: str | None) -> None:
+        if start is not None:
+            insort(self.starts, start)
+        (self.untimed if start is None else self.timed).append((minutes, miles))
+        if source_id is not None:
+            self.ids.add((source, source_id))
+
+
+def _keep(power: bool):
+    """Sorted rows with __allowed, __at, __min, and __n for their number -> those that stay."""
+
+    def run(batches):
+        group, kept, n = None, None, TaskContext.get().partitionId() << 33
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in ("user_id", "event_date", "__f", "__allowed", "__at", "__min", "distance_miles", "source", "source_id")]
+            stay = []
+            for user, day, family, allowed, *row in zip(*cols):
+                if (user, day, family) != group:
+                    group, kept = (user, day, family), Kept(power)
+                stays = not (allowed and kept.near(*row))
+                if stays and allowed:
+                    kept.add(*row)
+                stay.append(stays)
+            out = b.filter(pa.array(stay, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*[c for c, f in zip(out.columns, out.schema.names) if not f.startswith("__")], pa.array(range(n, n + out.num_rows), pa.int64())], names=[*[f for f in out.schema.names if not f.startswith("__")], "__n"])
+            n += out.num_rows
+
+    return run
+
+
+def _fold(df: DataFrame, key: Column, power: bool) -> DataFrame:
+    """df's rows that stay, with their number __n."""
+    ship(df.sparkSession)
+    allowed = F.col("source").isin(*POWER_SOURCES) if power else F.col("source") == "apple_health"
+    base = df.withColumns({"__k": key, "__f": S.activity_family("activity_type"), "__allowed": F.coalesce(allowed, F.lit(False)), "__at": F.unix_micros(F.col("started_at").cast("timestamp")), "__min": F.coalesce(F.col("duration_min").cast("double"), F.lit(0.0))})
+    # equal keys: by content, so that a task that runs again keeps the same rows
+    plain = [c for c, t in df.dtypes if not t.startswith(("map", "variant"))]
+    s = base.repartition("user_id", "event_date", "__f").sortWithinPartitions("user_id", "event_date", "__f", F.desc("__k"), F.xxhash64(*plain))
+    schema = T.StructType([*df.schema.fields, T.StructField("__n", T.LongType())])
+    return s.drop("__k").mapInArrow(_keep(power), schema)
 
 
 def dedupe_hub(df: DataFrame) -> DataFrame:
     """DED-01: hub sessions without the losing copies. All rows are taken to be the hub's."""
-    return _fold(df, hub_key(), near_hub)
+    return _fold(df, hub_key(), False).drop("__n")
 
 
 def dedupe_power(df: DataFrame) -> DataFrame:
     """DED-02: sessions of several sources without the losing copies."""
-    return _fold(df, power_key(), near_power)
+    return _fold(df, power_key(), True).drop("__n")
 
 
 def training_load_sessions(cardio: DataFrame, apply_dedup: bool = True) -> DataFrame:
@@ -88,17 +145,17 @@ def resolve(incoming: DataFrame, stored: DataFrame, power: bool = False, allow_s
     equal or better stored row drops the incoming one, else it replaces all of them. Without allow_supersede any
     stored duplicate drops the incoming row.
     """
-    key, near, fold = (power_key(), near_power, dedupe_power) if power else (hub_key(), near_hub, dedupe_hub)
+    key, near = (power_key(), near_power) if power else (hub_key(), near_hub)
     shape = lambda d, n: d.select("user_id", "event_date", S.activity_family("activity_type").alias("f"), key.alias(f"{n}_key"), F.struct(*d.columns).alias(n))
-    new = shape(fold(incoming), "new")
+    new = shape(_fold(incoming, key, power), "new")
     old = shape(stored, "old").withColumnRenamed("user_id", "u").withColumnRenamed("event_date", "d").withColumnRenamed("f", "g")
     j = new.join(old, (F.col("user_id") == F.col("u")) & (F.col("event_date") == F.col("d")) & (F.col("f") == F.col("g")) & near(F.col("new"), F.col("old")), "left")
     wins = F.col("new_key") > F.col("old_key") if allow_supersede else F.lit(False)
-    # the whole row is the key, as ids can be null or shared
-    state = j.groupBy("user_id", F.to_json("new", {"ignoreNullFields": "false"}).alias("row")).agg(
+    # by the row's number, as ids can be null or shared and rows equal
+    state = j.groupBy("user_id", F.col("new.__n").alias("row")).agg(
         F.first("new").alias("new"), F.coalesce(F.bool_and(F.when(F.col("old").isNotNull(), wins)), F.lit(True)).alias("insert"), F.collect_set("old.source_id").alias("gone"),
     ).where("insert")
-    return state.select("new.*"), state.select("user_id", F.explode("gone").alias("source_id")).distinct()
+    return state.select("new.*").drop("__n"), state.select("user_id", F.explode("gone").alias("source_id")).distinct()
 
 
 def drop_strength_mirrors(cardio: DataFrame, strength: DataFrame) -> DataFrame:

@@ -224,3 +224,81 @@ def test_scalar_functions(spark):
     assert [x[0] for x in f] == ["throwing", "run", "ride", "workout"]
     q = spark.createDataFrame([("Sure:\n```sql\nSELECT 1;\n```",)], "x string").select(S.fenced("x")).first()[0]
     assert q == "SELECT 1"
+
+
+def sessions(rng, n, sources, hours=24):
+    """Sessions of some users and days: with and without start, distance and id, equal rows, near ones."""
+    t0 = dt.datetime(2024, 6, 1)
+    out = []
+    for i in range(n):
+        day = rng.randrange(3)
+        start = t0 + dt.timedelta(days=day, minutes=rng.randrange(hours * 60)) if rng.random() < 0.8 else None
+        out.append({"user": rng.choice(["a", "b", None]), "source": rng.choice(sources), "id": rng.choice([None, f"{rng.randrange(n)}"]), "day": (t0 + dt.timedelta(days=day)).date(), "type": rng.choice(["Run", "Ride"]), "min": rng.choice([None, 20.0, 24.0, 31.0, 60.0]), "mi": rng.choice([None, 3.0, 3.1, 5.0]), "app": rng.choice(["Strava", "Fitbit", None]), "start": start, "w": rng.choice([None, 200.0])})
+        if rng.random() < 0.1:
+            out.append(dict(out[-1]))
+    return out
+
+
+def frame(spark, rows):
+    d = [(r["user"], r["source"], r["id"], r["day"], r["type"], r["min"], r["mi"], r["app"], r["start"], r["w"]) for r in rows]
+    return schemas.conform(spark.createDataFrame(d, "user_id string, source string, source_id string, event_date date, activity_type string, duration_min double, distance_miles double, source_app string, started_at timestamp, avg_watts double"), "cardio_events").repartition(5)
+
+
+def close(a, b, power):
+    minutes = abs((a["min"] or 0) - (b["min"] or 0)) <= 5
+    if power:
+        if a["source"] == b["source"] and a["id"] is not None and a["id"] == b["id"]:
+            return True
+    else:
+        minutes = minutes and (a["mi"] is None or b["mi"] is None or abs(a["mi"] - b["mi"]) <= 0.15)
+    if a["start"] and b["start"]:
+        return abs((a["start"] - b["start"]).total_seconds()) <= 900
+    return minutes
+
+
+def rank_of(r, power):
+    if power:
+        return ({"wahoo_fit": 50, "strava_export": 40, "strava": 25}[r["source"]], 2 * (r["mi"] is not None) + 5 * (r["w"] is not None), r["id"] or "")
+    pace = r["type"] == "Run" and r["min"] and r["mi"] and r["min"] * 60 / r["mi"]
+    return ({"Strava": 30, "Fitbit": 10, None: 15}[r["app"]], 0 if pace and not 210 <= pace <= 1080 else 1, 2 * (r["mi"] is not None), r["id"] or "")
+
+
+def test_greedy_resolution_without_starts_distances_and_ids(spark):
+    """Both kinds against a plain fold; keys of equal rank are told apart by ids, equal rows once."""
+    for power, sources in ((False, ["apple_health"]), (True, ["wahoo_fit", "strava_export", "strava"])):
+        rng = random.Random(7 + power)
+        rows = [r for r in sessions(rng, 400, sources) if r["id"] is not None or rng.random() < 0.2]
+        groups = {}
+        for r in rows:
+            groups.setdefault((r["user"], r["day"], r["type"]), []).append(r)
+        got = (cardio_dedup.dedupe_power if power else cardio_dedup.dedupe_hub)(frame(spark, rows)).collect()
+        left = {}
+        for r in got:
+            left.setdefault((r.user_id, r.event_date, r.activity_type), []).append({"source": r.source, "id": r.source_id, "min": r.duration_min, "mi": r.distance_miles, "app": r.source_app, "start": r.started_at, "w": r.avg_watts, "type": r.activity_type})
+        assert set(left) == set(groups) and len(got) < len(rows)
+        for g, members in groups.items():
+            # a greedy result: no two near, and whatever is missing is near to one kept of at least its rank
+            stay = left[g]
+            assert not any(close(a, b, power) for i, a in enumerate(stay) for b in stay[:i])
+            for r in members:
+                me = {k: v for k, v in r.items() if k not in ("user", "day")}
+                assert me in stay or any(close(r, k, power) and rank_of(k, power) >= rank_of(r, power) for k in stay), (g, r)
+
+
+def test_greedy_resolution_of_a_large_group(spark):
+    """A hundred thousand sessions of one user and day, in one pass that holds only those kept."""
+    df = spark.range(100_000).select(F.lit("u").alias("user_id"), F.lit("apple_health").alias("source"), F.format_string("%06d", "id").alias("source_id"), F.lit("2024-06-01").cast("date").alias("event_date"), F.lit("Run").alias("activity_type"), F.lit(30.0).alias("duration_min"), F.timestamp_seconds(1717200000 + F.pmod(F.xxhash64("id"), F.lit(86400))).alias("started_at"))
+    at = [(r.source_id, int(r.started_at.timestamp())) for r in df.select("source_id", "started_at").collect()]
+    kept = []
+    for i, t in sorted(at, reverse=True):
+        if all(abs(t - x) > 900 for _, x in kept):
+            kept.append((i, t))
+    assert {r.source_id for r in cardio_dedup.dedupe_hub(schemas.conform(df, "cardio_events")).collect()} == {i for i, _ in kept}
+
+
+def test_equal_incoming_rows_stay_two(spark):
+    """JOIN-06, JOIN-07: rows of sources that aren't resolved are all inserted, equal ones too."""
+    c = frame(spark, [{"user": "u", "source": "other", "id": None, "day": AS_OF, "type": "Run", "min": 30.0, "mi": None, "app": None, "start": None, "w": None}] * 2)
+    for power in (False, True):
+        new, gone = cardio_dedup.resolve(c, c.limit(0), power=power)
+        assert new.count() == 2 and gone.count() == 0 and new.columns == c.columns
