@@ -336,25 +336,28 @@ def heart_rate(block, avg, most) -> tuple[Column, Column]:
 
 
 def briefing_title(d) -> Column:
-    """PRJ-35: `Morning Check-In · Thursday, July 2`."""
+    """PRJ-35: the title with the day, as in `Morning Check-In · Sunday, March 9`."""
     return F.concat(F.lit("Morning Check-In · "), F.date_format(_c(d), "EEEE, MMMM d"))
 
 
 def without_last_question(note) -> Column:
-    """PRJ-35: a note without the questions at its end; as it was if nothing else would be left."""
-    text = F.regexp_replace(_c(note), r"\s+$", "")
-    parts = F.split(text, r"\n\n+")
-    said = F.split(F.element_at(parts, -1), r"(?<=[.!?])\s+")
-    last = F.coalesce(F.array_max(F.transform(said, lambda x, i: F.when(~x.endswith("?"), i + 1))), F.lit(0))
-    kept = F.concat_ws(" ", F.filter(F.transform(F.slice(said, F.lit(1), last), lambda x: F.trim(x)), lambda x: x != ""))
-    before = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    out = F.regexp_replace(F.array_join(F.when(kept != "", F.concat(before, F.array(kept))).otherwise(before), "\n\n"), r"\s+$", "")
-    return F.when(text.endswith("?") & (out != ""), out).otherwise(_c(note))
+    """PRJ-35: a note that ends in a question, up to the last full stop, exclamation mark or blank line before its last questions; as it was if nothing is left then."""
+    text = F.rtrim(F.translate(_c(note), "\t\r", "  "))
+    asked = F.regexp_replace(text, r"\s+$", "").endswith("?")
+    kept = F.regexp_replace(F.regexp_extract(text, r"(?s)\A(.*(?:[.!](?=\s)|\n(?=\n)))", 1), r"\s+$", "")
+    return F.when(asked & (kept != ""), kept).otherwise(_c(note))
+
+
+def _own_heading(line) -> Column:
+    """Is the line a heading, or the title by its letters?"""
+    letters = F.regexp_replace(F.lower(line), "[^a-z]", "")
+    return F.ltrim(line).startswith("#") | letters.startswith("morningcheckin")
 
 
 def briefing_text(note, d, glance=None) -> Column:
-    """PRJ-35: title, glance block if there is one, and the note without a heading or title of its own."""
-    n = F.regexp_replace(_c(note), r"^\n+", "")
-    body = F.trim(F.regexp_replace(n, r"^(?:\s*#[^\n]*|(?i:\s*#{0,6}\s*morning\s+check[- ]?in\b)[^\n]*)(?:\n\s*)*", ""))
+    """PRJ-35: title, glance block if there is one, and the note without a first line that is a heading or title of its own."""
+    n = F.regexp_replace(_c(note), r"\A\s+", "")
+    first = F.substring_index(n, "\n", 1)
+    body = F.regexp_replace(F.when(_own_heading(first), F.substr(n, F.length(first) + 2)).otherwise(n), r"\A\s+|\s+\z", "")
     parts = [F.concat(F.lit("# "), briefing_title(d)), *([_c(glance)] if glance is not None else []), F.when(body != "", body)]
     return F.concat_ws("\n\n", F.filter(F.array(*parts), lambda x: x.isNotNull()))

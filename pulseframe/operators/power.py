@@ -11,6 +11,11 @@ DURATIONS = (5, 15, 30, 60, 180, 300, 720, 1200, 1800, 3600)
 CP_DURATIONS = (300, 720, 1200, 1800)
 
 
+def _effort(watts: str) -> Column:
+    """Watts with null and NaN as 0."""
+    return F.coalesce(F.nanvl(F.col(watts).cast("double"), F.lit(0.0)), F.lit(0.0))
+
+
 def resample(samples: DataFrame, ride: str = "ride_id", at: str = "ts", watts: str = "watts", hold: int = 2) -> DataFrame:
     """WIN-15: ride, i (second from the start), watts: one row a second, the last value of a second, held for up to `hold` seconds."""
     s = samples.where(F.col(at).isNotNull()).select(ride, F.unix_timestamp(at).alias("sec"), F.unix_micros(F.col(at).cast("timestamp")).alias("us"), watts)
@@ -23,27 +28,20 @@ def resample(samples: DataFrame, ride: str = "ride_id", at: str = "ts", watts: s
 
 
 def mean_maximal(series: DataFrame, ride: str = "ride_id", durations=DURATIONS) -> DataFrame:
-    """WIN-16: ride, duration, watts: the best mean over each duration no longer than the ride; null counts as 0."""
+    """WIN-16, ARR-04: ride, duration, watts: the best mean over each duration no longer than the ride; null and NaN count as 0."""
     w = Window.partitionBy(ride).orderBy("i")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     # one running sum; each duration is a difference of two of its values
-    d = series.withColumns({"sum_": F.sum(F.coalesce(F.col("watts"), F.lit(0.0))).over(upto), "n_": F.row_number().over(w)})
+    d = series.withColumns({"sum_": F.sum(_effort("watts")).over(upto), "n_": F.row_number().over(w)})
     d = d.withColumns({f"d{k}": F.when(F.col("n_") >= k, (F.col("sum_") - F.lag("sum_", k, 0.0).over(w)) / k) for k in durations})
     g = d.groupBy(ride).agg(*[F.max(f"d{k}").alias(str(k)) for k in durations])
     return g.unpivot([ride], [str(k) for k in durations], "duration", "watts").where("watts is not null").withColumn("duration", F.col("duration").cast("int"))
 
 
-def best_mean(x: Column, k: int) -> Column:
-    """WIN-16, ARR-04 within an array, by prefix sums."""
-    sums = F.aggregate(x, F.array(F.lit(0.0)), lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + F.coalesce(v, F.lit(0.0)))))
-    best = F.array_max(F.transform(F.slice(sums, k + 1, F.size(sums)), lambda v, i: (v - F.get(sums, i)) / k))
-    return F.when(F.size(x) >= k, best)
-
-
 def normalized(series: DataFrame, ride: str = "ride_id", window: int = 30) -> DataFrame:
-    """WIN-17: the fourth root of the mean fourth power of the 30-second means; null for shorter rides."""
+    """WIN-17: the fourth root of the mean fourth power of the 30-second means; null, NaN and negative watts count as 0; null for shorter rides."""
     w = Window.partitionBy(ride).orderBy("i").rowsBetween(-(window - 1), 0)
-    v = F.coalesce(F.col("watts"), F.lit(0.0))
+    v = F.greatest(_effort("watts"), F.lit(0.0))
     d = series.withColumn("m", F.when(F.count("i").over(w) == window, F.avg(v).over(w)))
     return d.groupBy(ride).agg(F.pow(F.avg(F.pow("m", F.lit(4.0))), F.lit(0.25)).alias("normalized_power"))
 

@@ -187,13 +187,13 @@ def prj_richness(spark, sf):
     return T.cardio(spark, sf).select("source_id", S.richness().alias("hub"), S.richness(power=True).alias("power"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'First part.' ELSE 'First part. Second!' END AS said, '# Morning Check-In · Thursday, July 2' || chr(10) || chr(10) || role AS whole, CASE WHEN turn % 2 = 0 THEN 'SELECT ' || turn ELSE 'select ' || role END AS statement FROM conversations""")
+@query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'First part.' ELSE 'First part. Second!' END AS said, '# Morning Check-In · Sunday, March 9' || chr(10) || chr(10) || role AS whole, CASE WHEN turn % 2 = 0 THEN 'SELECT ' || turn ELSE 'select ' || role END AS statement FROM conversations""")
 def prj_briefing_text(spark, sf):
     """PRJ-34, PRJ-35."""
     c = T.table(spark, sf, "conversations")
     note = F.when(F.col("turn") % 2 == 0, "First part. And how was it?").otherwise("First part. Second! Why? Really?\n")
     fenced = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Sure:\n```sql\nSELECT "), F.col("turn").cast("string"), F.lit(";\n```\nDone."))).otherwise(F.concat(F.lit("  select "), F.col("role"), F.lit(" ; ")))
-    return c.select("conv_id", "turn", S.without_last_question(note).alias("said"), S.briefing_text(F.concat(F.lit("## Morning check-in\n\n"), F.col("role")), F.lit("2026-07-02").cast("date")).alias("whole"), F.trim(S.fenced(fenced)).alias("statement"))
+    return c.select("conv_id", "turn", S.without_last_question(note).alias("said"), S.briefing_text(F.concat(F.lit("## Morning check-in\n\n"), F.col("role")), F.lit("2025-03-09").cast("date")).alias("whole"), F.trim(S.fenced(fenced)).alias("statement"))
 
 
 @query("""SELECT o_orderkey, o_orderkey % 3 <> 0 AND CAST(o_orderdate AS DATE) >= DATE '1996-01-01' AND (o_orderkey % 2 = 0 OR CAST(o_orderdate AS DATE) <= DATE '1998-01-01') AS in_effect, o_orderkey % 4 = 1 AS affected, o_orderkey % 3 = 0 AND o_orderkey % 2 = 1 AS pattern FROM orders""")

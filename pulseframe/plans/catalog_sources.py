@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..sources import paged
 from . import testmap as T
 from .catalog import query
-from .catalog_more import scratch
+from .catalog_more import _greedy, _HUB, _HUB_KEY, scratch
 
 ITEM = "struct<o_orderkey:long,o_custkey:long,o_orderstatus:string,o_totalprice:double>"
 
@@ -156,3 +156,33 @@ def src_replay(spark, sf):
     files.land(payloads(e, "2024-01-01", 0), at)
     raw = files.landed(spark, at).withColumn("user_id", F.col("user_id").cast("string"))
     return files.replay(raw, vendors.workouts, ("day", "path")).select("user_id", "source_id", "duration_min")
+
+
+# --- streams
+
+def _replayed(spark, sf, files: int = 6) -> str:
+    """The hub's sessions in several files, shuffled, a third of them once more."""
+    c = T.cardio(spark, sf).where("source = 'apple_health'")
+    more = c.where(F.pmod(F.xxhash64("source_id"), F.lit(3)) == 0).withColumn("again", F.lit(1))
+    d = c.withColumn("again", F.lit(0)).unionByName(more).withColumn("part", F.pmod(F.xxhash64("source_id", "again", F.lit(7)), F.lit(files)))
+    at = scratch(spark, "pulseframe-replay")
+    d.drop("again").repartition("part").write.partitionBy("part").parquet(at)
+    return at
+
+
+@query("SELECT user_id, source_id FROM cardio WHERE source_id IN (SELECT source_id FROM hubk)", "", (T.CARDIO, _HUB, _greedy("hubk", "hub", _HUB_KEY)))
+def str_resolution(spark, sf):
+    """STR-06, DED-01: the hub's sessions as a stream of shuffled files with repeats, resolved in state; the last state of each."""
+    from ..streaming import resolve
+
+    c = T.cardio(spark, sf)
+    at, out = _replayed(spark, sf), scratch(spark, "pulseframe-resolution")
+    s = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 2).option("recursiveFileLookup", "true").parquet(at)
+
+    def keep(df, n):
+        df.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{out}/changes")
+
+    q = resolve.resolve_stream(s, late_days=3650).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    changes = spark.read.schema(f"{resolve.CHANGES}, batch long").parquet(f"{out}/changes")
+    return resolve.current(changes).select("user_id", "source_id")
