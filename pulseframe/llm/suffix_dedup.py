@@ -494,13 +494,19 @@ def _cover(size: int, v: np.ndarray) -> np.ndarray:
     return np.cumsum(step)[:size] > 0
 
 
+def _beside(units: DataFrame, lists: DataFrame, buckets: int, out: str, how: str = "inner") -> DataFrame:
+    """units with each one's rows of lists as the array `out`; both sides are dealt over `buckets` tasks, which grow with the input."""
+    name = next(c for c in lists.columns if c != "unit") if len(lists.columns) == 2 else None
+    item = F.col(name) if name else F.struct(*[c for c in lists.columns if c != "unit"])
+    return units.repartition(buckets, "unit").join(lists.repartition(buckets, "unit").groupBy("unit").agg(F.collect_list(item).alias(out)), "unit", how)
+
+
 def _round(units: DataFrame, least: int, k: int, buckets: int) -> DataFrame:
     """One round: the units' ranks of k bytes are dealt, sorted and marked; the units narrowed to what isn't unique."""
     marks = units.mapInArrow(_emit(least, k, buckets), "bucket long, unit long, list binary").repartition(buckets, "bucket")
     marks = cut(marks.mapInArrow(_rerank, "unit long, bucket long, bits binary"), "ranks")
     release(units.sparkSession)
-    by = marks.groupBy("unit").agg(F.collect_list(F.struct("bucket", "bits")).alias("marks"))
-    out = cut(units.join(by, "unit").mapInArrow(_narrow(least, k, buckets), "unit long, blob binary"), "open")
+    out = cut(_beside(units, marks, buckets, "marks").mapInArrow(_narrow(least, k, buckets), "unit long, blob binary"), "open")
     drop_cut(marks)
     release(units.sparkSession)
     return out
@@ -522,14 +528,13 @@ def _spans(df: DataFrame, least: int, text: str, buckets: int) -> DataFrame:
     found = open_.mapInArrow(_last(least, buckets), LAST).repartition(buckets, "bucket").mapInArrow(_decide(least), FOUND)
     found = cut(found, "found")
     release(spark)
-    todo = found.where("open is not null").groupBy("unit").agg(F.collect_list("open").alias("open"))
-    late = open_.join(todo, "unit").mapInArrow(_bytes_pass(least, buckets), "bucket long, blob binary")
+    late = _beside(open_, found.where("open is not null").select("unit", "open"), buckets, "open").mapInArrow(_bytes_pass(least, buckets), "bucket long, blob binary")
     late = late.repartition(buckets, "bucket").mapInArrow(_windows(least), "unit long, spans binary")
     done = cut(found.where("spans is not null").select("unit", "spans").union(late), "spans")
     drop_cut(found)
     drop_cut(open_)
     release(spark)
-    return units.join(done.groupBy("unit").agg(F.collect_list("spans").alias("all")), "unit", "left")
+    return _beside(units, done, buckets, "all", "left")
 
 
 def _rewritten(body, each):
