@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources import paged
 from . import testmap as T
-from .catalog import query
+from .catalog import _LONG, query
 from .catalog_more import _greedy, _HUB, _HUB_KEY, scratch
 
 ITEM = "struct<o_orderkey:long,o_custkey:long,o_orderstatus:string,o_totalprice:double>"
@@ -186,3 +186,38 @@ def str_resolution(spark, sf):
     q.awaitTermination()
     changes = spark.read.schema(f"{resolve.CHANGES}, batch long").parquet(f"{out}/changes")
     return resolve.current(changes).select("user_id", "source_id")
+
+
+# --- statistics kept by months
+
+_WIDE = "lw AS (SELECT user_id, CAST(DATE '2024-01-01' + CAST(5 * (d - DATE '2024-01-01') AS INTEGER) AS DATE) AS d, metric, value FROM lg)"
+
+
+@query("""SELECT user_id, d AS metric_date, metric, value, n AS sample_n, (value - m) / s AS score, 'z' AS kind FROM (SELECT *, count(value) OVER w AS n, avg(value) OVER w AS m, stddev_samp(value) OVER w AS s FROM lw WINDOW w AS (PARTITION BY user_id, metric ORDER BY d RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAYS PRECEDING)) WHERE metric <> 'steps' AND n >= 5 AND s > 0 AND abs((value - m) / s) > 2
+ UNION ALL SELECT l.user_id, l.d, l.metric, l.value, q.n, CASE WHEN value > q3 THEN q3 ELSE q1 END, 'iqr' FROM lw l JOIN (SELECT a.d AS day, b.user_id, b.metric, count(*) AS n, quantile_cont(b.value, 0.25) AS q1, quantile_cont(b.value, 0.75) AS q3 FROM (SELECT max(d) AS d FROM lw GROUP BY date_trunc('month', d)) a JOIN lw b ON b.d < a.d GROUP BY 1, 2, 3) q ON q.user_id = l.user_id AND q.metric = l.metric AND q.day = l.d WHERE n >= 5 AND q3 > q1 AND (value > q3 + 1.5 * (q3 - q1) OR value < q1 - 1.5 * (q3 - q1))""", "value score", (T.METRICS, _LONG, _WIDE))
+def win_monthly_state(spark, sf):
+    """WIN-07, WIN-08 from moments and counts kept by months: of every day the z-scores, of each month's last day the fences. Days lie five apart, to have several months."""
+    import datetime as dt
+
+    from ..operators import running, stats
+    from ..sinks.store import Store
+
+    m = T.metrics(spark, sf)
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.datediff("metric_date", F.lit("2024-01-01").cast("date")) * 5)
+    store, out = Store(spark, scratch(spark, "pulseframe-state")), None
+    store.replace("daily_health_metrics", m.withColumn("metric_date", day))
+    ends = sorted(r[0] for r in store.read("daily_health_metrics").groupBy(F.trunc("metric_date", "month")).agg(F.max("metric_date").alias("d")).select("d").collect())
+    z_of, iqr_of = ("hrv_rmssd", "sleep_hours", "resting_hr"), ("hrv_rmssd", "sleep_hours", "resting_hr", "steps")
+    for end in ends:  # one month after the other, as the daily job goes
+        first = end.replace(day=1)
+        with store.transaction() as t:
+            t.derive("metric_moments", "daily_health_metrics", lambda d: running.moments(stats.to_long(d, z_of)), f"{end:%Y-%m}")
+            t.derive("metric_counts", "daily_health_metrics", lambda d: running.counts(stats.to_long(d, iqr_of)), f"{end:%Y-%m}")
+        month, until = store.read("daily_health_metrics", first, end), first - dt.timedelta(days=1)
+        z = running.z_scores(running.merged(store.read("metric_moments", until=until)), stats.to_long(month, z_of), least=5)
+        q = running.quartiles(store.read("metric_counts", until=until).select("user_id", "metric", "value", "n").unionByName(stats.to_long(month, iqr_of).where(F.col("d") < F.lit(end)).select("user_id", "metric", "value", F.lit(1).cast("long").alias("n"))))
+        i = running.iqr_outliers(store.read("metric_counts", until=until), stats.to_long(month, iqr_of), end.isoformat(), least=5).join(q.select("user_id", "metric", F.col("n").alias("sample_n")), ["user_id", "metric"])
+        z = z.select("user_id", "metric_date", "metric", "value", "sample_n", F.col("z").alias("score"), F.lit("z").alias("kind"))
+        i = i.select("user_id", "metric_date", "metric", "value", "sample_n", F.when(F.col("value") > F.col("q3"), F.col("q3")).otherwise(F.col("q1")).alias("score"), F.lit("iqr").alias("kind"))
+        out = z.unionByName(i) if out is None else out.unionByName(z).unionByName(i)
+    return out

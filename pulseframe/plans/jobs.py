@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import scalars as S
 from ..session import ship
-from ..operators import features, goals, joins, pace, power, rules, sleep, stats, strength
+from ..operators import features, goals, joins, pace, power, rules, running, sleep, stats, strength
 from ..sinks.store import Store
 from ..sinks.tables import replace_patterns
 
@@ -95,19 +95,24 @@ def run_daily(store: Store, day: date, llm=None, send=None) -> Report:
         store.upsert("daily_goal_snapshot", s)
 
     def signals():
-        m = store.read("daily_health_metrics", until=day)
-        today = F.lit(day).cast("date")
+        # earlier months as moments and counts, made again only where their days changed; the days of this month
+        first, today = day.replace(day=1), F.lit(day).cast("date")
+        with store.transaction() as t:
+            t.derive("metric_moments", "daily_health_metrics", lambda d: running.moments(stats.to_long(d, stats.Z_METRICS)), f"{day:%Y-%m}")
+            t.derive("metric_counts", "daily_health_metrics", lambda d: running.counts(stats.to_long(d, stats.IQR_METRICS)), f"{day:%Y-%m}")
+        month = store.read("daily_health_metrics", first, day)
         last = store.read("daily_health_metrics", day - timedelta(days=max(stats.BASELINE_WINDOWS)), day)
         store.upsert("metric_baselines", stats.baselines(stats.to_long(last, stats.BASELINE_METRICS)).where(F.col("metric_date") == today))
-        z = stats.z_scores(stats.to_long(m, stats.Z_METRICS)).where(F.col("metric_date") == today)
-        rows = stats.anomaly_rows(z, stats.iqr_outliers(stats.to_long(m, stats.IQR_METRICS), day.isoformat()))
+        past = lambda table: store.read(table, until=first - timedelta(days=1))
+        z = running.z_scores(running.merged(past("metric_moments")), stats.to_long(month, stats.Z_METRICS)).where(F.col("metric_date") == today)
+        rows = stats.anomaly_rows(z, running.iqr_outliers(past("metric_counts"), stats.to_long(month, stats.IQR_METRICS), day.isoformat()))
         # of the day's month only
         scope = store.read("anomaly_events", day, day).where(F.col("anomaly_type") == "statistical")
         with store.transaction() as t:
             t.replace_matching("anomaly_events", rows, scope, ["user_id", "detected_date", "anomaly_type"])
 
     def write():
-        made["briefing"] = briefing(store.read("daily_features", until=day), made["flags"], day.isoformat(), llm)
+        made["briefing"] = briefing(store.read("daily_features", day, day), made["flags"], day.isoformat(), llm)
         store.upsert("daily_briefings", made["briefing"])
 
     def hand_over():

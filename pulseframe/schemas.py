@@ -22,6 +22,8 @@ TABLES = {
     "daily_briefings": "user_id string, briefing_date date, flags array<string>, recommendations string, features_json string, anomalies string, coaching_note string, model_used string",
     "anomaly_events": "user_id string, detected_date date, metric string, anomaly_type string, description string, severity string, context_json string",
     "metric_baselines": "user_id string, metric_date date, metric string, window_days int, mean_value double, stdev_value double, sample_n int, updated_at timestamp",
+    "metric_moments": "user_id string, metric string, month date, n bigint, mean double, m2 double",
+    "metric_counts": "user_id string, metric string, month date, value double, n bigint",
     "metric_patterns": "user_id string, metric_a string, metric_b string, lag_days int, correlation double, sample_n int, status string, description string, last_confirmed_at timestamp",
     "goals": "user_id string, goal_type string, target_min double, target_max double, target_label string, period string, is_active boolean, effective_from date, effective_until date, updated_at timestamp",
     "running_sessions": "user_id string, source string, source_id string, session_date date, run_type string, distance_km double, duration_min double",
@@ -38,7 +40,7 @@ TABLES = {
 KEYS = {
     "user_settings": ["user_id"], "strength_events": ["user_id", "source_id"], "cardio_events": ["user_id", "source_id"], "biometrics": ["user_id", "source", "event_date", "metric"],
     "daily_health_metrics": ["user_id", "metric_date"], "daily_features": ["user_id", "feature_date"], "daily_briefings": ["user_id", "briefing_date"],
-    "metric_baselines": ["user_id", "metric_date", "metric", "window_days"], "metric_patterns": ["user_id", "metric_a", "metric_b", "lag_days"], "goals": ["user_id", "goal_type"],
+    "metric_baselines": ["user_id", "metric_date", "metric", "window_days"], "metric_moments": ["user_id", "metric", "month"], "metric_counts": ["user_id", "metric", "month", "value"], "metric_patterns": ["user_id", "metric_a", "metric_b", "lag_days"], "goals": ["user_id", "goal_type"],
     "running_sessions": ["user_id", "source", "source_id"], "weekly_activity_summary": ["user_id", "week_start"], "daily_goal_snapshot": ["user_id", "snapshot_date"], "provider_connections": ["user_id", "provider"],
 }
 

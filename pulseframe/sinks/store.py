@@ -47,7 +47,7 @@ class Transaction:
     def __init__(self, store: Store, stream: str | None = None, batch: int | None = None):
         self.store, self.spark = store, store.spark
         self.number, state = store._state()
-        self.tables: dict = {k: {"buckets": v["buckets"], "parts": dict(v["parts"])} for k, v in state["tables"].items()}
+        self.tables: dict = {k: {"buckets": v["buckets"], "parts": dict(v["parts"]), "from": dict(v["from"])} for k, v in state["tables"].items()}
         self.batches = state["batches"] | ({stream: batch} if stream is not None and batch is not None else {})
         self.made: list[str] = []
         self.changed = batch is not None
@@ -72,7 +72,7 @@ class Transaction:
     # --- parts
 
     def _entry(self, table: str) -> dict:
-        return self.tables.setdefault(table, {"buckets": self.store.buckets if bucketed(table) else None, "parts": {}})
+        return self.tables.setdefault(table, {"buckets": self.store.buckets if bucketed(table) else None, "parts": {}, "from": {}})
 
     def _part(self, table: str) -> Column:
         if day := day_of(table):
@@ -146,6 +146,17 @@ class Transaction:
             entry["parts"] = {p: f for p, f in entry["parts"].items() if p not in parts} | made
             self.changed = True
 
+    def derive(self, table: str, source: str, make: Callable[[DataFrame], DataFrame], before: str = "~") -> set[str]:
+        """Make the months of `table` again whose months of `source` changed since, as make(their rows); which ones.
+
+        The log has the folder that each month was made from, so what is out of date is known without reading rows.
+        """
+        entry, parts = self._entry(table), self._entry(source)["parts"]
+        stale = {p for p in {*parts, *entry["from"]} if p < before and parts.get(p) != entry["from"].get(p)}
+        self.rewrite(table, stale, lambda _: make(self._rows(source, stale)))
+        entry["from"] = {p: f for p, f in entry["from"].items() if p not in stale} | {p: parts[p] for p in stale if p in parts}
+        return stale
+
     def _merge(self, table: str, rows: DataFrame, how) -> None:
         key = schemas.KEYS[table]
         new = self.stage(T.checked(rows, key), table)
