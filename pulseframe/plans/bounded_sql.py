@@ -1,16 +1,18 @@
 """A guard for ad-hoc SQL: one read-only SELECT over one of the tenant's tables, at most 500 rows.
 
 The statement is parsed by Spark's own parser and its unresolved plan is walked; what isn't allowed by name is
-refused. It then runs over views that hold the tenant's rows only, so even a statement that slipped through the
-guard sees nothing else.
+refused. It then runs in a session of its own, whose views hold the tenant's rows only, so even a statement that slipped
+through the guard sees nothing else, and statements of several tenants at once don't share names. Rows are fetched within a
+time limit, after which the statement's jobs are cancelled by their tag.
 """
 
 from __future__ import annotations
 
 import re
 import threading
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Tables that may be read (fixed values).
@@ -21,13 +23,17 @@ PLANS = {"Project", "Filter", "Sort", "GlobalLimit", "LocalLimit", "Aggregate",
 FUNCTIONS = {"reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length", "current_user", "user", "session_user", "current_database", "current_schema", "current_catalog", "version", "uuid", "rand", "randn", "raise_error", "assert_true", "sleep", "read_files", "monotonically_increasing_id", "spark_partition_id"}
 
 
-_views = threading.Lock()
+SECONDS = 15.0
 
 
 class Refused(ValueError):
     """The statement isn't allowed."""
 
 
+class TimeLimit(RuntimeError):
+    """The statement took too long and was cancelled."""
+
+
 def check(spark: SparkSession, sql: str, user_id: str) -> str:
     """SQL-01: the statement, limited to 500 rows; Refused with a reason."""
     text = re.sub(r";\s*$", "", sql.strip())
@@ -107,27 +113,56 @@ def check(spark: SparkSession, sql: str, user_id: str) -> str:
     return text if int(limit) <= MOST else f"SELECT * FROM ({text}) LIMIT {MOST}"
 
 
-def tenant_views(spark: SparkSession, tables: dict[str, DataFrame], user_id: str) -> None:
-    """SQL-03: temporary views of the tenant's rows."""
+def tenant_session(spark: SparkSession, tables: dict[str, DataFrame], user_id: str) -> SparkSession:
+    """SQL-03: a new session with views of the tenant's rows under the tables' names."""
+    own = spark.newSession()
     for name, df in tables.items():
-        df.where(F.col("user_id") == user_id).createOrReplaceTempView(name)
+        shared = f"tenant_{uuid.uuid4().hex}"
+        df.where(F.col("user_id") == user_id).createGlobalTempView(shared)
+        try:  # the view takes the plan over, so the shared name can go
+            own.table(f"global_temp.{shared}").createOrReplaceTempView(name)
+        finally:
+            spark.catalog.dropGlobalTempView(shared)
+    return own
 
 
 def run(spark: SparkSession, sql: str, tables: dict[str, DataFrame], user_id: str) -> DataFrame:
-    """SQL-02: the checked statement's rows."""
-    text = check(spark, sql, user_id)
-    with _views:  # names belong to the session; a statement is bound to its own tenant's rows before the next one's come
-        tenant_views(spark, tables, user_id)
-        return spark.sql(text)
+    """SQL-02: the checked statement's rows, not yet computed."""
+    return tenant_session(spark, tables, user_id).sql(check(spark, sql, user_id))
+
+
+def fetch(spark: SparkSession, sql: str, tables: dict[str, DataFrame], user_id: str, seconds: float = SECONDS) -> list[Row]:
+    """SQL-02: the checked statement's rows, at most 500; TimeLimit if that takes longer than `seconds`."""
+    df, sc, tag, over, done = run(spark, sql, tables, user_id), spark.sparkContext, f"bounded-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+
+    def watch():
+        if not done.wait(seconds):
+            over.set()
+            while not done.wait(0.2):  # jobs that the statement starts meanwhile go too
+                sc.cancelJobsWithTag(tag)
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    sc.addJobTag(tag)
+    watcher.start()
+    try:
+        return df.collect()
+    except Exception as e:
+        if over.is_set():
+            raise TimeLimit(f"more than {seconds:g} seconds") from e
+        raise
+    finally:
+        done.set()
+        sc.removeJobTag(tag)
+        watcher.join()
 
 
-def ask(spark: SparkSession, question: str, tables: dict[str, DataFrame], user_id: str, llm, shown: int = 20) -> dict:
+def ask(spark: SparkSession, question: str, tables: dict[str, DataFrame], user_id: str, llm, shown: int = 20, seconds: float = SECONDS) -> dict:
     """SQL-02: an injected `llm(system, text)` writes the statement and words the answer; errors come back as ok=False."""
     reply = llm("Write one SELECT.", question)
     found = re.search(r"(?s)```(?:sql)?\s*\n?(.*?)```", reply)
     sql = (found[1] if found else reply).strip()
     try:
-        rows = [r.asDict() for r in run(spark, sql, tables, user_id).collect()]
+        rows = [r.asDict() for r in fetch(spark, sql, tables, user_id, seconds)]
     except Exception as e:
         return {"ok": False, "error": str(e)[:500], "sql": sql, "rows": []}
     return {"ok": True, "sql": sql, "rows": rows, "summary": llm("Sum up.", repr(rows[:shown]))}

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..sources import paged
 from . import testmap as T
-from .catalog import _LONG, query
-from .catalog_more import _greedy, _HUB, _HUB_KEY, scratch
+from .catalog import _LONG, _REC, TIE, _queries, _sql, query
+from .catalog_more import _greedy, _HUB, _HUB_KEY, _UNIT, scratch
 
 ITEM = "struct<o_orderkey:long,o_custkey:long,o_orderstatus:string,o_totalprice:double>"
 
@@ -221,3 +221,37 @@ def win_monthly_state(spark, sf):
         i = i.select("user_id", "metric_date", "metric", "value", "sample_n", F.when(F.col("value") > F.col("q3"), F.col("q3")).otherwise(F.col("q1")).alias("score"), F.lit("iqr").alias("kind"))
         out = z.unionByName(i) if out is None else out.unionByName(z).unionByName(i)
     return out
+
+
+# --- functions of SQL
+
+def sql_units(spark, sf):
+    """PRJ-07 to PRJ-12, PRJ-36 through spark.sql: the rows of prj_units."""
+    from ..functions import registry
+
+    own = spark.newSession()
+    registry.register(own)
+    own.read.parquet(f"{sf}/events.parquet").createOrReplaceTempView("events")
+    unit = _UNIT.replace("'Meters' END", "'Meters' END AS u")
+    return own.sql(f"""SELECT event_id, round(quantity_to_miles(value, u), 6) + 0.0 AS miles, round(quantity_to_feet(value, u), 6) + 0.0 AS feet, round(mass_to_lb(value, if(event_id % 2 = 0, 'KG', 'lb')), 6) + 0.0 AS lb, round(sleep_hours_of(value * 10, NULL), 6) + 0.0 AS sleep,
+ round(stage_hours(value * 40, CASE event_id % 4 WHEN 0 THEN 'min' WHEN 1 THEN 'seconds' WHEN 2 THEN 'hr' END), 6) + 0.0 AS stage, round(kilocalories(value, if(event_id % 2 = 0, 'kJ', 'kcal')), 6) + 0.0 AS kcal, pace_seconds(value * 60, CAST(event_id % 20 AS DOUBLE)) AS pace, round(km_to_miles(value), 6) + 0.0 AS km_miles
+ FROM (SELECT *, {unit} FROM events)""")
+
+
+# the SQL of prj_units, without what settles its exact halves
+_queries["sql_units"], _sql["sql_units"] = sql_units, _sql["prj_units"].replace(f" + {TIE}", "")
+
+
+@query("SELECT user_id, metric_date, CASE WHEN recovery_sleep_days_7d > 0 OR recovery_hrv_days_7d > 0 THEN greatest(0, least(100, 100 - least(40, coalesce(sleep_debt_7d * 4, 0)) - least(40, hrv_suppressed_days * 8))) END AS readiness, CAST(date_trunc('week', metric_date) AS DATE) AS week FROM re", "readiness", (T.METRICS, _REC))
+def sql_readiness(spark, sf):
+    """SCO-02, PRJ-05 through spark.sql, with a table function as the calendar."""
+    from ..functions import registry
+    from ..operators import features
+
+    registry.register(spark)
+    features.recovery(T.metrics(spark, sf)).createOrReplaceTempView("pulseframe_recovery")
+    try:
+        return spark.sql("""SELECT user_id, metric_date, readiness(sleep_debt_7d, CAST(hrv_suppressed_days AS INT), NULL, CAST(recovery_sleep_days_7d AS INT), CAST(recovery_hrv_days_7d AS INT)) AS readiness, c.week
+ FROM pulseframe_recovery r JOIN day_spine(DATE '2023-01-01', DATE '2025-12-31') c ON c.day = r.metric_date""")
+    finally:
+        spark.catalog.dropTempView("pulseframe_recovery")

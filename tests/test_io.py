@@ -178,6 +178,32 @@ def test_bounded_sql(spark):
     assert not bounded_sql.ask(spark, "?", tables, "u", lambda a, b: "DROP TABLE x")["ok"]
 
 
+def test_statements_have_a_time_limit_and_sessions_of_their_own(spark):
+    import threading
+    import time
+
+    endless = spark.range(0, 1 << 60, 1, 4).select(F.lit("u").alias("user_id"), F.col("id").cast("double").alias("sleep_hours"))
+    t = time.time()
+    with pytest.raises(bounded_sql.TimeLimit):
+        bounded_sql.fetch(spark, "SELECT sum(sleep_hours) FROM daily_health_metrics WHERE user_id = 'u'", {"daily_health_metrics": endless}, "u", seconds=2)
+    assert time.time() - t < 20 and not spark.sparkContext.statusTracker().getActiveJobsIds()
+    said = bounded_sql.ask(spark, "?", {"daily_health_metrics": endless}, "u", lambda a, b: "SELECT sum(sleep_hours) FROM daily_health_metrics WHERE user_id = 'u'", seconds=1)
+    assert not said["ok"] and "more than 1 seconds" in said["error"]
+    m = spark.createDataFrame([(u, float(i)) for u in "abcd" for i in range(ord(u))], "user_id string, sleep_hours double")
+    got = {}
+
+    def one(u):
+        got[u] = [bounded_sql.fetch(spark, f"SELECT user_id, count(*) AS n FROM daily_health_metrics WHERE user_id = '{u}' GROUP BY user_id", {"daily_health_metrics": m}, u)[0] for _ in range(3)]
+
+    threads = [threading.Thread(target=one, args=(u,)) for u in "abcd"]
+    for x in threads:
+        x.start()
+    for x in threads:
+        x.join()
+    assert {u: {(r.user_id, r.n) for r in rows} for u, rows in got.items()} == {u: {(u, ord(u))} for u in "abcd"}
+    assert not [x for x in spark.catalog.listTables() if x.name == "daily_health_metrics"]
+
+
 def seeded(spark, root):
     s = Store(spark, str(root))
     s.replace("user_settings", spark.createDataFrame([("u",), ("v",)], "user_id string"))
