@@ -430,7 +430,7 @@ def snk_insert_if_absent(spark, sf):
 
 
 def _all() -> None:
-    from . import catalog_more, catalog_sources  # noqa: F401  they register their queries
+    from . import catalog_composed, catalog_more, catalog_sources  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

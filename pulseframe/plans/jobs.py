@@ -15,18 +15,27 @@ from ..sinks.store import Store
 from ..sinks.tables import replace_patterns
 
 
-def context_document(parts: dict[str, DataFrame], as_of) -> DataFrame:
-    """SCO-15: one JSON document a user of each part's latest row (dated parts) or list; empty sections are left out."""
+def context_sections(parts: dict[str, DataFrame], as_of) -> DataFrame:
+    """SCO-15: a row a user with a struct of each dated part's latest row, and a sorted list of each other part's rows."""
     out = None
     for name, df in parts.items():
         dated = next((c for c in ("metric_date", "feature_date", "snapshot_date", "week_start", "briefing_date") if c in df.columns), None)
         if dated:
             d = joins.latest_row(df, dated, as_of)
-            d = d.select("user_id", F.to_json(F.struct(*[c for c in d.columns if c != "user_id"])).alias(name))
+            d = d.select("user_id", F.struct(*[c for c in d.columns if c != "user_id"]).alias(name))
         else:
-            d = df.groupBy("user_id").agg(F.to_json(F.array_sort(F.collect_list(F.to_json(F.struct(*[c for c in df.columns if c != "user_id"]))))).alias(name))
+            # maps have no order, the other columns put the rows in one
+            plain = [c for c, t in df.dtypes if c != "user_id" and "map<" not in t and "variant" not in t]
+            row = F.struct(F.struct(*plain).alias("o"), F.struct(*[c for c in df.columns if c != "user_id"]).alias("r"))
+            d = df.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["r"]).alias(name))
         out = d if out is None else out.join(d, "user_id", "full")
-    return out.select("user_id", F.to_json(F.struct(*parts)).alias("document"))
+    return out
+
+
+def context_document(parts: dict[str, DataFrame], as_of) -> DataFrame:
+    """SCO-15: context_sections as one JSON text and, parsed once for typed paths, as a VARIANT; empty sections and null values are left out."""
+    d = context_sections(parts, as_of).select("user_id", F.to_json(F.struct(*parts)).alias("document"))
+    return d.withColumn("parsed", F.parse_json("document"))
 
 
 def weekly_payload(metrics: DataFrame, feats: DataFrame, as_of, days: int = 60) -> DataFrame:
