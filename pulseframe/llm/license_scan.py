@@ -122,7 +122,7 @@ class Scanner:
                 y += [self.classes.index(c)] * EACH
         texts += [_invented(rng) for _ in range(4 * EACH)]
         y += [1] * 4 * EACH
-        plain = [p for t in ordinary for p in t.split("\n") if p.strip() and not re.search(r"(?i)licen|copyright|rights reserved|spdx|public domain", p)][: 40 * EACH]
+        plain = [p for t in ordinary for p in t.split("\n") if p.strip() and not re.search(r"(?i)licen|copyright|rights reserved|spdx|public domain", p)]
         texts += plain + ORDINARY * EACH
         y += [0] * (len(plain) + len(ORDINARY) * EACH)
         y = np.array(y)
