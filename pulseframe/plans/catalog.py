@@ -160,9 +160,9 @@ def join_interval(spark, sf):
     return joins.in_phase(T.cardio(spark, sf).select("user_id", "source_id", "event_date"), T.phases(spark, sf), "event_date").select("source_id", "name")
 
 
-@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT 2 * o_custkey FROM orders)""")
 def join_missing(spark, sf):
-    return joins.missing(T.table(spark, sf, "customer"), T.table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"]).select("c_custkey")
+    return joins.missing(T.table(spark, sf, "customer"), T.table(spark, sf, "orders").select((2 * F.col("o_custkey")).alias("c_custkey")), ["c_custkey"]).select("c_custkey")
 
 
 # --- aggregates

@@ -127,7 +127,9 @@ def run_daily(store: Store, day: date, llm=None, send=None) -> Report:
     def hand_over():
         from ..sinks.tables import deliver
 
-        deliver(store.read("daily_briefings", day, day), send or print)
+        sent, failed = deliver(store.read("daily_briefings", day, day), send or print)
+        if failed:
+            raise RuntimeError(f"{failed} of {sent + failed} messages weren't taken")
 
     for name, step, fatal in (("rollup_metrics", rollup, True), ("compute_features", compute, True), ("evaluate_rules", evaluate, True), ("goal_snapshot", snapshot, False), ("compute_stat_signals", signals, True), ("generate_briefing", write, True), ("deliver", hand_over, False)):
         try:

@@ -5,10 +5,12 @@ Rows are merged by their key's shuffle, never collected. `store` keeps tables an
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..session import ship
 
 def checked(rows: DataFrame, key: list[str]) -> DataFrame:
     """Rows without a key are an error when the plan runs."""
@@ -150,10 +152,24 @@ def to_html(note: str) -> str:
     return "\n".join(out + ["</ul>"] * listed)
 
 
-def deliver(briefing: DataFrame, send=print) -> int:
-    """SNK-11: hands (subject, text, html) of each user's one row to an injected sender; how many."""
-    n = 0
-    for r in briefing.select("user_id", "briefing_date", "coaching_note").toLocalIterator():
-        send((f"Daily briefing {r['briefing_date']}", r["coaching_note"], to_html(r["coaching_note"] or "")))
-        n += 1
-    return n
+def deliver(briefing: DataFrame, send=print) -> tuple[int, int]:
+    """SNK-11: each user's one row as (subject, text, html) to an injected sender, called by the tasks; (sent, failed).
+
+    The sender travels to the tasks, so it has to be picklable. A task that runs again sends its messages again; one
+    that the sender refuses doesn't stop the others.
+    """
+    ship(briefing.sparkSession)
+
+    def run(batches):
+        for p in batches:
+            ok = 0
+            for day, note in zip(p["briefing_date"], p["coaching_note"]):
+                try:
+                    send((f"Daily briefing {day}", note, to_html(note or "")))
+                    ok += 1
+                except Exception:
+                    continue
+            yield pd.DataFrame({"sent": [ok], "failed": [len(p) - ok]})
+
+    r = briefing.select("briefing_date", "coaching_note").mapInPandas(run, "sent long, failed long").agg(F.sum("sent"), F.sum("failed")).first()
+    return r[0] or 0, r[1] or 0

@@ -215,18 +215,30 @@ def seeded(spark, root):
 
 def test_daily_job(spark, tmp_path):
     s, day = seeded(spark, tmp_path)
-    sent = []
-    rep = jobs.run_daily(s, day, send=sent.append)
+    box = tmp_path / "box"
+    box.mkdir()
+
+    def send(message):
+        import uuid
+
+        (box / uuid.uuid4().hex).write_text("|".join(message))
+
+    rep = jobs.run_daily(s, day, send=send)
     assert rep.ok and [x[0] for x in rep] == ["rollup_metrics", "compute_features", "evaluate_rules", "goal_snapshot", "compute_stat_signals", "generate_briefing", "deliver"], rep
     f = {r.user_id: r for r in s.read("daily_features").collect()}
     assert set(f) == {"u", "v"} and f["u"].sleep_debt_7d == 3.0 and f["v"].overall_readiness_score is None
     b = {r.user_id: r for r in s.read("daily_briefings").collect()}
-    assert "LOW_SLEEP" in b["u"].flags and len(sent) == 2 and "SPARSE_RECOVERY_DATA" in b["v"].flags
-    again = jobs.run_daily(s, day, llm=lambda t: (_ for _ in ()).throw(RuntimeError("down")), send=sent.append)
+    assert "LOW_SLEEP" in b["u"].flags and sorted(p.read_text().split("|")[0] for p in box.iterdir()) == ["Daily briefing 2024-01-20"] * 2 and "SPARSE_RECOVERY_DATA" in b["v"].flags
+    again = jobs.run_daily(s, day, llm=lambda t: (_ for _ in ()).throw(RuntimeError("down")), send=send)
     assert not again.ok and again[-1][0] == "generate_briefing" and s.read("daily_features").count() == 2
-    assert jobs.run_daily(s, day, llm=lambda t: f"said {len(t)}", send=sent.append).ok
+    assert jobs.run_daily(s, day, llm=lambda t: f"said {len(t)}", send=send).ok
     assert {(r.model_used, r.coaching_note[:5]) for r in s.read("daily_briefings").collect()} == {("llm", "said ")}
 
+    def refuse(message):
+        raise OSError("no line")
+
+    assert sinks.deliver(s.read("daily_briefings"), refuse) == (0, 2)
+
 
 def test_push_ingest_streams(spark, tmp_path):
     s = Store(spark, str(tmp_path / "store"))
