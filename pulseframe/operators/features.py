@@ -71,10 +71,15 @@ def daily_features(strength: DataFrame, cardio: DataFrame, metrics: DataFrame, d
     for p in parts[1:]:
         seen = seen.union(p.select(*k))
     wanted = spine(seen, ["user_id"], "d") if dates is None else dates.select("user_id", F.col("feature_date").alias("d"))
-    days = wanted.withColumn("wanted", F.lit(True))
+    # one row a key in each part: stacked and grouped once, where five outer joins would each deal the days anew
+    parts.append(wanted.withColumn("wanted", F.lit(True)))
+    values = [c for p in parts for c in p.columns if c not in k]
+    kinds = {c: t for p in parts for c, t in p.dtypes}
+    stacked = None
     for p in parts:
-        days = days.join(p, k, "full")
-    days = days.withColumn("n", F.datediff("d", F.lit("1970-01-01")))
+        p = p.select(*k, *[F.col(c) if c in p.columns else F.lit(None).cast(kinds[c]).alias(c) for c in values])
+        stacked = p if stacked is None else stacked.union(p)
+    days = stacked.groupBy(*k).agg(*[F.max(c).alias(c) for c in values]).withColumn("n", F.datediff("d", F.lit("1970-01-01")))
     tot = lambda c, n: F.coalesce(F.sum(c).over(_days(n)), F.lit(0.0))
     cnt = lambda c, n: F.count(F.when(F.col(c) > 0, 1)).over(_days(n)).cast("int")
     whole = lambda c, n: F.coalesce(F.sum(c).over(_days(n)), F.lit(0)).cast("int")
