@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import _c, activity_family, is_bridge, run_pace
+from .scalars import _c, in_family, is_bridge, run_pace
 
 STRENGTH_NAMES = ("traditional strength training", "functional strength training", "core training")
 PACE_MIN, PACE_MAX = 210.0, 1080.0
@@ -45,7 +45,7 @@ def over_recorded(duration="duration_min", miles="distance_miles", activity="act
 
 def bridge_walk(app="source_app", activity="activity_type") -> Column:
     """FLT-06: steps a bridge app passes on as walks."""
-    return is_bridge(app) & (activity_family(activity) == "walk")
+    return is_bridge(app) & in_family(activity, "walk")
 
 
 def counts_as_load(activity="activity_type", app="source_app") -> Column:

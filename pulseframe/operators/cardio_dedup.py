@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -83,48 +84,69 @@ class Kept:
             self.ids.add((source, source_id))
 
 
-def _keep(power: bool):
-    """Sorted rows with __allowed, __at, __min, and __n for their number -> those that stay."""
+def _keep(power: bool, number: bool):
+    """Sorted rows with __f, __allowed, __at, __min -> those that stay, with their number __n if asked for."""
 
     def run(batches):
         group, kept, n = None, None, TaskContext.get().partitionId() << 33
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("user_id", "event_date", "__f", "__allowed", "__at", "__min", "distance_miles", "source", "source_id")]
-            stay = []
-            for user, day, family, allowed, *row in zip(*cols):
+            stay = np.ones(b.num_rows, bool)
+            at = np.flatnonzero(b.column("__allowed").to_numpy(zero_copy_only=False))
+            ask = b.take(pa.array(at)) if len(at) < b.num_rows else b
+            cols = [ask.column(c) for c in ("user_id", "event_date", "__f", "__at", "__min", "distance_miles", "source", "source_id")]
+            cols[1] = cols[1].cast(pa.int32())
+            for i, user, day, family, *row in zip(at.tolist(), *[c.to_pylist() for c in cols]):
                 if (user, day, family) != group:
                     group, kept = (user, day, family), Kept(power)
-                stays = not (allowed and kept.near(*row))
-                if stays and allowed:
+                if kept.near(*row):
+                    stay[i] = False
+                else:
                     kept.add(*row)
-                stay.append(stays)
-            out = b.filter(pa.array(stay, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*[c for c, f in zip(out.columns, out.schema.names) if not f.startswith("__")], pa.array(range(n, n + out.num_rows), pa.int64())], names=[*[f for f in out.schema.names if not f.startswith("__")], "__n"])
+            out = b.filter(pa.array(stay))
+            yield out.append_column("__n", pa.array(np.arange(n, n + out.num_rows))) if number else out
             n += out.num_rows
 
     return run
 
 
-def _fold(df: DataFrame, key: Column, power: bool) -> DataFrame:
-    """df's rows that stay, with their number __n."""
+HELPERS = ("__f", "__at", "__min", "__allowed")
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    """df with what nearness needs, every group in one partition."""
     ship(df.sparkSession)
-    allowed = F.col("source").isin(*POWER_SOURCES) if power else F.col("source") == "apple_health"
-    base = df.withColumns({"__k": key, "__f": S.activity_family("activity_type"), "__allowed": F.coalesce(allowed, F.lit(False)), "__at": F.unix_micros(F.col("started_at").cast("timestamp")), "__min": F.coalesce(F.col("duration_min").cast("double"), F.lit(0.0))})
+    d = df.withColumns({"__f": S.activity_family("activity_type"), "__at": F.unix_micros(F.col("started_at").cast("timestamp")), "__min": F.coalesce(F.col("duration_min").cast("double"), F.lit(0.0))})
+    return d.repartition("user_id", "event_date", "__f")
+
+
+def _pass(dealt: DataFrame, key: Column, allowed: Column, power: bool, number: bool = False) -> DataFrame:
+    """The dealt rows that stay, where they lie; rows that aren't `allowed` stay and remove none."""
     # equal keys: by content, so that a task that runs again keeps the same rows
-    plain = [c for c, t in df.dtypes if not t.startswith(("map", "variant"))]
-    s = base.repartition("user_id", "event_date", "__f").sortWithinPartitions("user_id", "event_date", "__f", F.desc("__k"), F.xxhash64(*plain))
-    schema = T.StructType([*df.schema.fields, T.StructField("__n", T.LongType())])
-    return s.drop("__k").mapInArrow(_keep(power), schema)
+    plain = [c for c, t in dealt.dtypes if not t.startswith(("map", "variant")) and c not in HELPERS]
+    d = dealt.withColumns({"__k": key, "__allowed": F.coalesce(allowed, F.lit(False))})
+    d = d.sortWithinPartitions("user_id", "event_date", "__f", F.desc("__k"), F.xxhash64(*plain)).drop("__k")
+    schema = T.StructType([*d.schema.fields, *[T.StructField("__n", T.LongType())] * number])
+    return d.mapInArrow(_keep(power, number), schema)
+
+
+def _hub() -> Column:
+    return F.col("source") == "apple_health"
+
+
+def _fold(df: DataFrame, power: bool) -> DataFrame:
+    """df's rows that stay, with their number __n."""
+    key, allowed = (power_key(), F.col("source").isin(*POWER_SOURCES)) if power else (hub_key(), _hub())
+    return _pass(_dealt(df), key, allowed, power, number=True).drop(*HELPERS)
 
 
 def dedupe_hub(df: DataFrame) -> DataFrame:
     """DED-01: hub sessions without the losing copies. All rows are taken to be the hub's."""
-    return _fold(df, hub_key(), False).drop("__n")
+    return _fold(df, False).drop("__n")
 
 
 def dedupe_power(df: DataFrame) -> DataFrame:
     """DED-02: sessions of several sources without the losing copies."""
-    return _fold(df, power_key(), True).drop("__n")
+    return _fold(df, True).drop("__n")
 
 
 def training_load_sessions(cardio: DataFrame, apply_dedup: bool = True) -> DataFrame:
@@ -132,10 +154,10 @@ def training_load_sessions(cardio: DataFrame, apply_dedup: bool = True) -> DataF
     ok = cardio.where(P.counts_as_load())
     if not apply_dedup:
         return ok
-    hub = F.coalesce(F.col("source") == "apple_health", F.lit(False))
-    rows = dedupe_hub(ok.where(hub)).unionByName(ok.where(~hub))
-    power = F.coalesce(F.col("source").isin(*POWER_SOURCES), F.lit(False)) & F.col("started_at").isNotNull()
-    return dedupe_power(rows.where(power)).unionByName(rows.where(~power))
+    # both passes read the groups where one shuffle has put them
+    rows = _pass(_dealt(ok), hub_key(), _hub(), False)
+    power = F.col("source").isin(*POWER_SOURCES) & F.col("started_at").isNotNull()
+    return _pass(rows, power_key(), power, True).drop(*HELPERS)
 
 
 def resolve(incoming: DataFrame, stored: DataFrame, power: bool = False, allow_supersede: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -147,7 +169,7 @@ def resolve(incoming: DataFrame, stored: DataFrame, power: bool = False, allow_s
     """
     key, near = (power_key(), near_power) if power else (hub_key(), near_hub)
     shape = lambda d, n: d.select("user_id", "event_date", S.activity_family("activity_type").alias("f"), key.alias(f"{n}_key"), F.struct(*d.columns).alias(n))
-    new = shape(_fold(incoming, key, power), "new")
+    new = shape(_fold(incoming, power), "new")
     old = shape(stored, "old").withColumnRenamed("user_id", "u").withColumnRenamed("event_date", "d").withColumnRenamed("f", "g")
     j = new.join(old, (F.col("user_id") == F.col("u")) & (F.col("event_date") == F.col("d")) & (F.col("f") == F.col("g")) & near(F.col("new"), F.col("old")), "left")
     wins = F.col("new_key") > F.col("old_key") if allow_supersede else F.lit(False)

@@ -399,11 +399,12 @@ _HUB_KEY = f"{_NATIVE} AS k1, CASE WHEN coalesce(pace < 210 OR pace > 1080, FALS
 _POWER_KEY = "CASE source WHEN 'wahoo_fit' THEN 50 WHEN 'strava_export' THEN 40 WHEN 'strava' THEN 25 ELSE 20 END AS k1, 0 AS k2, CASE WHEN distance_miles IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN avg_watts IS NOT NULL THEN 5 ELSE 0 END AS k3"
 
 
-def _greedy(name: str, rows: str, key: str) -> str:
-    """CTEs: the rows of `rows` that stay when they are taken by descending key within user, day and family."""
+def _greedy(name: str, rows: str, key: str, entry: str = "o.at", kind: str = "BIGINT", near: str = "abs(y - o.at) <= 900000000") -> str:
+    """CTEs: the rows of `rows` that stay when they are taken by descending key within user, day and family; a row goes that is `near` to a kept entry y."""
+    copy = f"len(list_filter(r.kept, lambda y: {near})) > 0"
     return f"""{name}_o AS (SELECT *, epoch_us(started_at) AS at, row_number() OVER (PARTITION BY user_id, event_date, family ORDER BY k1 DESC, k2 DESC, k3 DESC, source_id DESC) AS rn FROM (SELECT *, {key} FROM {rows})),
- {name}_r AS (SELECT user_id, event_date, family, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept, CAST([] AS VARCHAR[]) AS ids FROM (SELECT DISTINCT user_id, event_date, family FROM {name}_o)
-  UNION ALL SELECT r.user_id, r.event_date, r.family, o.rn, CASE WHEN len(list_filter(r.kept, lambda y: abs(y - o.at) <= 900000000)) > 0 THEN r.kept ELSE list_append(r.kept, o.at) END, CASE WHEN len(list_filter(r.kept, lambda y: abs(y - o.at) <= 900000000)) > 0 THEN r.ids ELSE list_append(r.ids, o.source_id) END
+ {name}_r AS (SELECT user_id, event_date, family, CAST(0 AS BIGINT) AS k, CAST([] AS {kind}[]) AS kept, CAST([] AS VARCHAR[]) AS ids FROM (SELECT DISTINCT user_id, event_date, family FROM {name}_o)
+  UNION ALL SELECT r.user_id, r.event_date, r.family, o.rn, CASE WHEN {copy} THEN r.kept ELSE list_append(r.kept, {entry}) END, CASE WHEN {copy} THEN r.ids ELSE list_append(r.ids, o.source_id) END
   FROM {name}_r r JOIN {name}_o o ON o.user_id = r.user_id AND o.event_date = r.event_date AND o.family = r.family AND o.rn = r.k + 1),
  {name} AS (SELECT unnest(arg_max(ids, k)) AS source_id FROM {name}_r GROUP BY user_id, event_date, family)"""
 
@@ -424,6 +425,29 @@ def ded_training_load(spark, sf):
     return cardio_dedup.training_load_sessions(T.cardio(spark, sf)).select("user_id", "source_id", "duration_min")
 
 
+# a third of the rows without a start, a seventh without a distance
+_UNTIMED = """un AS (SELECT * REPLACE (CASE WHEN CAST(source_id AS BIGINT) % 3 > 0 THEN started_at END AS started_at, CASE WHEN CAST(source_id AS BIGINT) % 7 > 0 THEN distance_miles END AS distance_miles, CASE WHEN CAST(source_id AS BIGINT) % 7 > 0 THEN pace END AS pace) FROM cardio)"""
+_ENTRY = {"entry": "{'s': o.at, 'm': o.duration_min, 'd': o.distance_miles}", "kind": "STRUCT(s BIGINT, m DOUBLE, d DOUBLE)"}
+_ALIKE = "coalesce(abs(y.s - o.at) <= 900000000, abs(coalesce(y.m, 0) - coalesce(o.duration_min, 0)) <= 5"
+
+
+def _untimed(spark, sf):
+    n = F.col("source_id").cast("long")
+    return T.cardio(spark, sf).withColumns({"started_at": F.when(n % 3 > 0, F.col("started_at")), "distance_miles": F.when(n % 7 > 0, F.col("distance_miles"))})
+
+
+@query("SELECT user_id, source_id FROM uh WHERE source_id IN (SELECT source_id FROM uk)", "", (T.CARDIO, _UNTIMED, "uh AS (SELECT * FROM un WHERE source = 'apple_health')", _greedy("uk", "uh", _HUB_KEY, **_ENTRY, near=f"{_ALIKE} AND coalesce(abs(y.d - o.distance_miles) <= 0.15, TRUE))")))
+def ded_hub_untimed(spark, sf):
+    """DED-01, JOIN-04 where starts or distances are missing: by duration and, if both have one, distance."""
+    return cardio_dedup.dedupe_hub(_untimed(spark, sf).where("source = 'apple_health'")).select("user_id", "source_id")
+
+
+@query("SELECT user_id, source_id FROM un WHERE source_id IN (SELECT source_id FROM pk)", "", (T.CARDIO, _UNTIMED, _greedy("pk", "un", _POWER_KEY, **_ENTRY, near=f"{_ALIKE})")))
+def ded_power_untimed(spark, sf):
+    """DED-02, JOIN-05 where starts are missing: by duration alone."""
+    return cardio_dedup.dedupe_power(_untimed(spark, sf)).select("user_id", "source_id")
+
+
 _RESOLVED = "SELECT source_id, 'insert' AS what FROM st WHERE ins UNION ALL SELECT DISTINCT unnest(gone), 'delete' FROM st WHERE ins"
 
 

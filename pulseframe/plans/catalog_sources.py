@@ -248,10 +248,9 @@ def sql_readiness(spark, sf):
     from ..functions import registry
     from ..operators import features
 
-    registry.register(spark)
-    features.recovery(T.metrics(spark, sf)).createOrReplaceTempView("pulseframe_recovery")
-    try:
-        return spark.sql("""SELECT user_id, metric_date, readiness(sleep_debt_7d, CAST(hrv_suppressed_days AS INT), NULL, CAST(recovery_sleep_days_7d AS INT), CAST(recovery_hrv_days_7d AS INT)) AS readiness, c.week
- FROM pulseframe_recovery r JOIN day_spine(DATE '2023-01-01', DATE '2025-12-31') c ON c.day = r.metric_date""")
-    finally:
-        spark.catalog.dropTempView("pulseframe_recovery")
+    own = spark.newSession()  # so that the caller's session keeps its functions and views
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    registry.register(own)
+    features.recovery(T.metrics(own, sf)).createOrReplaceTempView("recovery")
+    return own.sql("""SELECT user_id, metric_date, readiness(sleep_debt_7d, CAST(hrv_suppressed_days AS INT), NULL, CAST(recovery_sleep_days_7d AS INT), CAST(recovery_hrv_days_7d AS INT)) AS readiness, c.week
+ FROM recovery r JOIN day_spine(DATE '2023-01-01', DATE '2025-12-31') c ON c.day = r.metric_date""")
