@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import date
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import features, goals, joins, pace, rules, stats, strength
-from ..sources import scans
+from ..sources import loaders, scans
 from . import jobs
 from . import testmap as T
-from .catalog import AS_OF, GOAL_DAY, TIE, _queries, _sql, query
+from .catalog import _L, _LONG, AS_OF, GOAL_DAY, TIE, _queries, _sql, query
 from .catalog_more import scratch
 
 
@@ -153,6 +156,72 @@ def scan_goals_and_users(spark, sf):
     return found.join(F.broadcast(store.read("user_settings").agg(F.count_distinct("user_id").alias("users")))).select("user_id", "goal_type", "users")
 
 
+_LOADED = f"""SELECT 'biometrics_today' AS what, user_id, d, metric AS label, value AS x, NULL::DOUBLE AS y, NULL::DOUBLE AS z FROM lg WHERE d = DATE '{AS_OF}'
+ UNION ALL SELECT 'daily_metrics_window', user_id, metric_date, NULL, sleep_hours, hrv_rmssd, resting_hr FROM metrics WHERE metric_date BETWEEN DATE '{AS_OF}' - 27 AND DATE '{AS_OF}'
+ UNION ALL SELECT 'daily_features_window', user_id, event_date, NULL, minutes, sessions, NULL FROM (SELECT user_id, event_date, sum(duration_min) AS minutes, count(*) AS sessions FROM load GROUP BY 1, 2) WHERE event_date BETWEEN DATE '{AS_OF}' - 27 AND DATE '{AS_OF}'
+ UNION ALL SELECT 'strength_events', user_id, event_date + 9000, exercise_name || CASE WHEN hard THEN ':working' ELSE '' END, reps, weight_lbs, rpe FROM sets WHERE event_date + 9000 BETWEEN DATE '{AS_OF}' - 34 AND DATE '{AS_OF}'
+ UNION ALL SELECT 'cardio_events', user_id, event_date, activity_type, distance_miles, duration_min, session_rpe FROM cardio WHERE event_date BETWEEN DATE '{AS_OF}' - 34 AND DATE '{AS_OF}'
+ UNION ALL SELECT 'running_sessions', user_id, event_date, 'run:' || source, distance_miles * 2, duration_min, NULL FROM cardio WHERE activity_type = 'Rowing' AND event_date BETWEEN DATE '{AS_OF}' - 34 AND DATE '{AS_OF}'
+ UNION ALL SELECT 'interventions', user_id, event_date, source, NULL, NULL, NULL FROM cardio WHERE event_date BETWEEN DATE '{AS_OF}' - 7 AND DATE '{AS_OF}' + 7
+ UNION ALL SELECT 'schedule_exceptions', user_id, event_date, source_id, NULL, NULL, NULL FROM cardio WHERE event_date >= DATE '{AS_OF}' - 14
+ UNION ALL SELECT 'active_patterns', user_id, NULL, metric_a, correlation, lag_days, NULL FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN k % 5 > 0 THEN k % 11 END DESC NULLS LAST, metric_a) AS rk FROM (SELECT CAST(c_nationkey AS VARCHAR) AS user_id, c_custkey AS k, 'm' || c_custkey AS metric_a, c_acctbal / 10000 AS correlation, c_custkey % 3 AS lag_days FROM customer) WHERE k % 4 > 0) WHERE rk <= 12
+ UNION ALL SELECT 'goals', CAST(c_nationkey AS VARCHAR), NULL, 'g' || c_custkey, c_acctbal, NULL, NULL FROM customer WHERE c_custkey % 3 = 0
+ UNION ALL SELECT 'training_phases', user_id, start_date, name, NULL, NULL, NULL FROM phases
+ UNION ALL SELECT 'journal_entries', user_id, d, body, NULL, NULL, NULL FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY d DESC, o_orderdate + to_seconds(o_orderkey) DESC, body) AS rk FROM (SELECT CAST(o_custkey % 25 AS VARCHAR) AS user_id, CAST(o_orderdate AS DATE) + 9000 AS d, o_orderdate, o_orderkey, CAST(o_orderkey AS VARCHAR) AS body FROM orders) WHERE d <= DATE '{AS_OF}') WHERE rk <= 40"""
+
+
+def _stored(spark, sf, table, since=None, until=None):
+    """The views by the names of stored tables; the days asked for are left to the scan."""
+    cardio, k, none = T.cardio(spark, sf), F.col("c_custkey"), F.lit(None)
+    user = F.col("c_nationkey").cast("string").alias("user_id")
+    if table == "biometrics":
+        return stats.to_long(T.metrics(spark, sf), _L).withColumnRenamed("d", "event_date")
+    if table == "daily_features":
+        return features.cardio_days(cardio, apply_dedup=False).withColumnRenamed("event_date", "feature_date")
+    if table == "strength_events":
+        return T.sets(spark, sf).withColumn("event_date", F.date_add("event_date", 9000))
+    if table == "interventions":
+        return cardio.select("user_id", "event_date", F.col("source").alias("category"), F.col("source_id").alias("description"))
+    if table == "schedule_exceptions":
+        return cardio.select("user_id", F.col("event_date").alias("start_date"), F.col("event_date").alias("end_date"), F.array("source").alias("affected_goal_types"), F.col("source_id").alias("override_hint"), F.col("source").alias("reason"))
+    if table == "metric_patterns":
+        c = T.table(spark, sf, "customer").select(user, F.concat(F.lit("m"), k.cast("string")).alias("metric_a"), F.col("c_mktsegment").alias("metric_b"), (k % 3).cast("int").alias("lag_days"), (F.col("c_acctbal") / 10000).alias("correlation"), F.lit(9).alias("sample_n"), F.when(k % 4 > 0, "active").otherwise("inactive").alias("status"), F.lit("").alias("description"), F.when(k % 5 > 0, F.timestamp_seconds(k % 11)).alias("last_confirmed_at"))
+        return c
+    if table == "goals":
+        active = F.when(k % 3 == 0, True).when(k % 3 == 1, False)
+        return T.table(spark, sf, "customer").select(user, F.concat(F.lit("g"), k.cast("string")).alias("goal_type"), F.col("c_acctbal").alias("target_min"), none.cast("double").alias("target_max"), none.cast("string").alias("target_label"), F.lit("week").alias("period"), active.alias("is_active"), none.cast("date").alias("effective_from"), none.cast("date").alias("effective_until"))
+    if table == "athlete_journal_entries":
+        return T.table(spark, sf, "orders").select((F.col("o_custkey") % 25).cast("string").alias("user_id"), F.date_add(F.col("o_orderdate").cast("date"), 9000).alias("entry_date"), F.lit("note").alias("category"), F.col("o_orderkey").cast("string").alias("body"), F.timestamp_seconds(F.unix_timestamp("o_orderdate") + F.col("o_orderkey")).alias("created_at"))
+    return {"daily_health_metrics": T.metrics, "cardio_events": lambda *_: cardio, "running_sessions": T.running, "training_phases": T.phases}[table](spark, sf)
+
+
+@query(_LOADED, "x y z", (T.CARDIO, T.LOAD, T.METRICS, T.SETS, T.PHASES, _LONG))
+def scan_daily_loaders(spark, sf):
+    """SRC-28, SCAN-01 to 12: the rows of the daily job's twelve scans, three numbers and a label of each."""
+    found = loaders.loaders(lambda table, since=None, until=None: _stored(spark, sf, table, since, until), date.fromisoformat(AS_OF))
+    n, t = F.lit(None).cast("double"), F.lit(None).cast("string")
+    shown = {
+        "biometrics_today": (F.lit(AS_OF), "metric", "value", n, n), "daily_metrics_window": ("metric_date", t, "sleep_hours", "hrv_rmssd", "resting_hr"), "daily_features_window": ("feature_date", t, "minutes", "sessions", n),
+        "strength_events": ("event_date", F.concat("exercise_name", F.when(F.col("set_type") == "working", ":working").otherwise("")), "reps", "weight_lbs", "rpe"), "cardio_events": ("event_date", "activity_type", "distance_miles", "duration_min", "session_rpe"),
+        "running_sessions": ("session_date", F.concat_ws(":", "run_type", "source"), "distance_km", "duration_min", n), "interventions": ("event_date", "category", n, n, n), "schedule_exceptions": ("end_date", "override_hint", n, n, n),
+        "active_patterns": (t, "metric_a", "correlation", "lag_days", n), "goals": (t, "goal_type", "target_min", n, n), "training_phases": ("start_date", "name", n, n, n), "journal_entries": ("entry_date", "body", n, n, n),
+    }
+    out = None
+    for name, (d, label, *numbers) in shown.items():
+        c = lambda v: F.col(v) if isinstance(v, str) else v
+        rows = found[name].select(F.lit(name).alias("what"), "user_id", c(d).cast("date").alias("d"), c(label).alias("label"), *[c(v).cast("double").alias(a) for v, a in zip(numbers, "xyz")])
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+@query(f"SELECT user_id, event_date, source_id, source, source_app, activity_type, distance_miles, duration_min, avg_watts, epoch_us(started_at) AS started_us, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_date DESC, source_id) AS rank FROM cardio WHERE event_date BETWEEN DATE '{AS_OF}' - 6 AND DATE '{AS_OF}')", "distance_miles duration_min avg_watts", (T.CARDIO,))
+def scan_cardio_window(spark, sf):
+    """SCAN-24: a week's sessions of each user, newest first."""
+    d = loaders.cardio_window(T.cardio(spark, sf), date.fromisoformat(AS_OF))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("event_date"), "source_id"))
+    return d.select("user_id", "event_date", "source_id", "source", "source_app", "activity_type", "distance_miles", "duration_min", "avg_watts", F.unix_micros("started_at").alias("started_us"), place.alias("rank"))
+
+
 @query("""SELECT user_id, metric_a, metric_b, lag_days, correlation FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY abs(correlation) DESC, metric_a, metric_b, lag_days) AS rk FROM (SELECT user_id, 'm' || (event_id % 7) AS metric_a, event_type AS metric_b, CAST(event_id % 3 AS INTEGER) AS lag_days, arg_max(c, abs(c)) AS correlation FROM (SELECT CAST(user_id AS VARCHAR) AS user_id, event_id, event_type, (value - 50) * 0.01 + event_id * 1e-9 AS c FROM events) GROUP BY 1, 2, 3, 4)) WHERE rk <= 12""", "correlation")
 def ded_patterns(spark, sf):
     """DED-05, SRT-02: of found patterns each pair and lag once, the strongest; each user's twelve strongest."""

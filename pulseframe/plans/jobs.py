@@ -145,7 +145,8 @@ def run_daily(store: Store, day: date, llm=None, send=None) -> Report:
 
 def run_weekly(store: Store, day: date) -> None:
     """§3.5: the patterns of the last 60 days replace the active ones."""
-    p = stats.all_patterns(store.read("daily_health_metrics"), store.read("daily_features"), day.isoformat())
+    from_, to = day - timedelta(days=stats.LOOKBACK), day - timedelta(days=1)
+    p = stats.all_patterns(store.read("daily_health_metrics", from_, to), store.read("daily_features", from_, to), day.isoformat())
     rows = p.withColumns({"description": F.format_string("%s and %s (lag %d): r=%.2f", "metric_a", "metric_b", "lag_days", "correlation"), "last_confirmed_at": F.current_timestamp()}).drop("rank")
     store.replace("metric_patterns", replace_patterns(store.read("metric_patterns"), rows))
 
