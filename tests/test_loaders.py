@@ -1,12 +1,15 @@
 """The daily scans over a store, and the predicates on names that they feed."""
 
+import random
 from datetime import date, datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
 
 from pulseframe import schemas
 from pulseframe.functions import scalars as S
-from pulseframe.operators import cardio_dedup
+from pulseframe.operators import cardio_dedup, stats
+from pulseframe.plans import jobs
 from pulseframe.sinks.store import Store
 from pulseframe.sources import loaders
 
@@ -76,3 +79,22 @@ def test_load_keeps_what_no_pass_may_judge(spark):
     kept = {r.source_id for r in cardio_dedup.training_load_sessions(d).collect()}
     assert kept == {"c", "d", "e", "f", "g", "h"}
     assert cardio_dedup.training_load_sessions(d).columns == d.columns
+
+
+def test_weekly_patterns_read_their_days_only(spark, tmp_path):
+    """Months outside the window aren't read, and the patterns are those of the whole tables."""
+    store, r = Store(spark, str(tmp_path)), random.Random(3)
+    days = [(ago(n), r.gauss(50, 9)) for n in range(-20, 150)]
+    m = rows(spark, "daily_health_metrics", [("u", d, 4 + x / 20, x, 70 - x / 4 if d >= ago(60) else x) for d, x in days], "user_id string, metric_date date, sleep_hours double, hrv_rmssd double, resting_hr double")
+    f = rows(spark, "daily_features", [("u", d, x / 3, 100 - x) for d, x in days], "user_id string, feature_date date, cardio_minutes_7d double, overall_readiness_score double")
+    with store.transaction() as t:
+        t.upsert("daily_health_metrics", m)
+        t.upsert("daily_features", f)
+    jobs.run_weekly(store, DAY)
+    key = lambda d: {(x.metric_a, x.metric_b, x.lag_days, round(x.correlation, 9)) for x in d.collect()}
+    got = key(store.read("metric_patterns").where("status = 'active'"))
+    assert got and got == key(stats.all_patterns(m, f, DAY.isoformat()))
+    read = []
+    spied = SimpleNamespace(read=lambda table, *span: (read.append((table, *span)), store.read(table, *span))[1], replace=lambda *_: None)
+    jobs.run_weekly(spied, DAY)
+    assert ("daily_health_metrics", ago(60), ago(1)) in read and ("daily_features", ago(60), ago(1)) in read
