@@ -12,14 +12,19 @@ from .catalog_more import _greedy, _HUB, _HUB_KEY, _UNIT, scratch
 ITEM = "struct<o_orderkey:long,o_custkey:long,o_orderstatus:string,o_totalprice:double>"
 
 
+BUNDLE = 40  # pages of one folder: what a task of the stream takes at a time
+
+
 def _pages(spark, sf) -> str:
-    """The orders as JSON pages in a folder; some hundred orders a page, dealt by hash."""
+    """The orders as JSON pages in folders; some hundred orders a page, dealt by hash."""
     o = T.table(spark, sf, "orders")
     n = max(2, o.count() // 100)
     item = F.struct(*[F.col(c).cast(k).alias(c) for c, k in (("o_orderkey", "long"), ("o_custkey", "long"), ("o_orderstatus", "string"), ("o_totalprice", "double"))])
-    p = o.groupBy((F.pmod(F.xxhash64("o_orderkey"), F.lit(n)) + 1).alias("page")).agg(F.collect_list(item).alias("items"))
+    p = o.withColumn("page", F.pmod(F.xxhash64("o_orderkey"), F.lit(n)) + 1).withColumn("pages", F.floor((F.col("page") - 1) / BUNDLE))
+    # one shuffle deals the rows to the folders' tasks, which put the pages together
+    p = p.repartition("pages").groupBy("pages", "page").agg(F.collect_list(item).alias("items"))
     at = scratch(spark, "pulseframe-pages")
-    p.select("page", F.to_json(F.struct("page", F.lit(n).alias("page_count"), "items")).alias("value")).write.partitionBy("page").text(at)
+    p.select("pages", F.to_json(F.struct("page", F.lit(n).alias("page_count"), "items")).alias("value")).write.partitionBy("pages").text(at)
     return at
 
 
@@ -32,18 +37,18 @@ _ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DOU
 
 @query(_ORDERS, "o_totalprice")
 def src_numbered_pages(spark, sf):
-    """SRC-03: pages with a count, a partition each, complete or an error."""
+    """SRC-03: pages with a count, in partitions of some pages each, complete or an error."""
     paged.register(spark)
-    n = spark.read.format("paged").option("client", "pulseframe.sources.paged:FolderPages").option("root", _pages(spark, sf)).option("most", 1_000_000).load()
+    n = spark.read.format("paged").option("client", "pulseframe.sources.paged:FolderPages").option("root", _pages(spark, sf)).option("bundle", BUNDLE).option("most", 1_000_000).load()
     return _items(n)
 
 
 @query(_ORDERS, "o_totalprice")
 def src_cursor_pages(spark, sf):
-    """SRC-23: a stream whose offset is the cursor, by micro-batches of some pages, into a table."""
+    """SRC-23: a stream whose offset is the cursor, by micro-batches of some pages in each of many tasks, into a table."""
     paged.register(spark)
     at, out = _pages(spark, sf), scratch(spark, "pulseframe-cursor")
-    s = spark.readStream.format("paged_cursor").option("client", "pulseframe.sources.paged:FolderPages").option("root", at).option("batch_pages", 40).load()
+    s = spark.readStream.format("paged_cursor").option("client", "pulseframe.sources.paged:FolderPages").option("root", at).option("bundle", BUNDLE).option("batch_pages", BUNDLE).option("tasks", 128).load()
     q = s.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/offsets").start()
     try:
         q.processAllAvailable()

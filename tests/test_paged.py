@@ -89,3 +89,28 @@ def test_a_batch_that_changed_is_an_error(folder):
     assert at == {"cursor": "2", "page": 2} and list(r.readBetweenOffsets(r.initialOffset(), at)) == list(rows)
     with pytest.raises(paged.IncompleteFetch):
         r.readBetweenOffsets(r.initialOffset(), {"cursor": "x", "page": 2})
+
+
+def bundles(tmp_path, count, size, skip=()):
+    for k in range(-(-count // size)):
+        (tmp_path / f"pages={k}").mkdir()
+        lines = [json.dumps({"page": n, "page_count": count, "items": [n] * (n % 3)}) for n in range(k * size + 1, min(count, (k + 1) * size) + 1) if n not in skip]
+        (tmp_path / f"pages={k}" / "a.txt").write_text("\n".join(lines) + "\n")
+
+
+def test_many_pages_need_few_tasks_and_files(spark, folder, tmp_path):
+    bundles(tmp_path, 1000, 64)
+    df = load(spark, folder, bundle=64, most=2000, tasks=16)
+    assert df.rdd.getNumPartitions() == 16 and sorted((r.page, r.items) for r in df.collect()) == [(n, n % 3) for n in range(1, 1001)]
+    (tmp_path / "pages=15" / "b.txt").write_text(json.dumps({"page": 1000, "page_count": 1000, "items": []}))
+    with pytest.raises(Exception, match="page 1000 comes twice"):
+        load(spark, folder, bundle=64, most=2000).collect()
+
+
+def test_a_bundle_without_a_page_is_an_error(spark, folder, tmp_path):
+    bundles(tmp_path, 300, 64, skip=(200,))
+    with pytest.raises(Exception, match="page 200 is missing"):
+        load(spark, folder, bundle=64).collect()
+    r = paged.AheadReader({"client": "pulseframe.sources.paged:FolderPages", "root": folder.root, "bundle": "64", "batch_pages": "40", "tasks": "128"})
+    with pytest.raises(paged.IncompleteFetch, match="after 199 is missing"):
+        [row for p in r.partitions(r.initialOffset(), r.latestOffset()) for row in r.read(p)]
