@@ -114,3 +114,17 @@ def test_a_bundle_without_a_page_is_an_error(spark, folder, tmp_path):
     r = paged.AheadReader({"client": "pulseframe.sources.paged:FolderPages", "root": folder.root, "bundle": "64", "batch_pages": "40", "tasks": "128"})
     with pytest.raises(paged.IncompleteFetch, match="after 199 is missing"):
         [row for p in r.partitions(r.initialOffset(), r.latestOffset()) for row in r.read(p)]
+
+
+def test_a_batch_is_requested_by_many_tasks(spark, folder, tmp_path):
+    bundles(tmp_path, 1000, 64)
+    paged.register(spark)
+    s = spark.readStream.format("paged_cursor").option("client", "pulseframe.sources.paged:FolderPages").option("root", folder.root).option("bundle", 64).option("batch_pages", 40).option("tasks", 10).load()
+    q = s.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        q.processAllAvailable()
+        assert [p.numInputRows for p in q.recentProgress if p.numInputRows] == [267, 267, 133]
+    finally:
+        q.stop()
+    rows = spark.read.schema(paged.SCHEMA).parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.page, r.cursor, r.items) for r in rows) == [(n, str(n), n % 3) for n in range(1, 1001) if n % 3]
