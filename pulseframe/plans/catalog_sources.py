@@ -159,8 +159,7 @@ def src_replay(spark, sf):
     at = scratch(spark, "pulseframe-landing")
     files.land(payloads(e.where("event_id % 2 = 0"), "2024-01-02", 1), at)
     files.land(payloads(e, "2024-01-01", 0), at)
-    raw = files.landed(spark, at).withColumn("user_id", F.col("user_id").cast("string"))
-    return files.replay(raw, vendors.workouts, ("day", "path")).select("user_id", "source_id", "duration_min")
+    return files.replay(files.landed(spark, at), vendors.workouts, ("day", "path")).select("user_id", "source_id", "duration_min")
 
 
 # --- streams

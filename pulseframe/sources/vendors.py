@@ -105,7 +105,8 @@ def workouts(raw: DataFrame, col: str = "raw") -> DataFrame:
     w = raw.select("user_id", F.from_json(col, WORKOUTS).alias("p"))
     one = WORKOUTS[WORKOUTS.index("array<struct<id") : WORKOUTS.rindex(">, workouts")]
     top = F.transform("p.workouts", lambda x: F.from_json(x, one[len("array<") : -1].replace("struct<", "struct<", 1)))
-    w = w.select("user_id", F.explode(F.coalesce("p.data.workouts", top)).alias("w"))
+    # explode_outer, as the filter that Spark infers for explode would parse the texts again; rows without a workout have no duration
+    w = w.select("user_id", F.explode_outer(F.coalesce("p.data.workouts", top)).alias("w"))
     start, end = S.instant("w.start"), S.instant("w.end")
     seconds = F.coalesce("w.duration", F.unix_timestamp(end) - F.unix_timestamp(start))
     miles = F.round(S.quantity_to_miles("w.distance.qty", "w.distance.units"), 4)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cardio_dedup
 from ..sinks.store import Store
-from ..sources import vendors
+from ..sources import files, vendors
 from .. import schemas
 
 
@@ -34,11 +34,11 @@ def apply_payloads(store: Store, raw: DataFrame, authenticated: bool = True, str
 
 
 def stream_payloads(spark: SparkSession, landing: str, store: Store, checkpoint: str, authenticated: bool = True):
-    """STR-01, STR-05: everything landed since the last run (raw under user_id=…/source=…/day=…), then stop.
+    """STR-01, STR-05: everything landed since the last run (as files.land writes it, under source=…/day=…), then stop.
 
     A micro-batch that failed after its commit comes again under its number and is left out: each is applied once.
     """
-    raw = spark.readStream.schema("value string, user_id string, source string, day string").text(landing).withColumnRenamed("value", "raw")
+    raw = spark.readStream.schema(files.LANDED).parquet(landing)
     return raw.writeStream.foreachBatch(lambda df, n: apply_payloads(store, df, authenticated, checkpoint, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

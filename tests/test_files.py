@@ -123,3 +123,10 @@ def test_replays_take_the_last_payload(spark, tmp_path):
     assert {(r.user_id, r.source_id): r.duration_min for r in back.collect()}[("u", "a")] == 10.0
     files.land(raw.select("user_id", "raw").withColumns({"source": F.lit("s"), "day": F.lit("2024-06-01")}), str(tmp_path))
     assert files.landed(spark, str(tmp_path)).where("path is not null").count() == 6
+
+
+def test_a_landing_has_few_files_and_whole_payloads(spark, tmp_path):
+    rows = [(f"u{k}", "s", "2024-06-01", f'{{"k":\n{k}}}') for k in range(400)]
+    files.land(spark.createDataFrame(rows, "user_id string, source string, day string, raw string").repartition(3), str(tmp_path))
+    assert len(list(tmp_path.rglob("*.parquet"))) <= 3
+    assert sorted((r.user_id, r.source, r.day, r.raw) for r in files.landed(spark, str(tmp_path)).collect()) == sorted(rows)
