@@ -208,7 +208,7 @@ def win_monthly_state(spark, sf):
 
     m = T.metrics(spark, sf)
     day = F.date_add(F.lit("2024-01-01").cast("date"), F.datediff("metric_date", F.lit("2024-01-01").cast("date")) * 5)
-    store, out = Store(spark, scratch(spark, "pulseframe-state")), None
+    store, zs, out = Store(spark, scratch(spark, "pulseframe-state")), None, None
     store.replace("daily_health_metrics", m.withColumn("metric_date", day))
     ends = sorted(r[0] for r in store.read("daily_health_metrics").groupBy(F.trunc("metric_date", "month")).agg(F.max("metric_date").alias("d")).select("d").collect())
     z_of, iqr_of = ("hrv_rmssd", "sleep_hours", "resting_hr"), ("hrv_rmssd", "sleep_hours", "resting_hr", "steps")
@@ -218,13 +218,15 @@ def win_monthly_state(spark, sf):
             t.derive("metric_moments", "daily_health_metrics", lambda d: running.moments(stats.to_long(d, z_of)), f"{end:%Y-%m}")
             t.derive("metric_counts", "daily_health_metrics", lambda d: running.counts(stats.to_long(d, iqr_of)), f"{end:%Y-%m}")
         month, until = store.read("daily_health_metrics", first, end), first - dt.timedelta(days=1)
-        z = running.z_scores(running.merged(store.read("metric_moments", until=until)), stats.to_long(month, z_of), least=5)
+        z = running.z_scores(running.merged(store.read("metric_moments", until=until)), stats.to_long(month, z_of), least=5, limit=stats.Z_LIMIT - running.TOLD_APART)
         q = running.quartiles(store.read("metric_counts", until=until).select("user_id", "metric", "value", "n").unionByName(stats.to_long(month, iqr_of).where(F.col("d") < F.lit(end)).select("user_id", "metric", "value", F.lit(1).cast("long").alias("n"))))
         i = running.iqr_outliers(store.read("metric_counts", until=until), stats.to_long(month, iqr_of), end.isoformat(), least=5).join(q.select("user_id", "metric", F.col("n").alias("sample_n")), ["user_id", "metric"])
-        z = z.select("user_id", "metric_date", "metric", "value", "sample_n", F.col("z").alias("score"), F.lit("z").alias("kind"))
         i = i.select("user_id", "metric_date", "metric", "value", "sample_n", F.when(F.col("value") > F.col("q3"), F.col("q3")).otherwise(F.col("q1")).alias("score"), F.lit("iqr").alias("kind"))
-        out = z.unionByName(i) if out is None else out.unionByName(z).unionByName(i)
-    return out
+        zs, out = z if zs is None else zs.unionByName(z), i if out is None else out.unionByName(i)
+    at = scratch(spark, "pulseframe-scores")
+    zs.write.parquet(at)  # read twice
+    z = running.settled(spark.read.schema(zs.schema).parquet(at), stats.to_long(store.read("daily_health_metrics"), z_of))
+    return z.select("user_id", "metric_date", "metric", "value", "sample_n", F.col("z").alias("score"), F.lit("z").alias("kind")).unionByName(out)
 
 
 # --- functions of SQL

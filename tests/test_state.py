@@ -1,6 +1,7 @@
 """State that is carried on: monthly statistics, and sessions resolved as a stream."""
 
 import datetime as dt
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -83,3 +84,24 @@ def test_late_and_corrected_sessions_change_sides(spark, tmp_path):
     kept = {r.source_id for r in resolve.current(spark.read.schema(f"{resolve.CHANGES}, batch long").parquet(str(tmp_path / "out"))).where(F.col("event_date") == F.lit(day)).collect()}
     final = [s("a", "Fitbit", 0), s("b", "Fitbit", 40), *batches[2]]
     assert kept == {r.source_id for r in cardio_dedup.dedupe_hub(schemas.conform(spark.createDataFrame(final, CARDIO), "cardio_events")).collect()}
+
+
+def test_scores_at_the_limit_are_settled_day_by_day(spark):
+    rng, rows = random.Random(3), []
+    want, near = set(), 0
+    for u in range(4000):
+        xs = [float(rng.choice([51, 52, 53])) for _ in range(rng.randrange(5, 15))] + [float(rng.choice([50, 54, 55]))]
+        n = mean = m2 = 0.0
+        for x in xs[:-1]:
+            n, was = n + 1, mean
+            mean += (x - was) / n
+            m2 += (x - mean) * (x - was)
+        if m2 > 0:
+            z = (xs[-1] - sum(xs[:-1]) / n) / math.sqrt(m2 / (n - 1))
+            near += abs(abs(z) - 2) < 1e-9
+            want |= {str(u)} if abs(z) > 2 else set()
+        rows += [(str(u), D(2024, 1, 31) - dt.timedelta(i), "resting_hr", x) for i, x in enumerate(xs[-2::-1])] + [(str(u), D(2024, 2, 1), "resting_hr", xs[-1])]
+    long = spark.createDataFrame(rows, LONG).cache()
+    month, before = long.where("d >= '2024-02-01'"), running.merged(running.moments(long.where("d < '2024-02-01'")))
+    found = running.z_scores(before, month, least=5, limit=2.0 - running.TOLD_APART)
+    assert near > 10 and {r.user_id for r in running.settled(found, long, 2.0).collect()} == want
