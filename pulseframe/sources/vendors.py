@@ -36,12 +36,14 @@ def canonical_metric(name) -> Column:
 
 def strength_sets(pages: DataFrame, raw: str = "raw") -> DataFrame:
     """SRC-01: (user_id, raw JSON page) to rows of strength_events; workouts, exercises and sets that can't be read are skipped."""
-    p = pages.select("user_id", F.from_json(raw, STRENGTH_PAGE).alias("p")).select("user_id", F.explode("p.workouts").alias("w"))
-    p = p.select("user_id", "w", F.explode("w.exercises").alias("e")).select("user_id", "w", "e", F.posexplode("e.sets").alias("i", "s"))
-    date = S.as_date("w.start_time")
+    # explode_outer, as the filter that Spark infers for explode would parse the texts again
+    p = pages.select("user_id", F.explode_outer(F.from_json(raw, STRENGTH_PAGE)["workouts"]).alias("w"))
+    # an exercise carries what it needs of its workout, not the workout with all its exercises; the date is read once a workout
+    p = p.select("user_id", F.col("w.id").alias("id"), S.as_date("w.start_time").alias("date"), F.col("w.exercises").alias("es")).where("id is not null and date is not null")
+    p = p.select("user_id", "id", "date", F.explode_outer("es").alias("e")).where("e.title is not null").select("user_id", "id", "date", "e", F.posexplode_outer("e.sets").alias("i", "s"))
     index = F.coalesce("s.index", "i")
-    return p.where(F.col("w.id").isNotNull() & date.isNotNull() & F.col("e.title").isNotNull() & F.col("s").isNotNull()).select(
-        "user_id", F.lit("hevy").alias("source"), F.concat_ws(":", "w.id", F.coalesce("e.index", F.lit(0)).cast("string"), index.cast("string")).alias("source_id"), date.alias("event_date"), F.col("e.title").alias("exercise_name"),
+    return p.where("s is not null").select(
+        "user_id", F.lit("hevy").alias("source"), F.concat_ws(":", "id", F.coalesce("e.index", F.lit(0)).cast("string"), index.cast("string")).alias("source_id"), F.col("date").alias("event_date"), F.col("e.title").alias("exercise_name"),
         F.lit(None).cast("string").alias("muscle_group"), F.lit(None).cast("string").alias("movement_type"), F.col("e.superset_id").alias("superset_id"), (index + 1).alias("set_number"), F.col("s.reps").alias("reps"),
         F.round(F.col("s.weight_kg") * S.LB_PER_KG, 4).alias("weight_lbs"), F.col("s.rpe").alias("rpe"), S.set_type("s.type").alias("set_type"), F.col("e.notes").alias("notes"),
     )

@@ -130,3 +130,10 @@ def test_a_landing_has_few_files_and_whole_payloads(spark, tmp_path):
     files.land(spark.createDataFrame(rows, "user_id string, source string, day string, raw string").repartition(3), str(tmp_path))
     assert len(list(tmp_path.rglob("*.parquet"))) <= 3
     assert sorted((r.user_id, r.source, r.day, r.raw) for r in files.landed(spark, str(tmp_path)).collect()) == sorted(rows)
+
+
+def test_pages_are_parsed_once(spark):
+    from pulseframe.sources import vendors
+
+    plan = vendors.strength_sets(spark.range(1).selectExpr("'u' user_id", "string(id) raw"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
