@@ -74,11 +74,12 @@ def titles(files: DataFrame, table: DataFrame) -> DataFrame:
     name = lambda c: F.lower(F.regexp_extract(c, r"([^/]+)$", 1))
     stem = lambda c: F.regexp_replace(name(c), r"(\.gz)?$", "")
     bare = lambda c: F.regexp_replace(stem(c), r"\.(fit|tcx|gpx)$", "")
-    keys = table.select(F.explode(F.array_distinct(F.array(name("filename"), stem("filename"), bare("filename")))).alias("k"), "title").groupBy("k").agg(F.min("title").alias("title"))
-    f = files.withColumns({"k1": name("path"), "k2": stem("path"), "k3": bare("path")})
-    for i in (1, 2, 3):
-        f = f.join(keys.select(F.col("k").alias(f"k{i}"), F.col("title").alias(f"t{i}")), f"k{i}", "left")
-    return f.withColumn("title", F.coalesce("t1", "t2", "t3")).drop("k1", "k2", "k3", "t1", "t2", "t3")
+    # all three have one root, by which either side is dealt once
+    root = lambda c: F.regexp_replace(c, r"(\.(gz|fit|tcx|gpx))+$", "")
+    keys = table.select(F.explode(F.array_distinct(F.array(name("filename"), stem("filename"), bare("filename")))).alias("k"), "title").where("k is not null")
+    keys = keys.withColumn("_root", root("k")).groupBy("_root", "k").agg(F.min("title").alias("t")).groupBy("_root").agg(F.map_from_entries(F.collect_list(F.struct("k", "t"))).alias("_t"))
+    f = files.withColumn("_root", root(name("path"))).join(keys, "_root", "left")
+    return f.withColumn("title", F.coalesce(*[F.try_element_at("_t", k("path")) for k in (name, stem, bare)])).drop("_root", "_t")
 
 
 def unseen(files: DataFrame, seen: DataFrame) -> DataFrame:

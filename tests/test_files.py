@@ -137,3 +137,13 @@ def test_pages_are_parsed_once(spark):
 
     plan = vendors.strength_sets(spark.range(1).selectExpr("'u' user_id", "string(id) raw"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1
+
+
+def test_titles_take_one_join(spark):
+    from pulseframe.operators import joins
+
+    found = spark.createDataFrame([("/d/A.fit.gz",), ("/d/A.fit.gz",), ("b.FIT",), ("c.fit.fit.gz",), ("c.gz",), ("none.gpx",), (None,)], "path string")
+    table = spark.createDataFrame([("x/a.FIT", "a2"), ("a.fit.gz", "a1"), ("b", "b"), ("c.fit.tcx", "c"), (None, "n"), ("none.tcx", None)], "filename string, title string")
+    t = joins.titles(found, table)
+    assert t._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert sorted(((r.path or ""), r.title) for r in t.collect()) == [("", None), ("/d/A.fit.gz", "a1"), ("/d/A.fit.gz", "a1"), ("b.FIT", "b"), ("c.fit.fit.gz", "c"), ("c.gz", None), ("none.gpx", None)]
