@@ -29,7 +29,8 @@ def _pages(spark, sf) -> str:
 
 
 def _items(pages):
-    return pages.select("page", F.explode(F.from_json("raw", f"items array<{ITEM}>")["items"]).alias("o")).select("o.*")
+    # explode_outer, as the filter that Spark infers for explode would parse the texts again
+    return pages.select("page", F.explode_outer(F.from_json("raw", f"items array<{ITEM}>")["items"]).alias("o")).where("o is not null").select("o.*")
 
 
 _ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DOUBLE) AS o_totalprice FROM orders"
@@ -48,7 +49,7 @@ def src_cursor_pages(spark, sf):
     """SRC-23: a stream whose offset is the cursor, by micro-batches of some pages in each of many tasks, into a table."""
     paged.register(spark)
     at, out = _pages(spark, sf), scratch(spark, "pulseframe-cursor")
-    s = spark.readStream.format("paged_cursor").option("client", "pulseframe.sources.paged:FolderPages").option("root", at).option("bundle", BUNDLE).option("batch_pages", BUNDLE).option("tasks", 128).load()
+    s = spark.readStream.format("paged_cursor").option("client", "pulseframe.sources.paged:FolderPages").option("root", at).option("bundle", BUNDLE).option("batch_pages", 10 * BUNDLE).option("tasks", 128).load()
     q = s.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/offsets").start()
     try:
         q.processAllAvailable()

@@ -10,7 +10,8 @@ options as a dictionary, in each task, and returns an object with
 * after(cursor or None) -> dict(raw, items, cursor, more), for the format `paged_cursor`, a stream: a micro-batch ends
   after `batch_pages` pages, a batch that is read again stops at the same cursor, and only its cursor is remembered.
 * ahead(cursor or None, pages) -> the cursors of so many next pages, if the source can tell them without their contents
-  (numbers, an index): a micro-batch then takes `batch_pages` pages in each of `tasks` tasks, and the tasks request them.
+  (numbers, an index): a micro-batch then takes up to `batch_pages` pages in each of `tasks` tasks, dealt evenly in whole
+  bundles, and the tasks request them. Each task has a start of its own, so a long backlog goes faster with more pages a task.
 """
 
 from __future__ import annotations
@@ -137,7 +138,7 @@ class AheadReader(DataSourceStreamReader):
 
     def __init__(self, options: dict):
         self.options, self.pages, self.tasks = options, int(options.get("batch_pages", 50)), int(options.get("tasks", 1))
-        self.at = None
+        self.bundle, self.at, self.told = max(1, int(options.get("bundle", 0))), None, (None, [])
 
     def initialOffset(self) -> dict:
         return {"cursor": self.options.get("start"), "page": 0}
@@ -147,6 +148,7 @@ class AheadReader(DataSourceStreamReader):
         at = self.at or self.initialOffset()
         # anew each time, as pages may have come
         found = client_of(self.options).ahead(at["cursor"], self.pages * self.tasks)
+        self.told = (at["cursor"], found)
         return {"cursor": found[-1], "page": at["page"] + len(found)} if found else at
 
     def partitions(self, start: dict, end: dict) -> list[Walk]:
@@ -154,10 +156,13 @@ class AheadReader(DataSourceStreamReader):
         n = end["page"] - start["page"]
         if n < 1:
             return []
-        found = client_of(self.options).ahead(start["cursor"], n)
+        told, found = self.told
+        if told != start["cursor"] or len(found) != n:  # a batch that is planned again
+            found = client_of(self.options).ahead(start["cursor"], n)
         if len(found) < n or found[-1] != end["cursor"]:
             raise IncompleteFetch(f"a batch that ended at {end} now ends at {found[-1:]} after {len(found)} pages")
-        return [Walk(found[k - 1] if k else start["cursor"], start["page"] + k, min(self.pages, n - k), found[min(k + self.pages, n) - 1]) for k in range(0, n, self.pages)]
+        each = min(self.pages, -(-n // (self.tasks * self.bundle)) * self.bundle)
+        return [Walk(found[k - 1] if k else start["cursor"], start["page"] + k, min(each, n - k), found[min(k + each, n) - 1]) for k in range(0, n, each)]
 
     def read(self, part: Walk) -> Iterator[tuple]:
         client, cursor = client_of(self.options), part.cursor

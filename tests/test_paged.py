@@ -128,3 +128,16 @@ def test_a_batch_is_requested_by_many_tasks(spark, folder, tmp_path):
         q.stop()
     rows = spark.read.schema(paged.SCHEMA).parquet(str(tmp_path / "out")).collect()
     assert sorted((r.page, r.cursor, r.items) for r in rows) == [(n, str(n), n % 3) for n in range(1, 1001) if n % 3]
+
+
+def test_a_long_backlog_needs_few_batches_and_tasks(spark, folder, tmp_path):
+    bundles(tmp_path, 1000, 10)
+    r = paged.AheadReader({"client": "pulseframe.sources.paged:FolderPages", "root": folder.root, "bundle": "10", "batch_pages": "200", "tasks": "8"})
+    parts = r.partitions(r.initialOffset(), r.latestOffset())
+    # evenly and in whole bundles, not the most pages in each of a few tasks
+    assert [p.pages for p in parts] == [130] * 7 + [90]
+    assert [row[0] for p in parts for row in r.read(p)] == [n for n in range(1, 1001) if n % 3]
+    again = paged.AheadReader(r.options)  # as after a failure: without what the first reader was told
+    assert [(p.cursor, p.pages, p.end) for p in again.partitions(r.initialOffset(), {"cursor": "1000", "page": 1000})] == [(p.cursor, p.pages, p.end) for p in parts]
+    r.at = {"cursor": "1000", "page": 1000}
+    assert r.latestOffset() == r.at and r.partitions(r.at, r.at) == []
