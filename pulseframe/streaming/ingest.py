@@ -11,12 +11,12 @@ from ..sources import files, vendors
 from .. import schemas
 
 
-def apply_payloads(store: Store, raw: DataFrame, authenticated: bool = True, stream: str | None = None, batch: int | None = None) -> bool:
+def apply_payloads(store: Store, raw: DataFrame, authenticated: bool = True, stream: str | None = None, batch: int | None = None, grain: str | None = None) -> bool:
     """STR-01 to 04: one batch of export payloads (user_id, raw), all of it in one commit; whether it was applied.
 
     Biometrics are upserted (the last write wins), workouts pass the strength and near-duplicate rules, replaced ones go.
     Only authenticated batches replace stored rows. A batch number of the stream that was applied before is left out,
-    whatever it holds now; the same rows under another number change nothing.
+    whatever it holds now; the same rows under another number change nothing. grain: of starts, see cardio_dedup.resolve.
     """
     if batch is not None and (last := store.applied(stream)) is not None and batch <= last:
         return False
@@ -29,7 +29,7 @@ def apply_payloads(store: Store, raw: DataFrame, authenticated: bool = True, str
         stored = t.read("cardio_events", users=users)
         fresh = rows.join(stored.select("user_id", "source_id"), ["user_id", "source_id"], "left_anti")
         near = stored.join(new.select("user_id", "event_date").distinct(), ["user_id", "event_date"], "left_semi").select(*stored.columns)
-        t.change("cardio_events", *cardio_dedup.resolve(fresh.select(*stored.columns), near, allow_supersede=authenticated))
+        t.change("cardio_events", *cardio_dedup.resolve(fresh.select(*stored.columns), near, allow_supersede=authenticated, grain=grain))
     return True
 
 
