@@ -105,3 +105,18 @@ def test_scores_at_the_limit_are_settled_day_by_day(spark):
     month, before = long.where("d >= '2024-02-01'"), running.merged(running.moments(long.where("d < '2024-02-01'")))
     found = running.z_scores(before, month, least=5, limit=2.0 - running.TOLD_APART)
     assert near > 10 and {r.user_id for r in running.settled(found, long, 2.0).collect()} == want
+
+
+def test_state_lies_in_shards_not_in_a_value_for_each_group(spark, tmp_path):
+    rng = random.Random(9)
+    row = lambda u, j: (f"u{u}", "apple_health", f"{u}-{j}" if rng.random() < 0.9 else None, D(2024, 6, 1), rng.choice(["Run", "Ride", 'a "b"']), rng.choice([30.0, 33.0, float("nan"), None]), rng.choice(["Fitbit", "Strava", None]), dt.datetime(2024, 6, 1, 8, rng.randrange(60)) if rng.random() < 0.8 else None)
+    rows = schemas.conform(spark.createDataFrame([row(u, j) for u in range(2000) for j in range(2)], CARDIO), "cardio_events").withColumn("part", F.pmod(F.xxhash64("user_id", "source_id", "duration_min"), F.lit(2)))
+    rows.repartition("part").write.partitionBy("part").parquet(str(tmp_path / "in"))
+    stored = spark.read.parquet(str(tmp_path / "in")).drop("part")
+    stream = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    keep = lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(str(tmp_path / "out"))
+    q = resolve.resolve_stream(stream).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] < 1000
+    named = lambda d: sorted((r.user_id, r.source_id) for r in d.where("source_id is not null").collect())
+    assert named(resolve.current(spark.read.schema(f"{resolve.CHANGES}, batch long").parquet(str(tmp_path / "out")))) == named(cardio_dedup.dedupe_hub(stored))
